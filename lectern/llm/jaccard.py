@@ -42,6 +42,8 @@ WIDTH = 5
 NUM, DEN = 4, 5
 FLUSH = 2_000_000
 BUCKET = 600_000
+#: Entries of the matrix in one bucket: with fewer buckets a pair's share in one of them prunes more.
+MATRIX_BUCKET = 2_000_000
 GROUP = 64
 SKETCH = 16
 _WORD = pa.list_(pa.int64())
@@ -208,10 +210,7 @@ def _l2(n: int) -> int:
 
 
 def candidates(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """Classes that can have links: ``digest, n, shared`` (sorted shingles found elsewhere), ``prefix`` (rarest first), ``least``.
-
-    ``least`` is how many prefix shingles any linked class must have in its own prefix.
-    """
+    """Classes that can have links: ``digest, n, shared`` (sorted shingles found elsewhere), ``prefix`` (rarest first)."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = lambda n: max(1, math.ceil(n / BUCKET))
     first = _send_sets(docs, id_col, text_col, width, buckets(total * 0.25), lambda x: x[: len(x) - need(len(x)) + _l1(len(x))])
@@ -231,11 +230,11 @@ def candidates(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, wid
         for d, n, x, _ in _by_class(t):
             if len(x) >= need(n):
                 prefix = x[: len(x) - need(n) + _l2(n)]
-                rows.append((d, n, np.sort(x).view(np.int64), prefix.view(np.int64), _l2(need(n))))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
-        return pa.table({"digest": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "shared": pa.array(cols[2], _WORD), "prefix": pa.array(cols[3], _WORD), "least": pa.array(cols[4], pa.int64())})
+                rows.append((d, n, np.sort(x).view(np.int64), prefix.view(np.int64)))
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        return pa.table({"digest": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "shared": pa.array(cols[2], _WORD), "prefix": pa.array(cols[3], _WORD)})
 
-    return stored(_shared(second, buckets(size or 0)).groupBy("bucket").applyInArrow(keep, "digest binary, n bigint, shared array<bigint>, prefix array<bigint>, least bigint"), "classes")
+    return stored(_shared(second, buckets(size or 0)).groupBy("bucket").applyInArrow(keep, "digest binary, n bigint, shared array<bigint>, prefix array<bigint>"), "classes")
 
 
 def _linked(i: Column, n: Column, m: Column) -> Column:
@@ -245,23 +244,45 @@ def _linked(i: Column, n: Column, m: Column) -> Column:
 def _leader_links(classes: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
     """Verified links of classes to the leaders they vote for, among classes with different labels."""
     sketch = classes.select("digest", F.explode(F.slice("shared", 1, SKETCH)).alias("token")).join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    rank = F.xxhash64(F.lit(salt), "digest")
     who = F.struct("digest", "label")
-    leaders = sketch.groupBy("token").agg(F.count("*").alias("c"), F.min_by(who, rank).alias("x"), F.max_by(who, rank).alias("y"), F.min_by(who, F.xxhash64(F.lit(salt + 1), "digest")).alias("z")).where("c > 1").drop("c")
+    # One leader for all of a family, and others that differ from shingle to shingle: in a large family, where a class is
+    # linked with some members only, these connect most of it at once.
+    one, each = F.xxhash64(F.lit(salt), "digest"), F.xxhash64(F.lit(salt), "token", "digest")
+    leaders = sketch.groupBy("token").agg(F.count("*").alias("c"), F.min_by(who, one).alias("x"), F.min_by(who, each).alias("y"), F.max_by(who, each).alias("z")).where("c > 1").drop("c")
     votes = sketch.join(leaders, "token").select("digest", "label", F.posexplode(F.array("x", "y", "z")).alias("kind", "leader")).where("leader.label <> label").groupBy("digest", "kind", "leader.digest").agg(F.count("*").alias("votes")).toDF("digest", "kind", "leader", "votes")
-    best = votes.groupBy("digest", "kind").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+    # A class has at most ``SKETCH`` leaders of a kind.
+    ranked = votes.groupBy("digest", "kind").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), F.xxhash64(F.lit(salt), "digest", "leader").alias("r"), "leader"))).alias("ranked"))
+    best = ranked.select("digest", F.explode(F.slice("ranked", 1, 3)).alias("e")).select("digest", "e.leader")
     edges = best.select(F.greatest("digest", "leader").alias("a"), F.least("digest", "leader").alias("b")).distinct()
     side = lambda k: classes.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col("shared").alias(f"t_{k}"))
     fit = edges.join(side("a"), "a").join(side("b"), "b").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
     return fit.where(_linked(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-_QUERY = "digest binary, label binary, sub int, hits bigint"
+_QUERY = "digest binary, label binary, sub int"
+
+
+def least_hits(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many prefix shingles a class of ``n`` must share with a linked class of between ``low`` and ``high``.
+
+    A link's overlap is at least 4/9 of both sizes together, and the shingles after a prefix number ``need - l2``.
+    One less is asked for where rounding could matter.
+    """
+    ceil = lambda x, y: -(-x // y)
+    after = lambda m: ceil(NUM * m, DEN) - np.maximum(1, m // 5)
+    low = np.maximum(low, ceil(NUM * n, DEN))
+    high = np.minimum(high, DEN * n // NUM)
+    out = np.minimum(ceil(4 * (n + low), 9) - after(n), ceil(4 * (n + high), 9) - after(high) - 1)
+    return np.where(low <= high, np.maximum(out, 1), np.iinfo(np.int64).max)
 
 
 def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
-    """For each class and group of a larger component with common prefix shingles: how many there are."""
+    """The classes and groups of a larger component whose common prefix shingles reach the least a link needs.
+
+    The shingles are dealt to buckets; a pair that has ``least_hits`` of them has its share in one bucket at least.
+    """
     scale = min((1 << 64) - 1, -(-(1 << 64) // buckets))
+    fields = [("digests", 0, pa.binary()), ("labels", 1, pa.binary()), ("csize", 2, pa.int64()), ("sub", 3, pa.int32()), ("n", 5, pa.int64()), ("low", 6, pa.int64()), ("high", 7, pa.int64())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,14 +298,17 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
                 own = order[edge[k] : edge[k + 1]]
                 used, local = np.unique(owner[own], return_inverse=True)
                 part = b.take(pa.array(used))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens[own].tobytes()], pa.binary()), pa.array([local.astype(np.int32).tobytes()], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(pa.binary())), pa.array([part.column(1).to_pylist()], pa.list_(pa.binary())), pa.array([part.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(3).to_pylist()], pa.list_(pa.int32()))], names=["bucket", "tokens", "owner", "digests", "labels", "csize", "sub"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens[own].tobytes()], pa.binary()), pa.array([local.astype(np.int32).tobytes()], pa.binary()), *(pa.array([part.column(i).to_pylist()], pa.list_(t)) for _, i, t in fields)], names=["bucket", "tokens", "owner", *(x for x, _, _ in fields)])
 
     def bound(t: pa.Table) -> pa.Table:
-        tokens, owner, digests, labels, csize, sub = [], [], [], [], [], []
-        for tok, own, d, la, c, s in zip(*(t.column(x).to_pylist() for x in ("tokens", "owner", "digests", "labels", "csize", "sub")), strict=True):
+        tokens, owner = [], []
+        digests, labels, csize, sub, size, low, high = ([] for _ in fields)
+        for tok, own, *more in zip(*(t.column(x).to_pylist() for x in ("tokens", "owner", *(x for x, _, _ in fields))), strict=True):
             tokens.append(np.frombuffer(tok, np.uint64))
             owner.append(np.frombuffer(own, np.int32).astype(np.int64) + len(digests))
-            digests, labels, csize, sub = digests + d, labels + la, csize + c, sub + s
+            for held_, new in zip((digests, labels, csize, sub, size, low, high), more, strict=True):
+                held_ += new
+        size, low, high = np.array(size), np.array(low), np.array(high)
         tokens, owner = np.concatenate(tokens), np.concatenate(owner)
         # Components by size and label: a class asks only groups of later ones.
         names = sorted(set(zip(csize, labels, strict=True)))
@@ -294,6 +318,8 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
         gplace = {x: i for i, x in enumerate(gnames)}
         group = np.array([gplace[int(c), s] for c, s in zip(comp, sub, strict=True)])
         gcomp = np.array([c for c, _ in gnames])
+        glow, ghigh = np.zeros(len(gnames), np.int64), np.zeros(len(gnames), np.int64)
+        glow[group], ghigh[group] = low, high
         order = np.lexsort((comp[owner], tokens))
         tokens, owner = tokens[order], owner[order]
         start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
@@ -327,16 +353,18 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
                     settle()
                     held = 0
         settle()
-        if not sums:
-            return pa.table({"digest": pa.array([], pa.binary()), "label": pa.array([], pa.binary()), "sub": pa.array([], pa.int32()), "hits": pa.array([], pa.int64())})
-        k, inv = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
-        hits = np.bincount(inv, weights=np.concatenate([y for _, y in sums])).astype(np.int64)
+        k = np.zeros(0, np.int64)
+        if sums:
+            k, inv = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
+            hits = np.bincount(inv, weights=np.concatenate([y for _, y in sums])).astype(np.int64)
+            least = least_hits(size[k // n], glow[k % n], ghigh[k % n])
+            k = k[hits >= -(-least // buckets)]
         who, to = (k // n).tolist(), (k % n).tolist()
-        return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32()), "hits": pa.array(hits)})
+        return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32())})
 
-    blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>"
-    dealt = grouped.select("digest", "label", "csize", "sub", "prefix").mapInArrow(deal, blob)
-    return dealt.groupBy("bucket").applyInArrow(bound, _QUERY).groupBy("digest", "label", "sub").agg(F.sum("hits").alias("hits"))
+    blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<bigint>, low array<bigint>, high array<bigint>"
+    dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high").mapInArrow(deal, blob)
+    return dealt.groupBy("bucket").applyInArrow(bound, _QUERY).distinct()
 
 
 def _open(members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -369,11 +397,9 @@ def class_links(classes: DataFrame, rounds: int = 2) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count("*").alias("csize"))
     known = labels.join(sizes, "label")
     grouped = stored(classes.join(known, "digest", "left").withColumns({"label": F.coalesce("label", "digest"), "csize": F.coalesce("csize", F.lit(1).cast("bigint"))}).withColumn("sub", F.pmod(F.xxhash64("digest"), F.ceil(F.col("csize") / GROUP)).cast("int")), "grouped")
-    total, entries = grouped.agg(F.count("*"), F.sum(F.size("prefix"))).first()
-    bounds = _matrix_bounds(grouped, max(1, math.ceil((entries or 0) / BUCKET)))
+    entries = grouped.agg(F.sum(F.size("prefix"))).first()[0] or 0
     reach = grouped.groupBy("label", "sub").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asking = grouped.select("digest", "n", "least")
-    open_now = stored(bounds.join(asking, "digest").where("hits >= least").join(reach, ["label", "sub"]).where("5 * high >= 4 * n and 5 * n >= 4 * low").select("digest", "label", "sub"), "open")
+    open_now = stored(_matrix_bounds(grouped.join(reach, ["label", "sub"]), max(1, math.ceil(entries / MATRIX_BUCKET))), "open")
     blocks = stored(open_now.groupBy("label", "sub").agg(F.ceil(F.count("*") / 256).cast("int").alias("blocks")), "blocks")
     queries = open_now.join(blocks, ["label", "sub"]).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).join(classes.select("digest", "n", "shared"), "digest").select("label", "sub", "block", "digest", "n", "shared")
     members = grouped.join(blocks, ["label", "sub"]).select("label", "sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "digest", "n", "shared")
