@@ -137,15 +137,15 @@ def _rate(history: list[np.ndarray], scale: float, k: int) -> Column:
     return r
 
 
-def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int = TRAIN_ROWS, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier]:
-    """``id, text_hash, n_tokens, p, rate`` of every row; targets are shares of all tokens by domain."""
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int, steps: int, id_col: str, text_col: str) -> tuple[DataFrame, Classifier, list[np.ndarray], float]:
+    """The posterior table, the classifier, the vectors of the steps and the scale of a row's tokens."""
     small_batches(docs.sparkSession)
     model = fit_classifier(docs, labels, train_rows, id_col, text_col)
     table = stored(posteriors(docs, model, id_col, text_col), "posteriors")
     k = len(model.domains)
     n, total, *_ = table.agg(F.count("*"), F.sum("n_tokens")).first()
     if k == 1 or not total:
-        return table.withColumn("rate", F.lit(1.0)), model
+        return table, model, [], 1.0
     scale = total / n
     a = [F.col("p")[j] * F.col("n_tokens") / F.lit(scale) for j in range(k)]
     want = np.array([targets.get(d, 0.0) for d in model.domains])
@@ -160,13 +160,22 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tra
         if np.abs(miss).max() <= 1e-4 * goal.sum():
             break
         history.append(np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ miss)
-    return table.withColumn("rate", _rate(history, scale, k)), model
+    return table, model, history, scale
+
+
+def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int = TRAIN_ROWS, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier]:
+    """``id, text_hash, n_tokens, p, rate`` of every row; targets are shares of all tokens by domain."""
+    table, model, history, scale = _fit(docs, labels, targets, train_rows, steps, id_col, text_col)
+    return table.withColumn("rate", _rate(history, scale, len(model.domains))), model
+
+
+def _uniform(*key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 24)) / F.lit(float(1 << 24))
 
 
 def copies(rate: Column, *key: str | Column) -> Column:
     """Whole copies of a row: the rate rounded at random, by a hash of the row, so that its expectation stays."""
-    u = F.pmod(F.xxhash64(*key), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return F.floor(rate + u).cast("int")
+    return F.floor(rate + _uniform(*key)).cast("int")
 
 
 #: Shares of tokens that a training mix should have; what the classifier takes for toxic or low is held down.
@@ -174,12 +183,25 @@ TARGETS = {"high": 0.85, "low": 0.09, "toxic": 0.06}
 
 
 def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, each as often as its rate says; the rate is computed in place from the text, without a join."""
-    table, model = fit_rates(docs, labels, targets, id_col=id_col, text_col=text_col)
-    rates = stored(table.select("id", "text_hash", copies(F.col("rate"), "id", "text_hash").alias("_copies")).where("_copies <> 1").distinct(), "copies")
-    joined = docs.join(rates, F.col(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(text_col) == F.col("text_hash")), "left")
-    times = F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)))
-    return joined.withColumn("_copy", F.explode(times)).select(*(docs[c] for c in docs.columns))
+    """The rows, each as often as its rate says; posteriors and rate are computed again in place, without a join."""
+    _, model, history, scale = _fit(docs, labels, targets, TRAIN_ROWS, STEPS, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model, history, scale))
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    keyed = docs.withColumn("_u", _uniform(id_col, F.xxhash64(text_col)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, history, scale = shared.value
+        for b in batches:
+            for s in bs.slices(b.column(at)):
+                fv, n = features(s)
+                a = model.posteriors(fv) * (n / scale)[:, None]
+                r = np.ones(s.n)
+                for g in history:
+                    r = np.maximum(0.0, r - a @ g)
+                times = np.floor(r + np.asarray(b.column(width).slice(s.first, s.n))).astype(np.int64)
+                yield b.slice(s.first, s.n).select(range(width)).take(pa.array(np.repeat(np.arange(s.n), times)))
+
+    return keyed.mapInArrow(run, docs.schema)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
