@@ -18,7 +18,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     cur = duck.execute(catalog.ORACLES[name])
