@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import stored
 
+#: Positions of one conversation that are numbered together.
+STRETCH = 1000
+
 #: Tool name to parameters: name to (type, required).
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
@@ -81,7 +84,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
         levels = calls.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0)
     joined = calls.join(answers, ["conv_id", "call_id"], "left").join(state, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left").join(odd.withColumn("_odd", F.lit(True)), "conv_id", "left")
     placed = joined.withColumn("_level", F.when(F.col("_odd"), F.col("level")).otherwise(F.lit(0)))
-    topo = F.when(F.col("_level").isNotNull(), F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("_level").asc_nulls_last(), "pos", "call_id")) - 1)
+    # Calls are numbered within stretches of positions and shifted by the stretches before, so that no task orders a
+    # whole conversation, however long.
+    placed = placed.withColumn("_stretch", F.floor(F.col("pos") / STRETCH))
+    counts = placed.groupBy("conv_id", "_level", "_stretch").agg(F.count("*").alias("_n"))
+    shift = F.sum("_n").over(Window.partitionBy("conv_id").orderBy(F.col("_level").asc_nulls_last(), "_stretch")) - F.col("_n")
+    before = counts.select(F.col("conv_id").alias("_b_conv"), F.col("_level").alias("_b_level"), F.col("_stretch").alias("_b_stretch"), shift.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "_level", "_stretch").orderBy("pos", "call_id"))
+    placed = placed.withColumn("_rn", within).join(before, (F.col("conv_id") == F.col("_b_conv")) & F.col("_level").eqNullSafe(F.col("_b_level")) & F.col("_stretch").eqNullSafe(F.col("_b_stretch")))
+    topo = F.when(F.col("_level").isNotNull(), F.col("_before") + F.col("_rn") - 1)
     args = F.try_parse_json("arguments")
     problems = F.concat(_violations(F.col("name"), F.col("_args"), F.col("arguments"), schemas), F.when(F.col("_unresolved") > 0, F.array(F.lit("unresolved"))).otherwise(F.array().cast("array<string>")), F.when(F.col("_level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     out = placed.withColumn("_args", args).withColumn("topo", topo).withColumn("problems", problems)

@@ -299,3 +299,10 @@ def test_chat_linking(spark):
     assert got[3, "c"]["topo"] is None and got[3, "c"]["problems"] == "cycle"
     assert "unresolved" in got[4, "m"]["problems"] and "malformed" in got[5, "k"]["problems"]
     assert chat.orphan_results(calls, results).count() == 1
+
+
+def test_chat_long_conversation(spark):
+    calls = spark.range(3500).selectExpr("1L as conv_id", "concat('c', id) as call_id", "id as pos", "'f' as name", "'{}' as arguments", "cast(null as array<string>) as depends_on")
+    results = calls.selectExpr("conv_id", "call_id", "pos", "'r' as content")
+    got = chat.link_tool_calls(calls, results, {"f": {}})
+    assert got.where("topo = pos and linked and valid").count() == 3500
