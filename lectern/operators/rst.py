@@ -24,6 +24,9 @@ VERBATIM = ("code-block", "code", "sourcecode", "math", "literal", "raw", "parse
 #: Directives whose head is a path or an option, not prose.
 PLAIN_HEAD = (*VERBATIM, "image", "figure", "include", "literalinclude", "index", "toctree", "only", "video", "youtube", "vimeo", "default-role", "csv-table", "unicode")
 
+NO_PROSE = ("comment", "doctest", "target", "literal", "standalone")
+NO_PROSE_NAMES = (*VERBATIM, "default", "include", "index", "toctree", "video", "image", "unicode", "kbd")
+
 _PUNCT = r"[!-/:-@\[-`{-~]"
 _RULE = re.compile(rf"^({_PUNCT})\1{{1,}}\s*$")
 _EXPLICIT = re.compile(r"^\.\.(?:[ ]+|$)")
@@ -86,11 +89,20 @@ class Node:
     indent: int
     body: str | None
     extra: str | None
+    parent_kind: str | None = None
+    parent_name: str | None = None
+    #: Kinds of the children, and names of the directives around, each comma-joined.
+    child_kinds: str = ""
+    within: str = ""
+    #: Whether the text is prose: not inside code, comments, targets, paths or literals.
+    prose: bool = True
+    #: Blank lines right above.
+    blank_over: int = 0
 
 
 #: Of ``Node``: ``extra`` is the underline (and a space and the overline) of a section, the marker of an item, the
 #: form of an inline link, or the options of a directive, one to a line.
-SCHEMA = "node_id int, parent_id int, kind string, name string, id string, head string, depth int, sib_ix int, start int, end int, start_line int, start_col int, indent int, body string, extra string"
+SCHEMA = "node_id int, parent_id int, kind string, name string, id string, head string, depth int, sib_ix int, start int, end int, start_line int, start_col int, indent int, body string, extra string, parent_kind string, parent_name string, child_kinds string, within string, prose boolean, blank_over int"
 
 
 @dataclass(frozen=True)
@@ -275,7 +287,7 @@ class _Parser:
                 self.add(parent, "trans", [here], extra=here.text.strip())
                 return i + 1
             return i
-        if after and here.indent == 0 and (u := _RULE.match(after)) and (len(after.strip()) >= len(here.text.rstrip()) or len(after.strip()) >= 4):
+        if after and here.indent == 0 and (u := _RULE.match(after)) and (len(after.strip()) >= len(here.text.rstrip()) or (len(after.strip()) >= 3 and after.strip() not in ("...", ":::"))):
             k = self.add(parent, "sect", lines[i : i + 2], here.text.strip(), extra=after.strip(), body=here.text.rstrip())
             self.inline(k, [here])
             return i + 2
@@ -411,6 +423,19 @@ def parse(text: str | None) -> list[Node]:
     p = _Parser()
     p.add(-1, "document", lines)
     p.blocks(lines, 0)
+    kinds: dict[int, list[str]] = {}
+    for n in p.out:
+        over = p.out[n.parent_id] if n.node_id else None
+        if over:
+            n.parent_kind, n.parent_name = over.kind, over.name
+            n.within = ",".join(x for x in (over.within, over.name if over.kind == "dir" else "") if x)
+            n.prose = over.prose
+            kinds.setdefault(over.node_id, []).append(n.kind)
+        n.prose = n.prose and n.kind not in NO_PROSE and not (n.kind in ("dir", "role", "substdef") and n.name in NO_PROSE_NAMES)
+        while n.start_line > n.blank_over and lines[n.start_line - 1 - n.blank_over].blank:
+            n.blank_over += 1
+    for n in p.out:
+        n.child_kinds = ",".join(kinds.get(n.node_id, ()))
     return p.out
 
 

@@ -6,7 +6,8 @@ from functools import partial
 
 from lectern.functions.dialect import duck_sql, spark_frame
 from lectern.operators import repeated, sequential
+from lectern.plans import markup
 from lectern.plans.portable import BODIES
 
-QUERIES: dict = {"repeated_words": repeated.query} | {k: partial(lambda spark, sf_dir, body: spark_frame(spark, sf_dir, body), body=b) for k, b in BODIES.items()} | sequential.QUERIES
-ORACLES: dict = {"repeated_words": duck_sql(repeated.ORACLE)} | {k: duck_sql(b) for k, b in BODIES.items()}
+QUERIES: dict = {"repeated_words": repeated.query} | {k: partial(lambda spark, sf_dir, body: spark_frame(spark, sf_dir, body), body=b) for k, b in BODIES.items()} | sequential.QUERIES | markup.QUERIES
+ORACLES: dict = {"repeated_words": duck_sql(repeated.ORACLE)} | {k: duck_sql(b) for k, b in BODIES.items()} | markup.ORACLES
