@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import vocabulary as v
 from lectern.functions.dialect import WORD
-from lectern.session import table
+from lectern.session import stored, table
 
 _W = r"[\p{L}\p{N}_]"
 #: Rules by tool and name; each match is a finding.
@@ -103,7 +103,7 @@ def collocations(lexicon: DataFrame, ignore: tuple[str, ...] = ("ad", "al", "de"
         cut = left.select("word", "parts", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("_k")).withColumn("_h", F.substring(F.col("rest"), F.lit(1), F.col("_k")))
         hit = cut.join(known, F.col("_h") == F.col("_head"), "left_semi").where(F.col("_h") != F.col("word"))
         step = hit.select("word", F.concat("parts", F.array("_h")).alias("parts"), F.substring(F.col("rest"), F.col("_k") + 1, F.length("rest")).alias("rest"))
-        step = _stored(step)
+        step = stored(step, "round")
         full = step.where("rest = ''").select("word", F.array_join("parts", " ").alias("parts"))
         done = full if done is None else done.unionByName(full)
         left = step.where("rest <> ''")
@@ -111,14 +111,6 @@ def collocations(lexicon: DataFrame, ignore: tuple[str, ...] = ("ad", "al", "de"
             return done
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    from lectern.session import scratch
-
-    path, schema = scratch(df.sparkSession, "round"), df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def clauses(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Clauses of sentences, cut at a comma (not before and/or) or before and/or; ones of up to three spaces join the one before."""
     sentence = docs.select(id_col, F.posexplode(F.split("text", r"(?<=[!.?])[ \n]+", -1)).alias("sent_ix", "_s"))

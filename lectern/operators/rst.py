@@ -15,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,6 +66,8 @@ _INLINE = re.compile(
     )),
     re.S,
 )
+#: What every inline node has: without it a text is not scanned.
+_SIGN = re.compile(r"[`*|@]|_(?!\w)|(?:https?|ftp|mailto):")
 _KIND = {"inttarget": "int-target", "front": "role", "back": "role", "default": "role", "mail": "standalone", "reference": "hyperlink"}
 _TITLED = re.compile(r"^(.*?)\s*<([^<>]+)>$", re.S)
 _EXPLAINED = re.compile(r"^(.*?)\s*\((.+)\)$", re.S)
@@ -168,7 +171,7 @@ class _Parser:
 
     def inline(self, parent: int, lines: list[Line]) -> None:
         text = "\n".join(x.text for x in lines)
-        if not re.search(r"[`*|_@:]", text):
+        if not _SIGN.search(text):
             return
         offsets, at = [], 0
         for x in lines:
@@ -442,13 +445,11 @@ def parse(text: str | None) -> list[Node]:
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All nodes of all rows; ``id_col`` names the document."""
     names = [f.name for f in fields(Node)]
+    values = attrgetter(*names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ident, text in b.itertuples(index=False, name=None):
-                found = parse(text)
-                frame = pd.DataFrame([[getattr(n, c) for c in names] for n in found], columns=names)
-                frame.insert(0, id_col, [ident] * len(found))
-                yield frame
+            rows = [(ident, *values(n)) for ident, text in b.itertuples(index=False, name=None) for n in parse(text)]
+            yield pd.DataFrame(rows, columns=[id_col, *names])
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")

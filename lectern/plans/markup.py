@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions.dialect import spark_frame
 from lectern.operators import markup
 from lectern.operators.rst import nodes
-from lectern.session import table
+from lectern.session import stored, table
 
 _HEAD = [
     "'.. _page-'", "doc_id", "':~~'", "repeat('*', 15)", "'~Page Of Numbers~'", "repeat('*', CASE WHEN doc_id % 5 = 0 THEN 16 ELSE 15 END)", "'~~'",
@@ -31,8 +31,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.expr(PAGE), F.coalesce("text", F.lit(""))).alias("text"))
 
 
+#: Rules that read the nodes more than once: for them the parsed table is written once.
+_TWICE = {*markup.CORPUS_TOOLS.values(), markup.style_extra, markup.heading_level, markup.heading_caps, markup.ui, markup.indention, markup.structure, markup.resolve_titles, markup.substitutions}
+
+
 def _run(spark: SparkSession, sf_dir: str, tool) -> DataFrame:
-    return tool(nodes(pages(spark, sf_dir)))
+    tree = nodes(pages(spark, sf_dir))
+    return tool(stored(tree, "nodes") if tool in _TWICE else tree)
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share; a local one only where none is set (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/lectern-checkpoints"
     return f"{shared.rstrip('/')}/lectern-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df, what: str):
+    """A table written to the shared folder and read back, for results that several branches of a plan need."""
+    path, schema = scratch(df.sparkSession, what), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
