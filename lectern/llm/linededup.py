@@ -3,11 +3,14 @@
 Every line is hashed; a rolling hash over the last ``window`` line hashes ends a chunk where it is divisible by
 ``divisor``, so boundaries move with the text when lines are inserted or taken away.  Chunks of at least
 ``min_lines`` lines that occur again, in any document, are removed except for the first occurrence (by
-document identifier, text hash and position).  Only hashes are counted globally; the bytes of chunks whose hash
-repeats are then compared, so equal hashes alone never remove anything.
+document identifier, text hash and position).  As a short passage holds few whole chunks or none, every run of
+``min_lines`` neighbouring non-blank lines (blank ones between them belong to it) is looked up in the same way, so a
+repeated passage goes from its first line to its last.  A later run never takes lines of its own first occurrence.
+Only hashes are counted globally; the bytes of chunks and runs whose hash repeats are then compared, so equal hashes
+alone never remove anything.
 
 Defined cases: a null text stays null and an empty one is one empty line; a null ``doc_id`` sorts before all
-others; rows equal in identifier and text keep the same chunks; a text that loses all its chunks becomes
+others; rows equal in identifier and text keep the same lines; a text that loses all its lines becomes
 empty; an empty table gives an empty table; other columns are passed through, and only ``text`` changes.
 """
 
@@ -19,12 +22,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import documents, few, stored
 
 
-def chunked(docs: DataFrame, text_col: str = "text", window: int = 3, divisor: int = 4) -> DataFrame:
-    """Add ``_chunks``: the chunks of each text in order, every line marked by a leading ``L``.
-
-    Each line becomes ``L`` and itself, and a line ``B`` follows one that ends a chunk.  No marked line equals ``B``,
-    so splitting there is exact, and everything stays linear in the length of the text.
-    """
+def lined(docs: DataFrame, text_col: str, window: int, divisor: int) -> DataFrame:
+    """Add ``_lines`` and ``_spans``: the lines of each text, and ``at`` and ``to`` (first and last line) of its chunks in order."""
     step = docs.withColumn("_lines", F.split(F.col(text_col), "\n", -1)).withColumn("_h0", F.transform("_lines", lambda x: F.xxhash64(x)))
     zero = F.array(F.lit(0).cast("bigint"))
     names = ["_h0"]
@@ -33,36 +32,55 @@ def chunked(docs: DataFrame, text_col: str = "text", window: int = 3, divisor: i
         step = step.withColumn(f"_h{k}", F.concat(zero, F.col(f"_h{k - 1}")))
         names.append(f"_h{k}")
     ends = lambda z: F.pmod(F.xxhash64(*(z[n] for n in names)), F.lit(divisor)) == 0
-    marked = F.transform(F.filter(F.arrays_zip("_lines", *names), lambda z: z["_lines"].isNotNull()), lambda z: F.concat(F.lit("L"), z["_lines"], F.when(ends(z), F.lit("\nB")).otherwise(F.lit(""))))
-    joined = F.regexp_replace(F.array_join(marked, "\n"), "\\nB\\z", "")
-    return step.withColumn("_chunks", F.split(joined, "\nB\n", -1)).drop("_lines", *names)
+    last = F.size("_lines") - 1
+    inner = F.transform(F.arrays_zip(*names), lambda z, i: F.when(ends(z) & (i < last), i))
+    step = step.withColumn("_stops", F.concat(F.filter(inner, lambda i: i.isNotNull()), F.array(last))).drop(*names)
+    starts = F.concat(F.array(F.lit(0)), F.transform("_stops", lambda i: i + 1))
+    spans = F.filter(F.arrays_zip(starts.alias("at"), F.col("_stops").alias("to")), lambda z: z["to"].isNotNull())
+    return step.withColumn("_spans", spans).drop("_stops")
+
+
+def chunked(docs: DataFrame, text_col: str = "text", window: int = 3, divisor: int = 4) -> DataFrame:
+    """Add ``_chunks``: the chunks of each text in order, every line marked by a leading ``L``."""
+    step = lined(docs, text_col, window, divisor)
+    cut = F.transform("_spans", lambda z: F.concat(F.lit("L"), F.array_join(F.slice("_lines", z["at"] + 1, z["to"] - z["at"] + 1), "\nL")))
+    return step.withColumn("_chunks", cut).drop("_lines", "_spans")
 
 
-def plain(chunks: Column) -> Column:
-    """The text of marked chunks."""
-    return F.replace(F.substring(F.array_join(chunks, "\n"), 2, 2**31 - 1), F.lit("\nL"), F.lit("\n"))
+def _runs(min_lines: int) -> Column:
+    """``at`` and ``to`` of every ``min_lines`` neighbouring non-blank lines."""
+    full = F.filter(F.transform("_lines", lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) != "", i)), lambda i: i.isNotNull())
+    later = F.slice(full, min_lines, F.greatest(F.size(full), F.lit(0)))
+    return F.filter(F.arrays_zip(full.alias("at"), later.alias("to")), lambda z: z["to"].isNotNull())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4, min_lines: int = 2) -> DataFrame:
-    """The rows with repeated chunks cut out of the text, and ``n_lines``, ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines``."""
-    cut = chunked(docs.select(id_col, text_col), text_col, window, divisor)
-    rows = cut.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode("_chunks").alias("_ix", "_chunk"))
-    rows = rows.where(F.length("_chunk") - F.length(F.replace("_chunk", F.lit("\n"), F.lit(""))) >= min_lines - 1).withColumn("_key", F.xxhash64("_chunk"))
+    """The rows with repeated lines cut out of the text, and ``n_lines``, ``n_chunks``, ``n_removed_chunks`` (that lost lines), ``n_removed_lines``."""
+    cut = lined(docs.select(id_col, text_col), text_col, window, divisor)
+    spans = F.array_union(F.filter("_spans", lambda z: z["to"] - z["at"] + 1 >= min_lines), _runs(min_lines))
+    runs = F.transform(spans, lambda z: F.struct(z["at"].alias("at"), z["to"].alias("to"), F.array_join(F.slice("_lines", z["at"] + 1, z["to"] - z["at"] + 1), "\n").alias("run")))
+    rows = cut.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.explode(runs).alias("_r")).select("_id", "_text", F.col("_r.at").alias("_at"), F.col("_r.to").alias("_to"), F.col("_r.run").alias("_run"))
+    rows = rows.withColumn("_key", F.xxhash64("_run"))
     again = stored(rows.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"), "repeated")
-    shared = stored(rows.join(few(again, again.count()), "_key", "left_semi"), "chunks")
-    first = shared.groupBy("_key", "_chunk").agg(F.min(F.struct("_id", "_text", "_ix")).alias("_first"))
+    shared = stored(rows.join(few(again, again.count()), "_key", "left_semi"), "runs")
+    first = shared.groupBy("_key", "_run").agg(F.min(F.struct("_id", "_text", "_at", "_to")).alias("_first"))
     # Joined by hash, then compared byte by byte.
-    same = shared.alias("s").join(first.alias("f"), (F.col("s._key") == F.col("f._key")) & (F.col("s._chunk") == F.col("f._chunk")))
-    gone = same.where(~F.struct("s._id", "s._text", "s._ix").eqNullSafe(F.col("f._first"))).select("s._id", "s._text", "s._ix").distinct()
+    same = shared.alias("s").join(first.alias("f"), (F.col("s._key") == F.col("f._key")) & (F.col("s._run") == F.col("f._run"))).select("s._id", "s._text", "s._at", "s._to", "f._first")
+    later = same.where(~F.struct("_id", "_text", "_at", "_to").eqNullSafe(F.col("_first")))
+    own = F.struct("_id", "_text").eqNullSafe(F.struct("_first._id", "_first._text"))
+    begin = F.when(own, F.greatest("_at", F.col("_first._to") + 1)).otherwise(F.col("_at"))
+    gone = later.withColumn("_at", begin).where("_at <= _to").select("_id", "_text", F.explode(F.sequence("_at", "_to")).alias("_ix"))
     drops = stored(gone.groupBy("_id", "_text").agg(F.collect_set("_ix").alias("_drop")).withColumnRenamed("_text", "_of"), "drops")
-    # Texts without a removed chunk meet no match; they keep their bytes as they are.
+    # Texts without a removed line meet no match; they keep their bytes as they are.
     joined = docs.join(few(drops, drops.count(), 500_000), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_of")), "left").drop("_id", "_of")
-    done = chunked(joined, text_col, window, divisor)
-    kept = F.filter("_chunks", lambda x, k: ~F.coalesce(F.array_contains("_drop", k), F.lit(False)))
-    lines = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + 1 + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    out = done.withColumn("_kept", kept).withColumns({"n_lines": F.coalesce(lines("_chunks"), F.lit(0)).cast("long"), "n_chunks": F.coalesce(F.size("_chunks"), F.lit(0)).cast("long"), "n_removed_chunks": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-    out = out.withColumn("n_removed_lines", F.when(F.col("n_removed_chunks") > 0, F.col("n_lines") - lines("_kept")).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("n_removed_chunks") > 0, plain(F.col("_kept"))).otherwise(F.col(text_col)))
+    done = lined(joined, text_col, window, divisor)
+    changed = F.col("_drop").isNotNull()
+    chunk_of = F.flatten(F.transform("_spans", lambda z, k: F.array_repeat(k, z["to"] - z["at"] + 1)))
+    out = done.withColumns({"n_lines": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).cast("long"), "n_chunks": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_spans")), F.lit(0)).cast("long"), "n_removed_lines": F.coalesce(F.when(changed, F.size("_drop")), F.lit(0)).cast("long"), "_of": F.when(changed, chunk_of)})
+    out = out.withColumn("n_removed_chunks", F.coalesce(F.when(changed, F.size(F.array_distinct(F.transform("_drop", lambda i: F.get("_of", i))))), F.lit(0)).cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    out = out.withColumn(text_col, F.when(changed, kept).otherwise(F.col(text_col)))
     return out.select(*docs.columns, "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 

@@ -246,6 +246,16 @@ def test_line_dedup(spark):
     assert again.where("n_removed_chunks > 0 and doc_id < 20").count() == 0
 
 
+def test_line_dedup_takes_short_passages_whole(spark):
+    passage = ["a passage of two lines", "that stands in many texts"]
+    texts = [(i, "\n".join([f"own {i}", *passage[:1], *passage[1:], f"end {i}"])) for i in range(9)]
+    texts += [(20, "\n".join(["x"] * 5)), (21, "p\n\nq"), (22, "r\np\n\nq\ns"), (23, "\n\n"), (None, "null first\ntwice"), (24, "k\nnull first\ntwice")]
+    got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in linededup.dedup_lines(_docs(spark, texts)).collect()}
+    assert got[0] == (texts[0][1], 0) and all(got[i] == (f"own {i}\nend {i}", 2) for i in range(1, 9))
+    assert got[20] == ("x\nx", 3) and got[21] == ("p\n\nq", 0) and got[22] == ("r\ns", 3)
+    assert got[23] == ("\n\n", 0) and got[None][1] == 0 and got[24] == ("k", 2)
+
+
 def test_sharding(spark):
     rng = random.Random(7)
     texts = [(i, "x" * rng.randint(0, 200)) for i in range(3000)] + [(5, "same"), (5, "same"), (None, None)]
