@@ -2,11 +2,13 @@
 
 A multinomial logistic classifier over hashed words is trained on labelled rows (a bounded sample: ``train_rows``
 rows in hash order) and predicts, for every document, posteriors over the domains of the label table.  With
-``a[d, k] = tokens(d) * posterior(d, k)``, nonnegative rates ``r`` are fitted so that the expected tokens per domain
-``sum_d r[d] a[d, k]`` match the targets: projected gradient steps on the least-squares error, in the metric of
-the domains' Gram matrix over rows with positive rates, from ``r = 1``.  A step changes a rate by the document's own row times one vector of
-as many numbers as there are domains; the driver keeps only those vectors, and each step is one distributed
-aggregation that rebuilds the rates from them.
+``a[d, k] = tokens(d) * posterior(d, k)``, rates ``r`` are fitted so that the expected tokens per domain
+``sum_d r[d] a[d, k]`` match the targets, with the least relative change of rates, ``sum_d tokens(d) (r[d] - 1)^2``.
+A rate is at least 0, and at least 1 for a document whose likeliest domain is ``high``: clean documents are repeated,
+never left out.  The best rates have the form ``max(least, 1 - posterior . g)`` with one vector ``g`` of as many numbers
+as there are domains, so a document's length does not decide its rate; ``g`` is found by projected Newton steps on the
+driver, each one distributed aggregation that rebuilds the rates from ``g``.  If clean documents alone exceed a target's
+share, the total of tokens becomes free too and the shares are met with more tokens.
 
 Defined cases: null labels are ignored, of several labels of a document the largest counts; a null or empty
 text has 0 tokens, equal posteriors and rate 1; without usable labels there is one domain and all rates are 1;
@@ -126,47 +128,78 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     return docs.select(id_col, F.xxhash64(text_col).alias("_h"), text_col).mapInArrow(run, f"id {ids}, text_hash bigint, n_tokens bigint, p array<double>")
 
 
-def _rate(history: list[np.ndarray], scale: float, k: int) -> Column:
-    """Rates after the steps so far, from the steps' vectors."""
-    a = [F.col("p")[j] * F.col("n_tokens") / F.lit(scale) for j in range(k)]
-    r = F.lit(1.0)
-    if history:
-        steps = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in history))
-        move = lambda g: sum((a[j] * g[j] for j in range(1, k)), a[0] * g[0])
-        r = F.aggregate(steps, F.lit(1.0), lambda acc, g: F.greatest(F.lit(0.0), acc - move(g)))
-    return r
+#: Documents whose likeliest domain is this one keep a rate of 1 at least.
+CLEAN = "high"
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int, steps: int, id_col: str, text_col: str) -> tuple[DataFrame, Classifier, list[np.ndarray], float]:
-    """The posterior table, the classifier, the vectors of the steps and the scale of a row's tokens."""
+def _rate(g: np.ndarray, domains: list[str]) -> Column:
+    """Rates by the vector ``g``; a row without tokens has rate 1."""
+    p = [F.col("p")[j] for j in range(len(domains))]
+    return F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.greatest(_least(domains), _free(g, p)))
+
+
+def _free(g: np.ndarray, p: list[Column]) -> Column:
+    return F.lit(1.0) - sum((x * float(y) for x, y in zip(p[1:], g[1:], strict=True)), p[0] * float(g[0]))
+
+
+def _least(domains: list[str]) -> Column:
+    if CLEAN not in domains:
+        return F.lit(0.0)
+    return F.when(F.col("p")[domains.index(CLEAN)] >= F.array_max("p"), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def _newton(table: DataFrame, domains: list[str], want: np.ndarray, total: int, steps: int, free: bool) -> tuple[np.ndarray, bool]:
+    """The vector whose rates meet the shares ``want`` of ``total`` tokens, or of any number of them if ``free``; and whether it does."""
+    k = len(domains)
+    p = [F.col("p")[j] for j in range(k)]
+    w = F.col("n_tokens") / F.lit(float(total))
+    g, size, best, pace, base = np.zeros(k), 1.0, np.inf, 1.0, None
+    for _ in range(steps):
+        # The Gram matrix of the rows that a step can move.
+        moves = _free(g, p) >= _least(domains)
+        gram_sums = [F.sum(F.when(moves, w * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
+        got = np.array(table.agg(*(F.sum(_rate(g, domains) * w * x) for x in p), *gram_sums).first(), dtype=float)
+        miss = got[:k] - want * size
+        if np.abs(miss).max() <= 1e-4 * size:
+            return g, True
+        off = float(np.linalg.norm(miss)) / size
+        if off < best * (1 - 1e-9):
+            gram = got[k:].reshape(k, k)
+            best, base, pace = off, (g, size, gram + 1e-6 * np.trace(gram) * np.eye(k), miss), min(1.0, 4 * pace)
+        else:
+            pace /= 4
+        at, was, gram, miss = base
+        if free:
+            edge = np.block([[gram, want[:, None]], [want[None, :], np.zeros((1, 1))]])
+            x = np.linalg.pinv(edge) @ np.r_[miss, -(want @ at)]
+            g, size = at + pace * x[:k], max(0.05, was + pace * x[k])
+        else:
+            g = at + pace * (np.linalg.pinv(gram) @ miss)
+    return base[0] if base else np.zeros(k), False
+
+
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int, steps: int, id_col: str, text_col: str) -> tuple[DataFrame, Classifier, np.ndarray]:
+    """The posterior table, the classifier and the vector of the rates."""
     small_batches(docs.sparkSession)
     model = fit_classifier(docs, labels, train_rows, id_col, text_col)
     table = stored(posteriors(docs, model, id_col, text_col), "posteriors")
     k = len(model.domains)
-    n, total, *_ = table.agg(F.count("*"), F.sum("n_tokens")).first()
-    if k == 1 or not total:
-        return table, model, [], 1.0
-    scale = total / n
-    a = [F.col("p")[j] * F.col("n_tokens") / F.lit(scale) for j in range(k)]
+    total = table.agg(F.sum("n_tokens")).first()[0]
     want = np.array([targets.get(d, 0.0) for d in model.domains])
-    goal = want / want.sum() * total / scale
-    history: list[np.ndarray] = []
-    for _ in range(steps):
-        row = table.select(_rate(history, scale, k).alias("r"), *(x.alias(f"a{j}") for j, x in enumerate(a)))
-        # The Gram matrix of the rows that a step can still move down or up.
-        gram_sums = [F.sum(F.when(F.col("r") > 0, F.col(f"a{i}") * F.col(f"a{j}")).otherwise(0.0)) for i in range(k) for j in range(k)]
-        got = np.array(row.agg(*(F.sum(F.col("r") * F.col(f"a{j}")) for j in range(k)), *gram_sums).first(), dtype=float)
-        miss, gram = got[:k] - goal, got[k:].reshape(k, k)
-        if np.abs(miss).max() <= 1e-4 * goal.sum():
-            break
-        history.append(np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ miss)
-    return table, model, history, scale
+    if k == 1 or not total or not want.sum():
+        return table, model, np.zeros(k)
+    want = want / want.sum()
+    g, met = _newton(table, model.domains, want, total, steps, False)
+    if not met:
+        other, met = _newton(table, model.domains, want, total, steps, True)
+        g = other if met else g
+    return table, model, g
 
 
 def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int = TRAIN_ROWS, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier]:
     """``id, text_hash, n_tokens, p, rate`` of every row; targets are shares of all tokens by domain."""
-    table, model, history, scale = _fit(docs, labels, targets, train_rows, steps, id_col, text_col)
-    return table.withColumn("rate", _rate(history, scale, len(model.domains))), model
+    table, model, g = _fit(docs, labels, targets, train_rows, steps, id_col, text_col)
+    return table.withColumn("rate", _rate(g, model.domains)), model
 
 
 def _uniform(*key: str | Column) -> Column:
@@ -184,20 +217,19 @@ TARGETS = {"high": 0.85, "low": 0.09, "toxic": 0.06}
 
 def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, each as often as its rate says; posteriors and rate are computed again in place, without a join."""
-    _, model, history, scale = _fit(docs, labels, targets, TRAIN_ROWS, STEPS, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model, history, scale))
+    _, model, g = _fit(docs, labels, targets, TRAIN_ROWS, STEPS, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model, g))
     at, width = docs.columns.index(text_col), len(docs.columns)
     keyed = docs.withColumn("_u", _uniform(id_col, F.xxhash64(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, history, scale = shared.value
+        model, g = shared.value
         for b in batches:
             for s in bs.slices(b.column(at)):
                 fv, n = features(s)
-                a = model.posteriors(fv) * (n / scale)[:, None]
-                r = np.ones(s.n)
-                for g in history:
-                    r = np.maximum(0.0, r - a @ g)
+                p = model.posteriors(fv)
+                least = p[:, model.domains.index(CLEAN)] >= p.max(axis=1) if CLEAN in model.domains else np.zeros(s.n)
+                r = np.where(n == 0, 1.0, np.maximum(least, 1.0 - p @ g))
                 times = np.floor(r + np.asarray(b.column(width).slice(s.first, s.n))).astype(np.int64)
                 yield b.slice(s.first, s.n).select(range(width)).take(pa.array(np.repeat(np.arange(s.n), times)))
 

@@ -293,6 +293,26 @@ def test_mixing_meets_targets(spark):
     assert mixing.apply_rates(docs.limit(0), lab).count() == 0
 
 
+def test_mixing_keeps_clean_documents(spark):
+    rng = random.Random(9)
+    words = {"fine": (1, 0), "awful": (0, 0), "nasty": (1, 1)}
+    texts, labels = [], []
+    for i in range(300):
+        k = ["fine", "fine", "awful", "nasty"][i % 4]
+        n = 3000 if i % 50 == 0 else rng.randint(20, 60)
+        texts.append((i, " ".join(rng.choice([k, *WORDS]) for _ in range(n))))
+        labels.append((i, *words[k]))
+    docs, lab = _docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for targets in ({"high": 0.5, "low": 0.3, "toxic": 0.2}, mixing.TARGETS):
+        rows = mixing.fit_rates(docs, lab, targets)[0].collect()
+        total = sum(r["rate"] * r["n_tokens"] for r in rows)
+        share = [sum(r["rate"] * r["n_tokens"] * r["p"][j] for r in rows) / total for j in range(3)]
+        assert max(abs(a - b) for a, b in zip(share, targets.values())) < 0.01
+        assert min(r["rate"] for r in rows if r["p"][0] == max(r["p"])) >= 1
+    kept = {r["doc_id"] for r in mixing.apply_rates(docs, lab).collect()}
+    assert {r["id"] for r in rows if r["p"][0] == max(r["p"])} <= kept
+
+
 def test_chat_linking(spark):
     schemas = {"f": {"a": ("string", True), "n": ("integer", False)}}
     calls = spark.createDataFrame([
