@@ -262,17 +262,24 @@ def _leader_links(classes: DataFrame, labels: DataFrame, salt: int) -> DataFrame
 _QUERY = "digest binary, label binary, sub int"
 
 
+#: So far below the largest size the least need can lie; tested over all residues of the rounding (sizes repeat by 45).
+LOOK_BACK = 5
+
+
 def least_hits(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """How many prefix shingles a class of ``n`` must share with a linked class of between ``low`` and ``high``.
 
     A link's overlap is at least 4/9 of both sizes together, and the shingles after a prefix number ``need - l2``.
-    One less is asked for where rounding could matter.
+    The need of the linked class falls with its size but for rounding, so its least value is among the largest sizes.
     """
     ceil = lambda x, y: -(-x // y)
     after = lambda m: ceil(NUM * m, DEN) - np.maximum(1, m // 5)
     low = np.maximum(low, ceil(NUM * n, DEN))
     high = np.minimum(high, DEN * n // NUM)
-    out = np.minimum(ceil(4 * (n + low), 9) - after(n), ceil(4 * (n + high), 9) - after(high) - 1)
+    out = ceil(4 * (n + low), 9) - after(n)
+    for k in range(LOOK_BACK + 1):
+        m = np.maximum(low, high - k)
+        out = np.minimum(out, ceil(4 * (n + m), 9) - after(m))
     return np.where(low <= high, np.maximum(out, 1), np.iinfo(np.int64).max)
 
 

@@ -87,6 +87,19 @@ def test_least_hits_never_prunes_a_link():
                 assert jaccard.least_hits(np.array([n]), np.array([low]), np.array([high]))[0] <= max(1, both)
 
 
+def test_least_hits_over_every_size_of_a_group():
+    import numpy as np
+
+    for n in range(4, 150):
+        sizes = range(-(-4 * n // 5), 5 * n // 4 + 1)
+        o = {m: -(-4 * (n + m) // 9) for m in sizes}
+        both = {m: min(o[m] - jaccard.need(n) + jaccard._l2(n), o[m] - jaccard.need(m) + jaccard._l2(m)) for m in sizes}
+        for low in sizes:
+            least = np.minimum.accumulate([both[m] for m in range(low, sizes.stop)])
+            got = jaccard.least_hits(np.full(len(least), n), np.full(len(least), low), np.arange(low, sizes.stop))
+            assert (got == np.maximum(1, least)).all()
+
+
 def test_keep_one_per_component(spark):
     texts = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (9, ""), (3, "a b c d e f g h"), (None, "q")]
     assert sorted((r["doc_id"] or -1) for r in jaccard.keep_one_per_component(_docs(spark, texts)).collect()) == [-1, 3, 9]
