@@ -124,6 +124,27 @@ def test_quality_counts(spark):
     assert quality.filter_quality(_docs(spark, [])).count() == 0
 
 
+def test_quality_rejects_encoded_noise(spark):
+    rng = random.Random(11)
+    texts, n = [], 0
+    for size in (150, 200, 300, 600, 1000, 3000, 8000, 15000, 40000):
+        raw = rng.randbytes(size)
+        for kind, code in (("64", base64.b64encode), ("85", base64.b85encode), ("hex", base64.b16encode)):
+            t = code(raw).decode()[:size]
+            for k, sep in ((76, "\n"), (9, " ")):
+                if kind != "hex" or size >= 3000:
+                    texts.append((n := n + 1, sep.join(t[i : i + k] for i in range(0, size, k))[:size]))
+    assert quality.filter_quality(_docs(spark, texts)).count() == 0
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    base = quality.quality_measures(real).where("not base_failed")
+    assert base.where("kept").count() >= 0.99 * base.count()
+    prose = next(r["text"] for r in real.join(base.where("kept"), "doc_id").collect() if len(r["text"].encode()) > 4096)
+    head = prose.encode()[:4096].decode(errors="ignore")
+    noise = base64.b64encode(rng.randbytes(3000)).decode()
+    tail = "\n".join(noise[i : i + 76] for i in range(0, 2800, 76))
+    assert quality.quality_measures(_docs(spark, [(1, head + "\n" + tail)])).first()["odd_chunk_share"] > 0.25
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
