@@ -151,39 +151,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     spark = docs.sparkSession
     small_batches(spark)
     ids = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {ids}, n_words bigint, hits array<struct<a:bigint,b:bigint>>, items array<string>, n_near bigint"
+    found = "n_words bigint, hits array<struct<a:bigint,b:bigint>>, items array<string>, n_near bigint"
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-
-    def lookup(rows: list[tuple]) -> DataFrame:
+    out, blocks = docs.select(F.col(id_col), F.col(text_col).alias("_text")), 0
+    for rows in _blocks(benchmark, item_col, item_text, block_bytes):
+        # What the earlier blocks found travels with its row, so rows need no name of their own.
         shared = spark.sparkContext.broadcast(build_windows(rows, width))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=blocks > 0) -> Iterator[pa.RecordBatch]:
             w = shared.value
             for b in batches:
                 for s in bs.slices(b.column(1)):
                     n_words, hit, pairs, near, doc = _lookup(s, w, slop)
-                    items: list[list[str]] = [[] for _ in range(s.n)]
+                    items: list[list[str]] = b.column(4).slice(s.first, s.n).to_pylist() if later else [[] for _ in range(s.n)]
+                    spans: list[list[dict]] = b.column(3).slice(s.first, s.n).to_pylist() if later else [[] for _ in range(s.n)]
+                    if later:
+                        near = near + b.column(5).slice(s.first, s.n).to_numpy(zero_copy_only=False)
                     for d, i in pairs:
                         items[d].append(w.items[i])
                     first = np.cumsum(n_words) - n_words
-                    spans: list[list[dict]] = [[] for _ in range(s.n)]
                     for d in np.unique(doc[hit]).tolist():
                         own = hit[first[d] : first[d] + n_words[d]].astype(np.int8)
                         edge = np.flatnonzero(np.diff(np.r_[0, own, 0]))
-                        spans[d] = [{"a": int(x), "b": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
-                    cols = [b.column(0).slice(s.first, s.n), pa.array(n_words.astype(np.int64)), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string())), pa.array(near)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "hits", "items", "n_near"])
-
-        return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-    found = [lookup(rows) for rows in _blocks(benchmark, item_col, item_text, block_bytes)]
-    out = found[0]
-    if len(found) > 1:
-        # Several blocks: their word intervals are merged per document; rows of one id and length are one document.
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy(id_col, "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near"))
-        out = out.withColumn("hits", F.array_sort("hits"))
+                        spans[d] += [{"a": int(x), "b": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
+                    cols = [b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array(n_words.astype(np.int64)), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string())), pa.array(near)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[id_col, "_text", "n_words", "hits", "items", "n_near"])
+
+        text = out.schema["_text"].dataType.simpleString()
+        out, blocks = out.mapInArrow(run, f"{id_col} {ids}, _text {text}, {found}"), blocks + 1
+    if blocks > 1:
+        # Several blocks: the word intervals of a row are merged.
+        out = out.withColumns({"hits": F.array_sort("hits"), "items": F.array_distinct("items")})
         # Sum of the union of sorted intervals, carrying (covered, end).
         union = F.aggregate("hits", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("e")), lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("bigint"), x["b"] - F.greatest(x["a"], acc["e"]))).alias("n"), F.greatest(acc["e"], x["b"]).alias("e")))["n"]
     else:

@@ -202,6 +202,13 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(_docs(spark, texts), items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_reports_each_row_in_every_block(spark):
+    texts = [(1, "a b c x"), (1, "a b c x"), (1, "p q r y"), (1, "a b c p q r"), (None, "a b c x"), (None, "w w w w"), (None, "p q r z"), (2, None)]
+    items = spark.createDataFrame([(1, "a b c"), (2, "p q r"), (3, "b c")], "item_id long, text string")
+    rows = lambda block: sorted(map(repr, decontaminate.decontaminate(_docs(spark, texts), items, width=3, slop=2, block_bytes=block).drop("hit_spans").collect()))
+    assert len(rows(1)) == len(texts) and rows(1) == rows(1 << 20)
+
+
 def test_warc_round_trip(spark):
     html = [(1, "u", "a"), (2, "u", "a"), (3, None, None), (4, "v\r\nX: y", ""), (5, "w", "é" * 3000), (6, "w", "WARC/1.1\r\n\r\n"), (None, "z", "a")]
     pages = spark.createDataFrame([(*r, 1) for r in html], "page_id long, url string, html string, payload int")
