@@ -7,10 +7,13 @@ none needs a shuffle except where findings are grouped by document.
 from __future__ import annotations
 
 import difflib
+import heapq
 import textwrap
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,12 +169,57 @@ def reflow(paragraph: str | None, widths: range = range(70, 110)) -> str | None:
     return "\n".join(best[1])
 
 
+#: Words that are compared with each other in one step.
+SUGGEST_BLOCK = 4000
+_SLOTS = 64
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Letters of each word by slot; slots shared by letters only raise the overlap of two words."""
+    out = np.zeros((len(words), _SLOTS), np.int32)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    np.add.at(out, (owner, np.fromiter((ord(c) % _SLOTS for w in words for c in w), np.int64, len(owner))), 1)
+    return out
+
+
+def _closest(words: list[str], known: list[str], n: int, cutoff: float) -> Iterator[tuple[str, str, float]]:
+    """The ``n`` best of ``known`` for each word; only those are compared whose shared letters allow a ratio that counts."""
+    have, size = _letters(known), np.array([len(k) for k in known])
+    for word, own in zip(words, _letters(words), strict=True):
+        total = size + len(word)
+        limit = 2.0 * np.minimum(have, own).sum(axis=1) / np.maximum(total, 1)
+        near = np.flatnonzero(limit >= cutoff)
+        matcher, best = difflib.SequenceMatcher(), []
+        matcher.set_seq2(word)
+        for i in near[np.argsort(-limit[near], kind="stable")].tolist():
+            if len(best) == n and limit[i] < best[0][0]:
+                break
+            if known[i] == word:
+                continue
+            matcher.set_seq1(known[i])
+            if (score := matcher.ratio()) >= cutoff:
+                (heapq.heappush if len(best) < n else heapq.heappushpop)(best, (score, known[i]))
+        yield from ((word, k, score) for score, k in best)
+
+
 def suggestions(words: DataFrame, lexicon: DataFrame, n: int = 5, cutoff: float = 0.6) -> DataFrame:
-    """The closest lexicon words of each word, among those with its first letter and nearly its length."""
-    near = words.select("word").distinct().join(lexicon.select(F.col("word").alias("known")), (F.substring("word", 1, 1) == F.substring("known", 1, 1)) & F.abs(F.length("word") - F.length("known")).between(0, 2) & (F.col("word") != F.col("known")))
-    ratio = F.pandas_udf(lambda a, b: pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)]), "double")
-    scored = near.withColumn("score", ratio("word", "known")).where(F.col("score") >= cutoff)
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "known"))).where(F.col("rank") <= n)
+    """The closest other lexicon words of each word, as ``difflib.get_close_matches`` over the whole lexicon gives them."""
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        one = df.select("word").where("word is not null").distinct()
+        blocks = max(1, -(-one.count() // SUGGEST_BLOCK))
+        return one.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).alias(f"_{name}")).agg(F.collect_list("word").alias(name)).repartition(min(blocks, 200), f"_{name}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = list(zip(*_closest(b.column(0)[i].as_py(), b.column(1)[i].as_py(), n, cutoff), strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["word", "known", "score"])
+
+    words.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
+    scored = packed(words, "words").crossJoin(packed(lexicon, "lexicon")).select("words", "lexicon").mapInArrow(run, "word string, known string, score double")
+    # Ties go to the later word, as there.
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), F.desc("known")))).where(F.col("rank") <= n)
     return best.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "known"))).alias("s")).select("word", F.transform("s", lambda x: x["known"]).alias("suggestions"))
 
 
@@ -187,9 +235,9 @@ def _space_edits(docs: DataFrame) -> DataFrame:
 
 
 def _suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = lambda name: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("word")).where(F.length("word") > 5)
-    lexicon = split("benchmark").distinct()
-    return suggestions(split("conversations").join(lexicon, "word", "left_anti"), lexicon)
+    """For every word of the documents, the closest other words of their lexicon."""
+    lexicon = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("word")).distinct()
+    return suggestions(lexicon, lexicon)
 
 
 QUERIES = {

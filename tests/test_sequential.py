@@ -25,6 +25,21 @@ def test_reflow():
     assert out.split() == text.split() and max(map(len, out.split("\n"))) < 110
 
 
+def test_suggestions_are_those_of_the_whole_lexicon(spark, monkeypatch):
+    import difflib
+    import random
+
+    monkeypatch.setattr(s, "SUGGEST_BLOCK", 40)
+    rng = random.Random(2)
+    known = ["quality", "uncomfortable", "comfort", *{"".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(200)}]
+    words = ["kwality", "uncomfort", "zzz", *known[:60]]
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    got = {r["word"]: r["suggestions"] for r in s.suggestions(frame(words), frame(known)).collect()}
+    assert got["kwality"][0] == "quality" and "uncomfortable" in got["uncomfort"]
+    for w in words:
+        assert got.get(w, []) == difflib.get_close_matches(w, [k for k in known if k != w], 5, 0.6)
+
+
 @pytest.mark.parametrize("name", sorted(s.QUERIES))
 def test_runs(spark, name):
     assert s.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
