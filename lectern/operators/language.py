@@ -42,12 +42,6 @@ LOOKAROUND = {
         "comparethen": r"\b(?:more \p{L}+|less|\p{L}{3,}er) then\b",
     },
     "start-case": {"punclower": r"(?<=[\p{Ll}]{2}[.!?] )\p{Ll}", "upperbracket": r"(?<=\p{Ll} \()\p{Lu}(?=\p{Ll})"},
-    "line-style": {
-        "sentorphan": rf"(?<=[.!?] ){_W}+(?=\s*\n)",
-        "clauseorphan": rf"(?<!,)\b(?:and|or) {_W}+(?=\s*\n)",
-        "lastword": r"(?<= )(?:a|an|the)(?=\s*\n)",
-        "sentwidow": r"(?<=\n)[A-Za-z][\p{L}\p{N}_'’\-]*(?=[.!?]\s)",
-    },
 }
 
 
@@ -58,6 +52,28 @@ def lookaround_rules(docs: DataFrame, rules: dict[str, dict[str, str]] = LOOKARO
     return docs.where("text is not null").select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("_r")).select("doc_id", "_r.*")
 
 
+def line_style(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, rule, output``: words that a line break leaves alone, judged by the first and last tokens of each line.
+
+    ``opens_at_end``: a sentence's first word stands last in its line; ``ends_at_start``: a sentence's last word stands
+    first in its line, with more after it; ``joined_at_end``: a conjunction without a comma before it, and the word after
+    it, close a line; ``article_at_end``: an article does.  The last line of a text has no break after it.
+    """
+    lines = docs.where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("_l")).select("doc_id", F.size("_l").alias("_n"), F.posexplode("_l").alias("line_no", "_line"))
+    t = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), (F.col("line_no") + 1 < F.col("_n")).alias("_broken"), (F.col("line_no") > 0).alias("_inner"), F.filter(F.split("_line", " "), lambda x: x != "").alias("_t"))
+    last, before, third, first = (F.try_element_at("_t", F.lit(i)) for i in (-1, -2, -3, 1))
+    word = lambda x: x.rlike(r"^[\p{L}\p{N}]+$")
+    stop = lambda x: x.rlike("[.!?]$")
+    rules = (
+        ("opens_at_end", F.col("_broken") & stop(before) & word(last), last),
+        ("ends_at_start", F.col("_inner") & (F.size("_t") > 1) & first.rlike(r"^[\p{L}\p{N}]+[.!?]$"), first),
+        ("joined_at_end", F.col("_broken") & before.isin("and", "or") & word(last) & ~third.rlike(",$"), F.concat_ws(" ", before, last)),
+        ("article_at_end", F.col("_broken") & (F.size("_t") > 1) & last.isin("a", "an", "the"), last),
+    )
+    hits = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(k).alias("rule"), o.alias("output"))) for k, c, o in rules)))
+    return t.select("doc_id", "line_no", F.explode(hits).alias("_h")).select("doc_id", "line_no", "_h.*")
+
+
 def positions(docs: DataFrame, pattern: str) -> DataFrame:
     """``doc_id, start, output`` of every match, from the lengths of the pieces between."""
     parts = docs.where("text is not null").select("doc_id", F.split("text", pattern, -1).alias("_p"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("_m"))
@@ -167,7 +183,8 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "lookaround_rules": lambda spark, sf: lookaround_rules(_docs(spark, sf)),
-    "match_positions": lambda spark, sf: positions(_docs(spark, sf), LOOKAROUND["line-style"]["sentwidow"]),
+    "line_style": lambda spark, sf: line_style(_docs(spark, sf)),
+    "match_positions": lambda spark, sf: positions(_docs(spark, sf), LOOKAROUND["mark"]["puncspaceend"]),
     "abbreviation": lambda spark, sf: abbreviations(_docs(spark, sf)),
     "collocation": lambda spark, sf: collocations(_lexicon(spark, sf)),
     "clauses": lambda spark, sf: clauses(_docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n")),
@@ -176,6 +193,14 @@ QUERIES = {
     "overuse": lambda spark, sf: overuse(_docs(spark, sf)),
 }
 ORACLES = {
+    "line_style": r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+r AS (SELECT doc_id, unnest(range(len(x))) AS line_no, len(x) AS n, unnest(x) AS line FROM l),
+q AS (SELECT doc_id, line_no, n, regexp_replace(regexp_replace(line, ' +', ' ', 'g'), '^ | $', '', 'g') AS line FROM r)
+SELECT doc_id, line_no, 'opens_at_end' AS rule, regexp_extract(line, '[^ ]+$') AS output FROM q WHERE line_no + 1 < n AND regexp_matches(line, '[.!?] [\p{L}\p{N}]+$')
+UNION ALL SELECT doc_id, line_no, 'ends_at_start', regexp_extract(line, '^[^ ]+') FROM q WHERE line_no > 0 AND regexp_matches(line, '^[\p{L}\p{N}]+[.!?] ')
+UNION ALL SELECT doc_id, line_no, 'joined_at_end', regexp_extract(line, '[^ ]+ [^ ]+$') FROM q WHERE line_no + 1 < n AND regexp_matches(line, '[^, ] (and|or) [\p{L}\p{N}]+$')
+UNION ALL SELECT doc_id, line_no, 'article_at_end', regexp_extract(line, '[^ ]+$') FROM q WHERE line_no + 1 < n AND regexp_matches(line, ' (a|an|the)$')""",
     "collocation": r"""
 WITH RECURSIVE w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[\x27\x{2019}\-][\p{L}\p{N}_]+)*')) AS word FROM documents),
 k AS (SELECT word FROM w WHERE NOT regexp_matches(word, '[-.\p{N}]') AND word NOT IN ('ad', 'al', 'de', 'ed', 'el', 'es', 'ing', 're', 'un') AND (length(word) >= 4 OR regexp_matches(word, '[aeiou]'))),

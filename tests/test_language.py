@@ -27,10 +27,16 @@ def test_lookaround_equals_another_engine(spark):
 def test_lookaround_cases(spark):
     text = "Wait,, now. is .5 long, 12345 and 1,234 but 1,23 x; word ,and 007.\nA line a\nend. More"
     got = {(r["tool"], r["rule"]) for r in g.lookaround_rules(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()}
-    assert {("mark", "double"), ("number", "nozero"), ("number", "digitsep"), ("number", "digitsepless"), ("number", "zeronodot"), ("line-style", "lastword"), ("line-style", "sentwidow")} <= got
+    assert {("mark", "double"), ("number", "nozero"), ("number", "digitsep"), ("number", "digitsepless"), ("number", "zeronodot")} <= got
     assert ("number", "digitsepzero") not in got
 
 
+def test_line_style(spark):
+    text = "We went home. Then\nit was dark and cold\nthere. All of the\nrest slept, and dreamed\nA B. end"
+    got = told(g.line_style(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "the"), (5, "a\n\nx. y")], "doc_id long, text string")), "doc_id", "line_no", "rule", "output")
+    assert got == [(1, 0, "opens_at_end", "Then"), (1, 1, "joined_at_end", "and cold"), (1, 2, "article_at_end", "the"), (1, 2, "ends_at_start", "there."), (5, 2, "ends_at_start", "x.")]
+
+
 def test_positions(spark):
     docs = spark.createDataFrame([(1, "aXbbXX"), (2, None), (3, "X")], "doc_id long, text string")
     assert told(g.positions(docs, "X"), "doc_id", "start") == [(1, 1), (1, 4), (1, 5), (3, 0)]
