@@ -3,16 +3,19 @@
 A small regex syntax (literals, classes, groups, ``|``, ``*``, ``+``, ``?``, ``{m}``, ``{m,}``, ``{m,n}``,
 ``\\xHH`` and escaped characters) over bytes is parsed into a Thompson NFA.  Subset construction over byte
 classes joins all rules into one DFA whose states carry the set of rules they accept; Moore partition
-refinement minimises it.  The result is a flat transition array scanned for all rules at once.
+refinement minimises it.  The result is a transition array that scans for all rules at once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
+from operator import getitem, itemgetter
 
 import numpy as np
 
 _EPS = -1
+_CODE = itemgetter(256)
 
 
 class _Parser:
@@ -138,31 +141,71 @@ class Dfa:
 
     table: np.ndarray
     accept: np.ndarray
-    live: np.ndarray
     start: int
 
-    def longest(self, data: bytes | memoryview, at: int, rules: int) -> dict[int, int]:
-        """End of the longest match of each of the rules that begins at a position (a plain walk, for long matches)."""
-        s, ends, table, accept, live = self.start, {}, self.table, self.accept, self.live
+
+class Scanner:
+    """A DFA as linked transition arrays: a state is a list of 256 next states and, last, the number of its rule mask.
+
+    One byte is one list access, so a scan is a chain of C calls over the bytes, linear in their number.
+    """
+
+    def __init__(self, dfa: Dfa):
+        masks, code = np.unique(dfa.accept, return_inverse=True)
+        # No rule is number 0, whether or not a state without one exists.
+        if masks[0] != 0:
+            masks, code = np.r_[0, masks], code + 1
+        assert len(masks) <= 256, "too many sets of rules for one byte"
+        self.masks = masks
+        states: list[list] = [[] for _ in dfa.accept]
+        for own, row, c in zip(states, dfa.table.reshape(-1, 256).tolist(), code.tolist(), strict=True):
+            own += [states[t] for t in row]
+            own.append(c)
+        self.dead, self.start, self.states = states[0], states[dfa.start], states
+
+    def __del__(self):
+        # The arrays refer to each other in cycles.
+        for s in self.states:
+            s.clear()
+
+    def marks(self, data: bytes) -> bytes:
+        """The number of the rule mask after each byte."""
+        return bytes(map(_CODE, accumulate(data, getitem, initial=self.start)))[1:]
+
+    def longest(self, data: bytes, at: int) -> int:
+        """End of the longest match that begins at a position, or -1."""
+        state, dead, end = self.start, self.dead, -1
         for i in range(at, len(data)):
-            s = table[s * 256 + data[i]]
-            if not (s and live[s] & rules):
+            state = state[data[i]]
+            if state is dead:
                 break
-            if hit := int(accept[s]) & rules:
-                for k in range(hit.bit_length()):
-                    if hit >> k & 1:
-                        ends[k] = i + 1
-        return ends
-
-
-def compile_rules(patterns: list[str]) -> Dfa:
-    edges: list[list] = []
-    starts, finals = [], {}
-    for k, pattern in enumerate(patterns):
-        p = _Parser(pattern, edges)
+            if state[256]:
+                end = i + 1
+        return end
+
+
+def compile_rules(patterns: list[str], anywhere: bool = False, backwards: bool = False) -> Dfa:
+    """One minimal DFA for all rules.
+
+    ``anywhere``: a match may begin at each byte, so a state accepts the rules of which a match ends here;
+    ``backwards``: the automaton of the reversed rules.  Together, a pass from the end of a text to its begin meets an
+    accepting state wherever a match begins.
+    """
+    forward: list[list] = []
+    starts, ends = [], []
+    for pattern in patterns:
+        p = _Parser(pattern, forward)
         starts.append(p.state())
-        finals[p.alternation(starts[-1])] = k
+        ends.append(p.alternation(starts[-1]))
         assert not p.more(), f"cannot parse {pattern!r} at {p.i}"
+    edges = forward
+    if backwards:
+        edges = [[] for _ in forward]
+        for s, out in enumerate(forward):
+            for c, t in out:
+                edges[t].append((c, s))
+        starts, ends = ends, starts
+    finals = {s: k for k, s in enumerate(ends)}
     # Bytes that no rule tells apart form one class.
     marks: dict[int, list[int]] = {b: [] for b in range(256)}
     for n, chars in enumerate({c for e in edges for c, _ in e if c != _EPS}):
@@ -182,12 +225,16 @@ def compile_rules(patterns: list[str]) -> Dfa:
                     todo.append(t)
         return frozenset(seen)
 
-    names, rows = {frozenset(): 0, closure(set(starts)): 1}, []
+    begin = closure(set(starts))
+    names, rows = {frozenset(): 0, begin: 1}, []
     queue = list(names)
     for sub in queue:
         row = []
+        moves = [(c, t) for s in sub for c, t in edges[s] if c != _EPS]
         for g in groups:
-            nxt = closure({t for s in sub for c, t in edges[s] if c != _EPS and g[0] in c})
+            nxt = closure({t for c, t in moves if g[0] in c})
+            if anywhere:
+                nxt |= begin
             if nxt not in names:
                 names[nxt] = len(names)
                 queue.append(nxt)
@@ -209,9 +256,5 @@ def compile_rules(patterns: list[str]) -> Dfa:
         masks[block[i]] = accept[i]
         for g, t in zip(groups, row, strict=True):
             table[block[i], g] = block[t]
-    # Rules that a state can still reach: beyond the last of them a walk may stop.
-    live = masks.copy()
-    while not np.array_equal(new := live | np.bitwise_or.reduce(live[table], axis=1), live):
-        live = new
     assert block[0] == 0
-    return Dfa(table.ravel(), masks, live, block[1])
+    return Dfa(table.ravel(), masks, block[1])

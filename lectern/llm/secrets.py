@@ -1,16 +1,17 @@
 """Secret scans with one combined deterministic automaton (operator 3).
 
-All rules are compiled into a single minimised DFA (see ``automaton``).  A batch of documents is scanned as
-one byte buffer, all positions in lock step: every position whose byte leaves the start state for a live one
-advances one byte per round, and a position drops out when its state is dead.  Positions that are still alive
-after ``LOCKSTEP`` bytes (long values) are finished one by one in order, skipping those inside a match that
-the same rules have already kept, so long runs cost time in proportion to their length.
-
-Per kind the matches are the leftmost non-overlapping longest ones.  The base kinds keep the stated forms and
-drop too short values afterwards; the kinds of ``EXTRA`` are added by this operator.
-
-Defined cases: a null or empty text has no spans; repeated rows are scanned alike; an empty table gives an
-empty table; other columns are ignored; offsets are code points of the whole text, end exclusive.
+The reversed rules are compiled, with an unanchored prefix, into a single minimised DFA (see ``automaton``).  One pass
+over the bytes of a text, from its end to its begin, marks every byte at which a match of a rule begins, for all rules
+at once.  The leftmost mark of a rule is then walked to the end of its longest match in the rule's own DFA, and the
+marks inside a match are passed over, so the bytes of matches are read once more and all others once: time is linear
+in the length of the text, whatever stands in it.
+
+Per kind the matches are the leftmost non-overlapping longest ones.  The base kinds keep the stated forms and drop
+failing matches afterwards; the kinds of ``EXTRA`` are added by this operator, and their least lengths are applied in
+the same way (so no rule needs a counter in the automaton).
+
+Defined cases: a null or empty text has no spans; repeated rows are scanned alike; an empty table gives an empty table;
+other columns are ignored; offsets are code points of the whole text, end exclusive.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import bytescan as bs
-from lectern.llm.automaton import Dfa, compile_rules
+from lectern.llm.automaton import Dfa, Scanner, compile_rules
 from lectern.llm.common import documents, small_batches
 
 
@@ -40,27 +41,38 @@ BASE = (
     ("hex", "[0-9a-f]+"),
 )
 EXTRA = (
-    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
-    ("chat", "xox[abprs]-[A-Za-z0-9\\-]{10,}"),
-    ("cloud", "AIza[A-Za-z0-9_\\-]{35,}"),
-    ("pay", "[sr]k_live_[A-Za-z0-9]{16,}"),
-    ("jwt", "eyJ[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]{8,}"),
+    ("forge", "gh[pousr]_[A-Za-z0-9]+"),
+    ("chat", "xox[abprs]-[A-Za-z0-9\\-]+"),
+    ("cloud", "AIza[A-Za-z0-9_\\-]+"),
+    ("pay", "[sr]k_live_[A-Za-z0-9]+"),
+    ("jwt", "eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+"),
     ("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
 )
-KINDS = tuple(k for k, _ in (*BASE, *EXTRA))
-LEAST = {"access": 20, "hex": 24}
-LOCKSTEP = 96
-_VALUE = np.zeros(256, dtype=bool)
-_VALUE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
+RULES = (*BASE, *EXTRA)
+KINDS = tuple(k for k, _ in RULES)
+#: Shorter matches are dropped.
+LEAST = {"access": 20, "hex": 24, "forge": 40, "chat": 15, "cloud": 39, "pay": 24, "jwt": 29}
+#: Rules that are one repeated class: where their marks begin and end, a match does.
+RUNS = tuple(k for k, (_, p) in enumerate(RULES) if p.startswith("[") and p.endswith("]+") and p.count("[") == 1)
 
 
-_HEX = np.zeros(256, dtype=bool)
-_HEX[[ord(c) for c in "0123456789abcdef"]] = True
+@cache
+def automaton() -> Dfa:
+    """The combined automaton of all reversed rules."""
+    return compile_rules([p for _, p in RULES], anywhere=True, backwards=True)
 
 
 @cache
-def automaton() -> Dfa:
-    return compile_rules([p for _, p in (*BASE, *EXTRA)])
+def rule_automata() -> tuple[Dfa, ...]:
+    """The automaton of each rule, from the begin of a match."""
+    return tuple(compile_rules([p]) for _, p in RULES)
+
+
+class Rules:
+    """The scanners of a worker."""
+
+    def __init__(self, combined: Dfa, own: tuple[Dfa, ...]):
+        self.combined, self.own = Scanner(combined), [Scanner(d) for d in own]
 
 
 def _value_length(match: bytes) -> int:
@@ -70,81 +82,60 @@ def _value_length(match: bytes) -> int:
     return len(rest) - (rest[:1] in (b'"', b"'"))
 
 
-def _lockstep(dfa: Dfa, data: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, int]]:
-    """(rule, start, end) of the longest match of each rule at each position; ``stop`` is each byte's document end."""
-    first = dfa.table[dfa.start * 256 : dfa.start * 256 + 256]
-    second = dfa.live[dfa.table.reshape(-1, 256)[first]].ravel()
-    hexes = 1 << KINDS.index("hex")
-    # A hexadecimal run is found at its first byte; later ones only begin other rules.  Two bytes of look-ahead
-    # settle most positions; no rule keeps a match of one byte.
-    inside = _HEX[data]
-    cont = np.zeros(len(data), dtype=bool)
-    cont[1:] = inside[1:] & inside[:-1] & (stop[1:] == stop[:-1])
-    pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
-    starts = np.flatnonzero(((second & ~hexes) != 0)[pair] | (((second & hexes) != 0)[pair] & ~cont[:-1]))
-    rules = np.where(cont[starts], ~hexes, -1).astype(np.int64)
-    state = first[data[starts]]
-    ok = (dfa.live[state] & rules) != 0
-    starts, state, rules = starts[ok], state[ok], rules[ok]
-    best: dict[int, list] = {k: [] for k in range(len(KINDS))}
-    n = 1
-    while len(starts):
-        hit = dfa.accept[state] & rules
-        if (some := np.flatnonzero(hit)).size:
-            for k in range(len(KINDS)):
-                if (at := some[(hit[some] >> k) & 1 == 1]).size:
-                    best[k].append((starts[at], np.full(len(at), n)))
-        go = np.flatnonzero(starts + n < stop[starts])
-        starts, state, rules = starts[go], state[go], rules[go]
-        state = dfa.table[state * 256 + data[starts + n]]
-        ok = (dfa.live[state] & rules) != 0
-        starts, state, rules = starts[ok], state[ok], rules[ok]
-        n += 1
-        if n > LOCKSTEP:
-            break
-    found: list[tuple[int, int, int]] = []
-    longest: dict[tuple[int, int], int] = {}
-    for k, parts in best.items():
-        if parts:
-            s, e = np.concatenate([x for x, _ in parts]), np.concatenate([x + y for x, y in parts])
-            order = np.lexsort((-e, s))
-            keep = np.r_[True, s[order][1:] != s[order][:-1]] if len(order) else []
-            for a, b in zip(s[order][keep].tolist(), e[order][keep].tolist(), strict=True):
-                longest[k, a] = b
-    long = dict(zip(starts.tolist(), rules.tolist(), strict=True))
-    at: dict[int, dict[int, int]] = {a: {} for a in long}
-    for (k, a), b in longest.items():
-        at.setdefault(a, {})[k] = b
-    ends = [0] * len(KINDS)
-    for a in sorted(at):
-        here = at[a]
-        if a in long and (free := sum(1 << k for k in range(len(KINDS)) if long[a] >> k & 1 and a >= ends[k])):
-            here |= {k: a + e for k, e in dfa.longest(memoryview(data)[a : stop[a]], 0, free).items()}
-        for k in sorted(here):
-            if a >= ends[k]:
-                ends[k] = here[k]
-                found.append((k, a, here[k]))
+def _holds(kind: str, match: bytes) -> bool:
+    if len(match) < LEAST.get(kind, 0):
+        return False
+    if kind == "assign":
+        return _value_length(match) >= 6
+    return kind != "jwt" or min(map(len, match[3:].split(b"."))) >= 8
+
+
+def matches(s: bs.Slice, rules: Rules) -> list[tuple[int, int, int]]:
+    """``(rule, start, end)`` in bytes of the slice, before failing ones are dropped (runs under their least length aside)."""
+    scan = rules.combined.marks
+    codes = np.frombuffer(b"".join(scan(s.text(i)[::-1])[::-1] for i in range(s.n)), np.uint8)
+    masks, found = rules.combined.masks, []
+    rest = np.ones(len(masks), dtype=bool)
+    rest[0] = False
+    for k in RUNS:
+        has = (masks >> k) & 1 == 1
+        rest &= masks != 1 << k
+        inside = has[codes]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        # Runs of neighbouring documents are apart.
+        edge = s.off[(s.off > 0) & (s.off < len(codes))]
+        first[edge], last[edge - 1] = inside[edge], inside[edge - 1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        long = b - a >= LEAST.get(KINDS[k], 0)
+        found += [(k, x, y) for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True)]
+    at = np.flatnonzero(rest[codes])
+    doc = np.searchsorted(s.off, at, side="right") - 1
+    texts: dict[int, bytes] = {}
+    done = [0] * len(KINDS)
+    for p, d, m in zip(at.tolist(), doc.tolist(), masks[codes[at]].tolist(), strict=True):
+        for k in range(len(KINDS)):
+            if m >> k & 1 and k not in RUNS and p >= done[k]:
+                if d not in texts:
+                    texts = {d: s.text(d)}
+                base = int(s.off[d])
+                done[k] = base + rules.own[k].longest(texts[d], p - base)
+                found.append((k, p, done[k]))
     return found
 
 
-def find_spans(s: bs.Slice, dfa: Dfa | None = None) -> dict[int, list[tuple[str, int, int]]]:
+def find_spans(s: bs.Slice, rules: Rules | None = None) -> dict[int, list[tuple[str, int, int]]]:
     """Document index to its spans (kind, start, end) in code points, by start and then kind."""
     if not len(s.data):
         return {}
-    doc_len = np.diff(s.off)
-    stop = np.repeat(s.off[1:], doc_len)
     out: dict[int, list[tuple[str, int, int]]] = {}
-    for k, a, b in _lockstep(dfa or automaton(), s.data, stop):
-        kind = KINDS[k]
-        if b - a < LEAST.get(kind, 0) or kind == "assign" and _value_length(s.data[a:b].tobytes()) < 6:
-            continue
-        d = int(np.searchsorted(s.off, a, side="right")) - 1
-        out.setdefault(d, []).append((kind, a, b))
+    for k, a, b in matches(s, rules or Rules(automaton(), rule_automata())):
+        if _holds(KINDS[k], s.data[a:b].tobytes()):
+            out.setdefault(int(np.searchsorted(s.off, a, side="right")) - 1, []).append((KINDS[k], a, b))
     for d, spans in out.items():
-        begin, points, at = int(s.off[d]), {}, 0
-        pos = sorted({p for _, a, b in spans for p in (a, b)})
-        last = begin
-        for p in pos:
+        last, points, at = int(s.off[d]), {}, 0
+        for p in sorted({p for _, a, b in spans for p in (a, b)}):
             at += int((~bs.CONT[s.data[last:p]]).sum())
             points[p], last = at, p
         out[d] = sorted(((k, points[a], points[b]) for k, a, b in spans), key=lambda x: (x[1], KINDS.index(x[0])))
@@ -156,14 +147,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
     base = {k for k, _ in BASE}
-    dfa = automaton()
+    # The transition arrays are built once, on the driver; their size is that of the rules.
+    combined, own = automaton(), rule_automata()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = Rules(combined, own)
         join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         none = hashlib.sha256(b"").hexdigest()
         for b in batches:
             for s in bs.slices(b.column(1)):
-                found = find_spans(s, dfa)
+                found = find_spans(s, rules)
                 counts = {k: np.zeros(s.n, dtype=np.int64) for k in base}
                 sha, text = [none] * s.n, [""] * s.n
                 for d, spans in found.items():
@@ -180,3 +173,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    """The same spans from an engine's regexes: the pieces between matches give their places."""
+    rules = ", ".join(f"({n}, '{k}', '{p.replace(chr(39), chr(39) * 2)}')" for n, (k, p) in enumerate(RULES))
+    least = " ".join(f"WHEN '{k}' THEN length(hit) >= {n}" for k, n in LEAST.items() if k != "jwt")
+    value = "regexp_extract(hit, '^[^:=]*[:=] *[\"'']?(.*)$', 1)"
+    return f"""
+WITH rules(ord, kind, pat) AS (VALUES {rules}),
+t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, ord, kind, string_split_regex(text, pat) AS gaps, regexp_extract_all(text, pat) AS hits FROM t, rules WHERE regexp_matches(text, pat)),
+u AS (SELECT rid, ord, kind, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i, gaps, hits FROM m),
+s AS (SELECT rid, ord, kind, hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM u
+  WHERE CASE kind {least} WHEN 'assign' THEN length({value}) >= 6 WHEN 'jwt' THEN list_min(list_transform(string_split(hit[4:], '.'), lambda x: length(x))) >= 8 ELSE true END),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || (a + length(hit)), ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || a || ':' || (a + length(hit)), ',' ORDER BY a, ord) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (rid)"""
+
+
+ORACLE = _sql()

@@ -167,6 +167,22 @@ def test_secret_spans():
     assert kinds == ["forge", "chat", "pem"]
 
 
+def test_secret_scan_is_linear():
+    import time
+
+    for unit in ("eyJ", "eyJa.", "token=", "AKIA", "AIza", "0a", "xoxb-", "-----BEGIN "):
+        s = next(bs.slices(pa.array([unit * (1_000_000 // len(unit))])))
+        began = time.process_time()
+        secrets.find_spans(s)
+        assert time.process_time() - began < 5, unit
+
+
+def test_secret_kinds_of_the_method():
+    words = ["ghp_" + "a" * 36, "ghp_" + "a" * 35, "xoxb-" + "1" * 10, "xoxb-" + "1" * 9, "AIza" + "-" * 35, "AIza" + "-" * 34, "sk_live_" + "Z" * 16, "sk_live_" + "Z" * 15, "eyJ" + ".".join(["Z" * 8] * 3), "eyJ" + ".".join(["Z" * 8, "Z" * 7, "Z" * 8])]
+    spans = secrets.find_spans(next(bs.slices(pa.array([" ".join(words)]))))[0]
+    assert [k for k, *_ in spans if k != "hex"] == ["forge", "chat", "cloud", "pay", "jwt"]
+
+
 def test_secret_rows(spark):
     got = {r["doc_id"]: r for r in secrets.scan_secrets(_docs(spark, [(1, None), (2, "é token=abcdef1"), (3, "")])).collect()}
     assert got[2]["spans"] == "assign:2:15" and got[2]["n_assign"] == 1
