@@ -1,61 +1,148 @@
 """Benchmark decontamination over a distributed positional inverted index (operator 8).
 
-The index is document-partitioned: each slice of training documents holds, for the terms that occur in the
-benchmark, posting lists of token positions sorted by (term, position).  All windows of the benchmark are
-looked up together: from the window's rarest term in this slice come candidate offsets, and the offset-adjusted
-lists of its other terms, rarest first, are intersected by binary search, so a window costs no more than its
-rarest list.  Nothing is shuffled; only the benchmark's windows travel, in blocks of a checked size.
-
-Proximity matches: a window whose terms all occur within ``slop`` words of an occurrence of its rarest term,
-in any order, counts for ``n_near`` even if no exact phrase is found.
-
-Defined cases: null and empty texts have no words; an item with fewer words than a window is one window; an
-item without words never occurs; repeated item rows count as one item; a null ``item_id`` is skipped; an
-empty benchmark leaves every document clean; repeated document rows are each reported; other columns are
-passed through by ``drop_contaminated`` and ignored by ``decontaminate``.
+``index_documents`` stores the index in the shared folder: one row per segment of about ``bytescan.SLICE`` bytes of
+documents, with the segment's terms in hash order and the posting list (word positions) of each.  The index is
+partitioned by document, so all lists of a phrase lie in one row, the list of a frequent term is spread over all
+segments, and nothing is shuffled.  A segment can carry the rows it was made from, as search engines store fields.
+
+The benchmark is cut into blocks of windows, which are files in the shared folder.  One pass over the index counts how
+often each benchmark term occurs in all documents; each window's terms are then put in that order, and the second pass
+takes the positions of the window's rarest term as candidates and intersects the offset-adjusted lists of the others,
+rarest first, by binary search.  A worker holds one block and a few segments at a time.
+
+Proximity matches: a window counts for ``n_near`` if somewhere in the document all its terms occur within ``slop``
+words of one occurrence of its rarest term (the first of them in the window, if several are equally rare), in any order.
+
+Defined cases: null and empty texts have no words; an item with fewer words than a window is one window; an item without
+words never occurs; repeated item rows count once; a null ``item_id`` is skipped; an empty benchmark leaves every
+document clean; repeated document rows are each reported; other columns are passed through by ``drop_contaminated`` and
+ignored by ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, small_batches
+from lectern.llm.common import documents, scratch, small_batches, stored
+
+#: Bytes of benchmark text in one block of windows.
+BLOCK_BYTES = 4 << 20
+#: Segments in one Arrow batch.
+SEGMENTS = 24
+#: Candidate positions that are intersected at once.
+CANDIDATES = 2_000_000
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed integers, byte by significance."""
+    x = x.astype(np.int32)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
 
-#: Bytes of benchmark text that are sent to the workers at once; a larger benchmark is looked up in several blocks.
-BLOCK_BYTES = 16 << 20
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
+
+
+@dataclass
+class Segment:
+    """Term hashes in order, where each one's postings begin, postings (word numbers by term), and words per document."""
+
+    terms: np.ndarray
+    cuts: np.ndarray
+    at: np.ndarray
+    n_words: np.ndarray
+
+    def lists(self, vocabulary: np.ndarray) -> np.ndarray:
+        """The number of each term in this segment, or -1."""
+        if not len(self.terms):
+            return np.full(len(vocabulary), -1)
+        i = np.minimum(np.searchsorted(self.terms, vocabulary), len(self.terms) - 1)
+        return np.where(self.terms[i] == vocabulary, i, -1)
+
+
+def segment_of(s: bs.Slice) -> Segment:
+    starts, ends, doc, data = bs.words(s, bs.ALNUM, lower=True)
+    h = bs.word_hashes(data, starts, ends)
+    at = np.argsort(h, kind="stable")
+    h = h[at]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return Segment(h[first], np.r_[first, len(h)], at, np.bincount(doc, minlength=s.n))
+
+
+def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
+    """Store the index: ``ids, n_words, terms, sizes, postings`` per segment, and ``rows`` (the documents as Arrow data) if asked for."""
+    small_batches(docs.sparkSession)
+    names = docs.columns if keep_rows else [id_col, text_col]
+    at = names.index(text_col)
+    id_at = names.index(id_col) if id_col in names else None
+    ids = docs.schema[id_col].dataType.simpleString() if id_at is not None else "bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in bs.slices(b.column(at)):
+                g = segment_of(s)
+                part = b.slice(s.first, s.n)
+                own = part.column(id_at).to_pylist() if id_at is not None and not keep_rows else []
+                rows = None
+                if keep_rows:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(pa.concat_batches([part]))
+                    rows = sink.getvalue().to_pybytes()
+                kind = b.schema.field(id_at).type if id_at is not None else pa.int64()
+                cols = [pa.array([own], pa.list_(kind)), *(pa.array([x], pa.binary()) for x in (_pack(g.n_words), g.terms.tobytes(), _pack(np.diff(g.cuts)), _pack(np.diff(g.at, prepend=0)), rows))]
+                yield pa.RecordBatch.from_arrays(cols, names=["ids", "n_words", "terms", "sizes", "postings", "rows"])
+
+    return stored(docs.select(*names).mapInArrow(run, f"ids array<{ids}>, n_words binary, terms binary, sizes binary, postings binary, rows binary"), "index")
+
+
+def _segments(b: pa.RecordBatch) -> list[Segment]:
+    out = []
+    for n, t, c, p in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("n_words", "terms", "sizes", "postings")), strict=True):
+        out.append(Segment(np.frombuffer(t, np.uint64), np.r_[0, np.cumsum(_unpack(c))], np.cumsum(_unpack(p)), _unpack(n)))
+    return out
 
 
 @dataclass
 class Windows:
-    """Windows of benchmark items: term numbers padded with -1, sorted term hashes, and items per window."""
+    """Windows of benchmark items: term numbers padded with -1, sorted term hashes, items per window, and each window's terms by rarity."""
 
     terms: np.ndarray
     vocabulary: np.ndarray
     item: np.ndarray
     items: list[str]
+    order: np.ndarray | None = None
+
+    def rank(self, counts: np.ndarray) -> None:
+        used = self.terms >= 0
+        freq = np.where(used, counts[np.where(used, self.terms, 0)] if len(counts) else 0, np.iinfo(np.int64).max)
+        self.order = np.argsort(freq, axis=1, kind="stable")
 
 
 def build_windows(rows: list[tuple], width: int) -> Windows:
-    names = sorted({str(i) for i, _ in rows if i is not None})
+    names = sorted({str(i) for i, _ in rows})
     number = {n: k for k, n in enumerate(names)}
-    rows = [(number[str(i)], t or "") for i, t in rows if i is not None]
     per_item = []
-    for s in bs.slices(pa.array([t for _, t in rows], pa.string()), limit=1 << 30):
+    for s in bs.slices(pa.array([t or "" for _, t in rows], pa.string())):
         starts, ends, doc, data = bs.words(s, bs.ALNUM, lower=True)
         h = bs.word_hashes(data, starts, ends)
         cuts = np.searchsorted(doc, np.arange(s.n + 1))
         for i in range(s.n):
             own = h[cuts[i] : cuts[i + 1]]
             k = min(width, len(own))
-            per_item += [(rows[s.first + i][0], own[a : a + k]) for a in range(len(own) - k + 1) if k]
+            per_item += [(number[str(rows[s.first + i][0])], own[a : a + k]) for a in range(len(own) - k + 1) if k]
     vocabulary = np.unique(np.concatenate([w for _, w in per_item])) if per_item else np.zeros(0, np.uint64)
     terms = np.full((len(per_item), width), -1, dtype=np.int64)
     for r, (_, w) in enumerate(per_item):
@@ -63,151 +150,218 @@ def build_windows(rows: list[tuple], width: int) -> Windows:
     return Windows(terms, vocabulary, np.array([i for i, _ in per_item], dtype=np.int64), names)
 
 
-def _lookup(s: bs.Slice, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Of a slice: words per document, a hit flag per word, (document, item) pairs, near windows per document, document per word."""
-    starts, ends, doc, data = bs.words(s, bs.ALNUM, lower=True)
-    n_words = np.bincount(doc, minlength=s.n)
-    hit = np.zeros(len(starts) + 1, dtype=np.int64)
-    near = np.zeros(s.n, dtype=np.int64)
-    if not len(starts) or not len(w.vocabulary):
-        return n_words, hit[:-1] > 0, [], near, doc
-    h = bs.word_hashes(data, starts, ends)
-    term = np.searchsorted(w.vocabulary, h)
-    term[term == len(w.vocabulary)] = 0
-    known = w.vocabulary[term] == h
-    # Documents are kept apart: positions of document d are shifted by d * (gap), so no window crosses a border.
+def _write(path: str, block: Windows) -> None:
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_output_stream(name, compression=None) as f:
+        f.write(pickle.dumps(block))
+
+
+def _read(path: str) -> Windows:
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as f:
+        return pickle.loads(f.read())
+
+
+class _Blocks:
+    """The blocks in turn; a single one stays in memory."""
+
+    def __init__(self, paths: list[str]):
+        self.paths, self.last = paths, ("", None)
+
+    def __iter__(self) -> Iterator[tuple[int, Windows]]:
+        for k, p in enumerate(self.paths):
+            if self.last[0] != p:
+                self.last = ("", None)
+                self.last = (p, _read(p))
+            yield k, self.last[1]
+
+
+def window_blocks(index: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text: str, block_bytes: int) -> list[str]:
+    """Files of windows whose terms are ordered by how often they occur in the index; one block is on the driver at a time."""
+    spark = index.sparkSession
+    folder = scratch(spark, "windows")
+    fs, name = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(name, recursive=True)
+    paths, rows, size = [], [], 0
+
+    def flush() -> None:
+        if rows:
+            paths.append(f"{folder}/{len(paths)}")
+            _write(paths[-1], build_windows(rows, width))
+            rows.clear()
+
+    for r in benchmark.select(item_col, item_text).where(F.col(item_col).isNotNull()).distinct().toLocalIterator():
+        rows.append((r[0], r[1]))
+        size += len((r[1] or "").encode())
+        if size >= block_bytes:
+            flush()
+            size = 0
+    flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, sums = _Blocks(paths), {}
+        for b in batches:
+            own = _segments(b)
+            for k, w in blocks:
+                if k not in sums:
+                    sums[k] = np.zeros(len(w.vocabulary), np.int64)
+                for g in own:
+                    i = g.lists(w.vocabulary)
+                    sums[k] += np.where(i >= 0, np.diff(g.cuts)[i], 0) if len(g.terms) else 0
+        for k, c in sums.items():
+            some = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int64()), pa.array(c[some], pa.int64())], names=["block", "term", "n"])
+
+    counts = stored(index.select("n_words", "terms", "sizes", "postings").mapInArrow(count, "block int, term bigint, n bigint").groupBy("block", "term").agg(F.sum("n").alias("n")), "term-counts") if paths else None
+    for k, p in enumerate(paths):
+        w = _read(p)
+        # As many rows as the block has terms.
+        got = counts.where(F.col("block") == k).select("term", "n").toArrow()
+        n = np.zeros(len(w.vocabulary), np.int64)
+        n[got.column("term").to_numpy()] = got.column("n").to_numpy()
+        w.rank(n)
+        _write(p, w)
+    return paths
+
+
+class _Found:
+    """What the blocks found in one segment."""
+
+    def __init__(self, g: Segment):
+        n = len(g.n_words)
+        self.hit = np.zeros(int(g.n_words.sum()) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(n)]
+        self.near = np.zeros(n, np.int64)
+
+
+def _lookup(g: Segment, w: Windows, slop: int, found: _Found) -> None:
+    if not len(g.at) or not len(w.vocabulary):
+        return
+    doc = np.repeat(np.arange(len(g.n_words)), g.n_words)
+    # Documents are kept apart: positions of document d are shifted by d * gap, so no window crosses a border.
     gap = w.terms.shape[1] + slop
-    place = np.arange(len(h)) + doc * gap
+    place = np.arange(len(doc)) + doc * gap
     span = int(place[-1]) + 2 * gap + 1
-    at = np.flatnonzero(known)
-    posting = term[at] * span + place[at] + gap
-    order = np.argsort(posting)
-    posting, at = posting[order], at[order]
-    low = np.searchsorted(posting, np.arange(len(w.vocabulary)) * span)
-    df = np.diff(np.r_[low, len(posting)])
-    used = w.terms >= 0
-    freq = np.where(used, df[np.where(used, w.terms, 0)], np.iinfo(np.int64).max)
-    by_df = np.argsort(freq, axis=1, kind="stable")
-    rarest = by_df[:, 0]
-    n = freq[np.arange(len(rarest)), rarest]
-    live = np.flatnonzero(n > 0)
+    posting = np.repeat(np.arange(len(g.terms)), np.diff(g.cuts)) * span + place[g.at] + gap
+    known = g.lists(w.vocabulary)
+    # Windows all of whose terms are here, rarest term first.
+    live = np.arange(len(w.terms))
+    for k in range(w.terms.shape[1]):
+        t = w.terms[live, w.order[live, k]]
+        live = live[(t < 0) | (known[t] >= 0)]
     if not len(live):
-        return n_words, hit[:-1] > 0, [], near, doc
-    pairs: list[tuple[int, int]] = []
-    # Blocks of windows bound the candidates held at once.
-    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n[live]) // 2_000_000)) + 1, len(live)]
+        return
+    rarest = w.order[:, 0]
+    anchor = known[w.terms[live, rarest[live]]]
+    n = (g.cuts[anchor + 1] - g.cuts[anchor]).astype(np.int64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) // CANDIDATES)) + 1, len(live)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = live[a:b]
-        win = np.repeat(own, n[own])
-        first = low[w.terms[own, rarest[own]]]
-        rank = np.arange(len(win)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
-        idx = np.repeat(first, n[own]) + rank
-        start = posting[idx] % span - rarest[win]
-        phrase = np.ones(len(win), dtype=bool)
-        close = np.ones(len(win), dtype=bool)
-        keep = np.arange(len(win))
+        win = np.repeat(live[a:b], n[a:b])
+        idx = np.repeat(g.cuts[anchor[a:b]], n[a:b]) + np.arange(len(win)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+        mid = posting[idx] % span
+        phrase, close, keep = np.ones(len(win), dtype=bool), np.full(len(win), slop > 0), np.arange(len(win))
         for k in range(1, w.terms.shape[1]):
-            col = by_df[win[keep], k]
+            col = w.order[win[keep], k]
             t = w.terms[win[keep], col]
             there = t >= 0
-            want = t * span + start[keep] + col
+            base = np.where(there, known[t], 0) * span + mid[keep]
+            want = base + col - rarest[win[keep]]
             p = np.minimum(np.searchsorted(posting, want), len(posting) - 1)
             phrase[keep] &= (posting[p] == want) | ~there
             if slop:
-                mid = t * span + start[keep] + rarest[win[keep]]
-                q = np.minimum(np.searchsorted(posting, mid - slop), len(posting) - 1)
-                close[keep] &= ((posting[q] >= mid - slop) & (posting[q] <= mid + slop)) | ~there
-            keep = keep[phrase[keep] | (close[keep] if slop else False)]
-        ok = np.zeros(len(win), dtype=bool)
-        ok[keep] = True
-        full = np.flatnonzero(ok & phrase)
-        word = at[idx[full]] - rarest[win[full]]
-        size = used[win[full]].sum(axis=1)
-        np.add.at(hit, word, 1)
-        np.add.at(hit, word + size, -1)
-        pairs += set(zip(doc[word].tolist(), w.item[win[full]].tolist(), strict=True))
+                q = np.minimum(np.searchsorted(posting, base - slop), len(posting) - 1)
+                close[keep] &= ((posting[q] >= base - slop) & (posting[q] <= base + slop)) | ~there
+            keep = keep[phrase[keep] | close[keep]]
+        full = keep[phrase[keep]]
+        word = g.at[idx[full]] - rarest[win[full]]
+        size = (w.terms[win[full]] >= 0).sum(axis=1)
+        np.add.at(found.hit, word, 1)
+        np.add.at(found.hit, word + size, -1)
+        for d, i in set(zip(doc[word].tolist(), w.item[win[full]].tolist(), strict=True)):
+            found.items[d].add(w.items[i])
         if slop:
-            both = np.unique(np.stack([doc[at[idx[np.flatnonzero(ok & close)]]], win[np.flatnonzero(ok & close)]]), axis=1)
-            near += np.bincount(both[0], minlength=s.n)
-    return n_words, np.cumsum(hit[:-1]) > 0, sorted(set(pairs)), near, doc
+            own = keep[close[keep]]
+            both = np.unique(np.stack([doc[g.at[idx[own]]], win[own]]), axis=1)
+            found.near += np.bincount(both[0], minlength=len(g.n_words))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
-    """Benchmark rows in blocks of bounded bytes; one block is on the driver at a time."""
-    rows, size = [], 0
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    rows_of = benchmark.select(item_col, text_col)
-    for r in rows_of.collect() if total <= limit else rows_of.toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += len(r[1] or "") * 4
-        if size >= 4 * limit:
-            yield rows
-            rows, size = [], 0
-    yield rows
+def _search(b: pa.RecordBatch, blocks: _Blocks, slop: int) -> list[tuple[Segment, _Found]]:
+    own = [(g, _Found(g)) for g in _segments(b)]
+    for _, w in blocks:
+        for g, f in own:
+            _lookup(g, w, slop, f)
+    return own
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: word and hit counts, the items that occur and the flag; ``n_near`` if ``slop``."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """One row per document row: word and hit counts, the items that occur, the flag and the hit word ranges; ``n_near`` if ``slop``."""
+    index = index_documents(docs, id_col, text_col)
+    paths = window_blocks(index, benchmark, width, item_col, item_text, block_bytes)
+    small_batches(docs.sparkSession, SEGMENTS)
     ids = docs.schema[id_col].dataType.simpleString()
-    found = "n_words bigint, hits array<struct<a:bigint,b:bigint>>, items array<string>, n_near bigint"
+    names = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "hit_spans"]
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    out, blocks = docs.select(F.col(id_col), F.col(text_col).alias("_text")), 0
-    for rows in _blocks(benchmark, item_col, item_text, block_bytes):
-        # What the earlier blocks found travels with its row, so rows need no name of their own.
-        shared = spark.sparkContext.broadcast(build_windows(rows, width))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=blocks > 0) -> Iterator[pa.RecordBatch]:
-            w = shared.value
-            for b in batches:
-                for s in bs.slices(b.column(1)):
-                    n_words, hit, pairs, near, doc = _lookup(s, w, slop)
-                    items: list[list[str]] = b.column(4).slice(s.first, s.n).to_pylist() if later else [[] for _ in range(s.n)]
-                    spans: list[list[dict]] = b.column(3).slice(s.first, s.n).to_pylist() if later else [[] for _ in range(s.n)]
-                    if later:
-                        near = near + b.column(5).slice(s.first, s.n).to_numpy(zero_copy_only=False)
-                    for d, i in pairs:
-                        items[d].append(w.items[i])
-                    first = np.cumsum(n_words) - n_words
-                    for d in np.unique(doc[hit]).tolist():
-                        own = hit[first[d] : first[d] + n_words[d]].astype(np.int8)
-                        edge = np.flatnonzero(np.diff(np.r_[0, own, 0]))
-                        spans[d] += [{"a": int(x), "b": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
-                    cols = [b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array(n_words.astype(np.int64)), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string())), pa.array(near)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[id_col, "_text", "n_words", "hits", "items", "n_near"])
-
-        text = out.schema["_text"].dataType.simpleString()
-        out, blocks = out.mapInArrow(run, f"{id_col} {ids}, _text {text}, {found}"), blocks + 1
-    if blocks > 1:
-        # Several blocks: the word intervals of a row are merged.
-        out = out.withColumns({"hits": F.array_sort("hits"), "items": F.array_distinct("items")})
-        # Sum of the union of sorted intervals, carrying (covered, end).
-        union = F.aggregate("hits", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("e")), lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("bigint"), x["b"] - F.greatest(x["a"], acc["e"]))).alias("n"), F.greatest(acc["e"], x["b"]).alias("e")))["n"]
-    else:
-        union = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, x: acc + x["b"] - x["a"])
-    return out.select(id_col, "n_words", union.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), *(["n_near"] if slop else []), F.col("hits").alias("hit_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(paths)
+        for b in batches:
+            for row, (g, f) in enumerate(_search(b, blocks, slop)):
+                hit = np.cumsum(f.hit[:-1]) > 0
+                doc = np.repeat(np.arange(len(g.n_words)), g.n_words)
+                n_hit = np.bincount(doc[hit], minlength=len(g.n_words))
+                first = np.cumsum(g.n_words) - g.n_words
+                spans: list[list[dict]] = [[] for _ in g.n_words]
+                for d in np.flatnonzero(n_hit).tolist():
+                    edge = np.flatnonzero(np.diff(np.r_[0, hit[first[d] : first[d] + g.n_words[d]].astype(np.int8), 0]))
+                    spans[d] = [{"a": int(x), "b": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
+                named = [",".join(sorted(x)) for x in f.items]
+                cols = [b.column(0)[row].values, pa.array(g.n_words), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in f.items], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()), pa.array(n_hit > 0), pa.array(f.near), pa.array(spans, span_type)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    out = index.select("ids", "n_words", "terms", "sizes", "postings").mapInArrow(run, f"{id_col} {ids}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, hit_spans array<struct<a:bigint,b:bigint>>")
+    return out if slop else out.drop("n_near")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no window of the benchmark occurs; all columns unchanged, no join."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    at = docs.columns.index(text_col)
-    for rows in _blocks(benchmark, "item_id", "text", block_bytes):
-        shared = spark.sparkContext.broadcast(build_windows(rows, width))
+    """The documents in which no window of the benchmark occurs; all columns unchanged, from the rows the segments carry (no join)."""
+    index = index_documents(docs, "", text_col, keep_rows=True)
+    paths = window_blocks(index, benchmark, width, "item_id", "text", block_bytes)
+    small_batches(docs.sparkSession, SEGMENTS)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in bs.slices(b.column(at)):
-                    clean = np.ones(s.n, dtype=bool)
-                    clean[[d for d, _ in _lookup(s, shared.value, 0)[2]]] = False
-                    yield b.slice(s.first, s.n).filter(pa.array(clean))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(paths)
+        for b in batches:
+            held = b.column(b.schema.get_field_index("rows"))
+            for row, (_, f) in enumerate(_search(b, blocks, 0)):
+                part = pa.ipc.open_stream(held[row].as_buffer()).read_next_batch()
+                yield part.filter(pa.array([not x for x in f.items], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return index.select("n_words", "terms", "sizes", "postings", "rows").mapInArrow(run, docs.schema)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=12)
+    out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=SLOP)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+
+
+#: Words around a window's rarest term in which the query looks for the other terms.
+SLOP = 12
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS bid, item_id, {_WORDS} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+w AS MATERIALIZED (SELECT row_number() OVER () AS wid, item_id, ws[i : i + k - 1] AS win, k FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+t AS MATERIALIZED (SELECT rid, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM d),
+freq AS MATERIALIZED (SELECT term, count(*) AS n FROM t GROUP BY term),
+wt AS MATERIALIZED (SELECT wid, item_id, k, unnest(win) AS term, unnest(range(k)) AS off FROM w),
+anchor AS MATERIALIZED (SELECT wid, arg_min(term, (coalesce(n, 0), off)) AS term, arg_min(off, (coalesce(n, 0), off)) AS off, any_value(k) AS k, any_value(item_id) AS item_id FROM wt LEFT JOIN freq USING (term) GROUP BY wid),
+place AS MATERIALIZED (SELECT term, rid, pos FROM t WHERE term IN (SELECT term FROM wt)),
+cand AS MATERIALIZED (SELECT a.wid, a.item_id, a.k, p.rid, p.pos AS mid, p.pos - a.off AS st FROM anchor a JOIN place p ON a.term = p.term),
+phrase AS (SELECT c.wid, c.item_id, c.rid, c.st, any_value(c.k) AS k FROM cand c JOIN wt ON wt.wid = c.wid JOIN place p ON p.term = wt.term AND p.rid = c.rid AND p.pos = c.st + wt.off GROUP BY c.wid, c.item_id, c.rid, c.st HAVING count(*) = any_value(c.k)),
+near AS (SELECT rid, count(DISTINCT wid) AS n_near FROM (SELECT c.wid, c.rid, c.mid FROM cand c JOIN wt ON wt.wid = c.wid JOIN place p ON p.term = wt.term AND p.rid = c.rid AND p.pos BETWEEN c.mid - {SLOP} AND c.mid + {SLOP} GROUP BY c.wid, c.rid, c.mid HAVING count(DISTINCT wt.off) = any_value(c.k)) GROUP BY rid),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(st, st + k)) AS pos FROM phrase) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM phrase) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)"""
