@@ -6,10 +6,12 @@ bounded size in a folder that all executors share.  A payload that occurs again
 write archives under names of their own and report them in a manifest that Spark commits, so a retried or
 speculative task never leaves a half-written archive among those that are read.
 
-``read_warc`` streams each archive record by record.  A record that fails a check (gzip CRC or truncation,
-version line, headers, length, trailer, block or payload digest) starts a quarantined gap: the reader searches
-for the next gzip member or ``WARC/`` version line that parses and passes all checks, goes on from there, and
-logs the gap's byte range and reason.
+``read_warc`` streams each archive record by record, whatever its make-up: a gzip member for each record, one member
+around many, plain records, or all of these in one file, of any version of the format.  A record that fails a check (gzip
+CRC or truncation, version line, headers, length, trailer, block or payload digest) starts a quarantined gap: the reader
+searches for the next gzip member or ``WARC/`` version line that parses and passes all checks, goes on from there, and
+logs the gap's byte range and reason.  In a member of several records the search goes on inside; of a member that is
+itself broken, the records that a digest confirms are kept.  Blocks are digested in pieces, so records may be of any length.
 
 Defined cases: a null html is an empty payload (of 0 bytes, with its digest); a null identifier is written as
 ``null`` and read back as null, and never is the one referred to unless all of its group are null, in which
@@ -21,9 +23,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,8 +37,13 @@ from lectern.llm.common import few, scratch, small_batches, stored
 
 _END = b"\r\n\r\n"
 _MAGIC = b"\x1f\x8b\x08"
-_VERSION = b"WARC/1."
+_VERSION = b"WARC/"
+_VERSION_LINE = re.compile(rb"WARC/\d+\.\d+[ \t]*")
 _BLOCK = 1 << 16
+#: Data of a gzip member that is held in memory.
+MEMBER = 8 << 20
+#: Payloads over this many bytes are checked, counted and digested, but not carried in a row.
+PAYLOAD_LIMIT = 1 << 30
 
 
 class BadRecord(ValueError):
@@ -115,119 +123,279 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
     return stored(joined.select("id", "url", "payload", "winner").mapInArrow(run, "path string, records bigint, bytes bigint"), "manifest")
 
 
-def parse_record(raw: bytes) -> dict:
-    """Check and split one whole record (with its trailer)."""
-    if not raw.startswith(_VERSION):
+class _Stream:
+    """Bytes that are pulled as they are needed, with the number of bytes taken."""
+
+    def __init__(self, pull: Callable[[], bytes], left: int | None = None):
+        self.pull, self.left, self.buf, self.i, self.taken = pull, left, b"", 0, 0
+
+    def more(self) -> bool:
+        data = self.pull()
+        self.buf, self.i = self.buf[self.i :] + data, 0
+        return bool(data)
+
+    def any(self) -> bool:
+        return self.i < len(self.buf) or self.more()
+
+    def until(self, mark: bytes, limit: int) -> bytes:
+        """What stands before the next mark; the mark is taken too."""
+        seen = self.i
+        while (at := self.buf.find(mark, seen)) < 0:
+            held = len(self.buf) - self.i
+            if held > limit or not self.more():
+                raise BadRecord("headers do not end")
+            seen = max(0, held - len(mark) + 1)
+        out = self.buf[self.i : at]
+        self.taken += len(out) + len(mark)
+        self.i = at + len(mark)
+        return out
+
+    def chunks(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes in pieces."""
+        while n:
+            if not self.any():
+                raise BadRecord("truncated block")
+            part = self.buf[self.i : self.i + n]
+            self.i, self.taken, n = self.i + len(part), self.taken + len(part), n - len(part)
+            yield part
+
+    def find(self, mark: bytes) -> bool:
+        """Go to the next mark."""
+        while (at := self.buf.find(mark, self.i)) < 0:
+            skip = max(0, len(self.buf) - self.i - len(mark) + 1)
+            self.i, self.taken = self.i + skip, self.taken + skip
+            if not self.more():
+                return False
+        self.taken, self.i = self.taken + at - self.i, at
+        return True
+
+
+def _differs(said: str, sha1: bytes) -> bool | None:
+    """Whether a stated SHA-1 (base32 or hexadecimal) is another one; None if there is none to compare."""
+    name, _, value = said.partition(":")
+    if name.lower() != "sha1" or not value:
+        return None
+    return value.lower() != sha1.hex() if len(value) == 40 else value.upper() != base64.b32encode(sha1).decode()
+
+
+def parse_record(st: _Stream, keep: bool = True, limit: int = PAYLOAD_LIMIT) -> dict:
+    """Check and take one whole record with its trailer; the block is digested piece by piece and never held whole unless kept.
+
+    A payload over ``limit`` bytes is checked and reported, but not carried.
+    """
+    if not st.any() or (st.i + 5 > len(st.buf) and not st.more()) or not st.buf.startswith(_VERSION, st.i):
         raise BadRecord("no version line")
-    head_end = raw.find(_END)
-    if head_end < 0:
-        raise BadRecord("headers do not end")
-    fields = {}
-    for line in raw[:head_end].split(b"\r\n")[1:]:
+    version, *lines = st.until(_END, 1 << 20).split(b"\r\n")
+    if not _VERSION_LINE.fullmatch(version):
+        raise BadRecord("no version line")
+    fields: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:
+            # A folded line goes on with the value before.
+            fields[last] = f"{fields[last]} {line.strip().decode('utf-8', 'replace')}".strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise BadRecord("malformed header line")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit():
+        last = name.strip().lower().decode("latin-1")
+        fields[last] = value.strip().decode("utf-8", "replace")
+    said = fields.get("content-length", "")
+    if not (said.isascii() and said.isdigit()):
         raise BadRecord("no content length")
-    begin = head_end + 4
-    block = raw[begin : begin + int(fields["content-length"])]
-    if len(block) != int(fields["content-length"]):
-        raise BadRecord("truncated block")
-    if raw[begin + len(block) :] != _END:
+    length = int(said)
+    if st.left is not None and st.taken + length + len(_END) > st.left:
+        raise BadRecord("length beyond the archive")
+    kind = fields.get("warc-type")
+    block, payload, parts, size = hashlib.sha1(), hashlib.sha1(), [], 0
+    head: bytes | None = b"" if "http" in fields.get("content-type", "") else None
+    http = b""
+    for part in st.chunks(length):
+        block.update(part)
+        if head is not None:
+            # The payload begins after the HTTP headers.
+            head += part
+            cut = head.find(_END)
+            if cut < 0 and len(head) <= 1 << 20:
+                continue
+            http, part, head = (head[:cut], head[cut + 4 :], None) if cut >= 0 else (b"", head, None)
+        payload.update(part)
+        size += len(part)
+        if keep and kind == "response" and size <= limit:
+            parts.append(part)
+    if head is not None:
+        # No HTTP headers end in this block.
+        http = head
+    if b"".join(st.chunks(len(_END))) != _END:
         raise BadRecord("no record trailer after the block")
-    said = fields.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != sha1_base32(block):
+    wrong = _differs(fields.get("warc-block-digest", ""), block.digest())
+    if wrong:
         raise BadRecord("block digest differs")
-    kind = fields.get("warc-type")
-    http, _, payload = block.partition(_END) if "http" in fields.get("content-type", "") else (b"", b"", block)
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    digest = fields.get("warc-payload-digest", "")
     if kind == "response":
-        if digest and digest != sha1_base32(payload):
+        other = _differs(digest, payload.digest())
+        if other:
             raise BadRecord("payload digest differs")
-        size = len(payload)
+        wrong = wrong if other is None else other
     else:
         sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         size = int(sizes[0]) if sizes and sizes[0].isdigit() else None
-    return {"record_type": kind, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": size, "payload": payload if kind == "response" else None}
-
-
-def _member(f, pos: int, size: int, limit: int) -> tuple[dict, int]:
-    """The record in the gzip member at a position, and where the member ends."""
-    f.seek(pos)
-    z, parts, total, read = zlib.decompressobj(31), [], 0, pos
-    while not z.eof:
-        data = f.read(_BLOCK)
-        if not data:
-            raise BadRecord("truncated member")
-        read += len(data)
+    carried = kind == "response" and keep and size <= limit
+    return {"record_type": kind, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": digest.partition(":")[2] or None, "payload_bytes": size, "payload": b"".join(parts) if carried else None, "reason": "payload over the limit" if kind == "response" and keep and not carried else None, "checked": wrong is False}
+
+
+def _inflate(f, pos: int, ends: list[int]) -> Callable[[], bytes]:
+    """Pull the data of the gzip member at a position in bounded pieces; ``ends`` gets the member's end once it is complete."""
+    z, at = zlib.decompressobj(31), pos
+
+    def pull() -> bytes:
+        nonlocal at
+        while not z.eof:
+            raw = z.unconsumed_tail
+            if not raw:
+                f.seek(at)
+                raw = f.read(_BLOCK)
+                if not raw:
+                    raise BadRecord("truncated member")
+                at += len(raw)
+            try:
+                data = z.decompress(raw, 1 << 20)
+            except zlib.error as e:
+                raise BadRecord(f"gzip: {e}") from None
+            if z.eof:
+                ends.append(at - len(z.unused_data))
+            if data:
+                return data
+        return b""
+
+    return pull
+
+
+def _until_error(pull: Callable[[], bytes]) -> Callable[[], bytes]:
+    """The data before a member breaks."""
+
+    def safe() -> bytes:
+        try:
+            return pull()
+        except BadRecord:
+            return b""
+
+    return safe
+
+
+def _member(f, pos: int, keep: bool, limit: int) -> Iterator[dict]:
+    """Records and gaps of the gzip member at a position, which may hold any number of records; last ``end`` (None if it is broken) and ``reason``.
+
+    Of a broken member only records that a digest confirms are taken.  A member is held in memory up to ``MEMBER`` bytes;
+    a larger one is inflated once to check it and once more to read it.
+    """
+    ends: list[int] = []
+    pull, held, reason = _inflate(f, pos, ends), [], None
+    try:
+        size = 0
+        while data := pull():
+            size += len(data)
+            if size <= MEMBER:
+                held.append(data)
+    except BadRecord as e:
+        reason = str(e)
+    whole = b"".join(held) if size <= MEMBER else None
+    held.clear()
+
+    def stream(skip: int) -> _Stream:
+        """The member's data from a byte on."""
+        if whole is not None:
+            once = iter([whole])
+            st = _Stream(lambda: next(once, b""))
+        else:
+            st = _Stream(_until_error(_inflate(f, pos, [])))
+        for _ in st.chunks(skip):
+            pass
+        return st
+
+    st, found, bad = stream(0), 0, None
+    while st.any():
+        begin = st.taken
         try:
-            parts.append(z.decompress(data))
-        except zlib.error as e:
-            raise BadRecord(f"gzip: {e}") from None
-        total += len(parts[-1])
-        if total > limit:
-            raise BadRecord("record over the size limit")
-    return parse_record(b"".join(parts)), read - len(z.unused_data)
-
-
-def _plain(f, pos: int, size: int, limit: int) -> tuple[dict, int]:
-    """The uncompressed record at a position, and where it ends."""
-    f.seek(pos)
-    head = b""
-    while _END not in head:
+            r = parse_record(st, keep, limit)
+            if reason and not r["checked"]:
+                raise BadRecord("no digest in a broken member")
+        except BadRecord as e:
+            bad = bad or str(e)
+            # What the failed record took is searched too.
+            st = stream(begin + 1)
+            if not st.find(_VERSION):
+                break
+            continue
+        if bad and not reason and found:
+            yield {"record_type": "gap", "offset": pos, "end": ends[0], "reason": f"{bad}, before byte {begin} of the member"}
+        bad, found = None, found + 1
+        yield r | {"offset": pos, "end": ends[0] if ends else None}
+    if bad and found and not reason:
+        yield {"record_type": "gap", "offset": pos, "end": ends[0], "reason": f"{bad}, at the end of the member"}
+    if not found and not reason and (bad or size):
+        reason = bad or "no record in the member"
+    yield {"record_type": None, "end": None if reason else ends[0], "reason": reason and (f"{reason}, after {found} records" if found else reason)}
+
+
+def _plain(f, pos: int, size: int, keep: bool, limit: int) -> Iterator[dict]:
+    """The uncompressed record at a position, then ``end`` and ``reason`` as for a member."""
+    at = pos
+
+    def pull() -> bytes:
+        nonlocal at
+        f.seek(at)
         data = f.read(_BLOCK)
-        head += data
-        if not head.startswith(_VERSION[: len(head)]):
-            raise BadRecord("no version line")
-        if not data or len(head) > 1 << 20:
-            raise BadRecord("headers do not end")
-    fields = head[: head.find(_END)].lower().split(b"\r\n")
-    length = [x.partition(b":")[2].strip() for x in fields if x.startswith(b"content-length:")]
-    if not length or not length[0].isdigit():
-        raise BadRecord("no content length")
-    whole = head.find(_END) + 4 + int(length[0]) + 4
-    if whole > limit or pos + whole > size:
-        raise BadRecord("length beyond the archive or the size limit")
-    f.seek(pos)
-    return parse_record(f.read(whole)), pos + whole
+        at += len(data)
+        return data
 
+    st = _Stream(pull, size - pos)
+    try:
+        r = parse_record(st, keep, limit)
+    except BadRecord as e:
+        yield {"record_type": None, "end": None, "reason": str(e)}
+        return
+    yield r | {"offset": pos, "end": pos + st.taken}
+    yield {"record_type": None, "end": pos + st.taken, "reason": None}
 
-def _search(f, pos: int, size: int, mark: bytes) -> int:
-    """Offset of the next mark at or after a position, or the size."""
+
+def _search(f, pos: int, size: int) -> int:
+    """Offset of the next gzip member or version line at or after a position, or the size."""
     keep = b""
     while pos < size:
         f.seek(pos)
         data = f.read(_BLOCK)
         if not data:
             break
-        at = (keep + data).find(mark)
-        if at >= 0:
-            return pos - len(keep) + at
+        both = [x for x in ((keep + data).find(_MAGIC), (keep + data).find(_VERSION)) if x >= 0]
+        if both:
+            return pos - len(keep) + min(both)
         pos += len(data)
-        keep = (keep + data)[-(len(mark) - 1) :]
+        keep = (keep + data)[-(len(_VERSION) - 1) :]
     return size
 
 
-def salvage(f, size: int, limit: int = 1 << 30) -> Iterator[dict]:
-    """Records of one archive in order, and a ``gap`` row for each quarantined byte range."""
-    f.seek(0)
-    start = f.read(3)
-    gz = start == _MAGIC or (_VERSION[:3] != start and _search(f, 0, size, _MAGIC) < _search(f, 0, size, _VERSION))
-    parse, mark = (_member, _MAGIC) if gz else (_plain, _VERSION)
+def salvage(f, size: int, keep: bool = True, limit: int = PAYLOAD_LIMIT) -> Iterator[dict]:
+    """Records of one archive in order, and a ``gap`` row for each quarantined byte range.
+
+    Members and plain records may follow each other in any order; after a failure both marks are searched for.
+    """
     pos, bad = 0, None
     while pos < size:
-        try:
-            record, end = parse(f, pos, size, limit)
-        except BadRecord as e:
-            bad = bad or (pos, str(e))
-            pos = _search(f, pos + 1, size, mark)
-            continue
-        if bad:
-            yield {"record_type": "gap", "offset": bad[0], "end": pos, "reason": bad[1]}
-            bad = None
-        yield record | {"offset": pos, "end": end, "reason": None}
-        pos = end
+        f.seek(pos)
+        rows = _member(f, pos, keep, limit) if f.read(3) == _MAGIC else _plain(f, pos, size, keep, limit)
+        for r in rows:
+            if r["record_type"] is None and "offset" not in r:
+                break
+            if bad:
+                yield {"record_type": "gap", "offset": bad[0], "end": pos, "reason": bad[1]}
+                bad = None
+            yield r
+        if r["end"] is None:
+            bad = bad or (pos, r["reason"])
+            pos = _search(f, pos + 1, size)
+        else:
+            pos = r["end"]
     if bad:
         yield {"record_type": "gap", "offset": bad[0], "end": size, "reason": bad[1]}
 
@@ -235,7 +403,7 @@ def salvage(f, size: int, limit: int = 1 << 30) -> Iterator[dict]:
 _FIELDS = [("path", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("record_type", pa.string()), ("reason", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
 
 
-def read_warc(paths: DataFrame, path_col: str = "path", keep_payload: bool = True, limit: int = 1 << 30) -> DataFrame:
+def read_warc(paths: DataFrame, path_col: str = "path", keep_payload: bool = True, limit: int = PAYLOAD_LIMIT) -> DataFrame:
     """Records and gaps of the archives named in a column: one task streams one archive at a time."""
     fields = [x for x in _FIELDS if keep_payload or x[0] != "payload"]
     schema = pa.schema(fields)
@@ -246,7 +414,7 @@ def read_warc(paths: DataFrame, path_col: str = "path", keep_payload: bool = Tru
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
                 with _open(path, "r") as f:
-                    for r in salvage(f, f.size(), limit):
+                    for r in salvage(f, f.size(), keep_payload, limit):
                         rows.append({n: r.get(n) for n, _ in fields} | {"path": path})
                         held += len(r.get("payload") or b"") if keep_payload else 200
                         if held > 1 << 22:
@@ -259,8 +427,22 @@ def read_warc(paths: DataFrame, path_col: str = "path", keep_payload: bool = Tru
 
 
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, read back, with ``n_gaps``: the quarantined ranges of all archives (none in archives just written)."""
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc"), archive_bytes=16 << 20)
     n = max(1, manifest.count())
-    got = read_warc(manifest.select("path").repartition(n), keep_payload=False).where("record_type <> 'gap'")
+    got = stored(read_warc(manifest.select("path").repartition(n), keep_payload=False).drop("path", "target_uri"), "records")
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:x-page:(-?[0-9]+)>$', 1), '') as bigint)")
-    return got.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    gaps = got.where("record_type = 'gap'").agg(F.count("*").alias("n_gaps"))
+    # One row, so the broadcast is bounded.
+    out = got.where("record_type <> 'gap'").crossJoin(F.broadcast(gaps))
+    return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "n_gaps")
+
+
+_CHARS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g[{i}] >> {shift}) & 31) + 1, 1)" for i in range(1, 9) for shift in (15, 10, 5, 0))
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS winner FROM p),
+d AS (SELECT *, [CAST(('0x' || substr(hex, 5 * i + 1, 5)) AS INTEGER) FOR i IN range(8)] AS g FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_CHARS} AS payload_digest,
+  CASE WHEN winner <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN winner <> page_id THEN winner END AS refers_to, CAST(0 AS BIGINT) AS n_gaps
+FROM d"""

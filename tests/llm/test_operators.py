@@ -256,6 +256,49 @@ def test_salvage_recovers_later_records(gz):
     assert gaps[0] == (off[3], off[4]) and gaps[1] == (off[17], off[19]) and gaps[-1][1] == len(raw)
 
 
+def _ids(out):
+    return [warc._id_of(r["record_id"]) for r in out if r["record_type"] != "gap"]
+
+
+def _read(raw, **more):
+    return list(warc.salvage(io.BytesIO(raw), len(raw), **more))
+
+
+def _gz(raw):
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def test_salvage_of_whole_streams_mixed_and_old_archives(monkeypatch):
+    rec = lambda i, n=50: warc.record_bytes(i, "http://x", (b"%d " % i) * n, None, False)
+    records = [rec(i) for i in range(5)]
+    for most in (8 << 20, 100):
+        monkeypatch.setattr(warc, "MEMBER", most)
+        # One member around all records, sound, with a broken record in it, and cut off.
+        out = _read(_gz(b"".join(records)))
+        assert _ids(out) == list(range(5)) and all(r["record_type"] != "gap" for r in out)
+        damaged = records[2].replace(b"2 2 2", b"2 9 2", 1)
+        out = _read(_gz(b"".join([*records[:2], damaged, *records[3:]])))
+        assert _ids(out) == [0, 1, 3, 4] and sum(r["record_type"] == "gap" for r in out) == 1
+        noise = [warc.record_bytes(i, None, random.Random(i).randbytes(3000), None, False) for i in range(40)]
+        whole = _gz(b"".join(noise))
+        out = _read(whole[: len(whole) // 2])
+        assert len(_ids(out)) > 10 and _ids(out) == list(range(len(_ids(out)))) and out[-1]["record_type"] == "gap"
+    # Members and plain records in one file, with junk that holds both marks between them.
+    out = _read(_gz(records[0]) + records[1] + records[2] + b"junk \x1f\x8b\x08 WARC/ junk" + _gz(records[3]) + records[4])
+    assert _ids(out) == list(range(5)) and [r["record_type"] for r in out].count("gap") == 1
+    old = records[1].replace(b"WARC/1.1", b"WARC/0.18").replace(b"WARC-Type: response", b"WARC-Type:\r\n response")
+    assert [(r["record_type"], warc._id_of(r["record_id"])) for r in _read(old)] == [("response", 1)]
+    # A payload over the limit is checked and counted.
+    big = _read(rec(7, 100_000) + records[0], limit=1000)
+    assert _ids(big) == [7, 0] and big[0]["payload_bytes"] == 200_000 and big[0]["payload"] is None and big[0]["reason"] == "payload over the limit" and big[1]["payload"]
+    # A gzip payload inside a plain record that fails is no member.
+    inner = warc.record_bytes(1, None, _gz(b"page"), None, False)
+    out = _read(inner.replace(b"Content-Length: ", b"Content-Length: 9", 1) + records[3])
+    assert _ids(out) == [3] and out[0]["record_type"] == "gap"
+    assert _read(b"") == [] and [r["record_type"] for r in _read(b"x")] == ["gap"]
+
+
 def test_edit_aware_counts():
     coder = tokencounts.encoding(tokencounts.VOCABULARY)
     count = lambda parts: [len(coder.encode_ordinary(p)) for p in parts]
