@@ -35,4 +35,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS componen
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
-ORACLES = {"op1_warc_salvage": warc.ORACLE, "op2_ngram_jaccard": _OP2, "op3_secret_scans": secrets.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+ORACLES = {"op1_warc_salvage": warc.ORACLE, "op2_ngram_jaccard": _OP2, "op3_secret_scans": secrets.ORACLE, "op7_chat_formatting": chat.ORACLE, "op8_decontamination": decontaminate.ORACLE}

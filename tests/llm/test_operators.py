@@ -418,21 +418,55 @@ def test_chat_linking(spark):
     calls = spark.createDataFrame([
         (1, "x", 0, "f", '{"n":2,"a":"q"}', None), (1, "y", 1, "f", '{"a":3,"z":1}', ["x"]), (1, "y", 5, "f", "{}", None),
         (2, "p", 0, "f", '{"a":"1"}', ["q"]), (2, "q", 1, "f", '{"a":"1"}', None), (3, "c", 0, "f", '{"a":"1"}', ["d"]), (3, "d", 1, "f", '{"a":"1"}', ["c"]),
-        (4, "m", 0, "g", "not json", ["nowhere"]), (5, "k", 0, "f", None, None), (None, "k", 0, "f", "{}", None),
+        (3, "s", 2, "f", '{"a":"1"}', ["c"]), (4, "m", 0, "g", "not json", ["nowhere"]), (5, "k", 0, "f", None, None), (None, "k", 0, "f", "{}", None), (6, "me", 0, "f", '{"a":"1"}', ["me", None]),
     ], "conv_id long, call_id string, pos long, name string, arguments string, depends_on array<string>")
-    results = spark.createDataFrame([(1, "x", 2, 'say "hi"'), (1, "x", 3, "later"), (9, "x", 0, "orphan")], "conv_id long, call_id string, pos long, content string")
+    results = spark.createDataFrame([(1, "x", 2, 'say "hi"'), (1, "x", 3, "later"), (9, "x", 0, "orphan"), (None, "x", 0, "q"), (9, None, 0, "q")], "conv_id long, call_id string, pos long, content string")
     got = {(r["conv_id"], r["call_id"]): r for r in chat.link_tool_calls(calls, results, schemas).collect()}
-    assert len(got) == 8
-    assert got[1, "x"]["json"] == '{"arguments":{"a":"q","n":2},"id":"x","name":"f","result":"say \\"hi\\""}' and got[1, "x"]["valid"]
+    assert len(got) == 11
+    assert got[1, "x"]["json"] == '{"arguments":{"a":"q","n":2},"id":"x","name":"f","result":"say \\"hi\\""}' and got[1, "x"]["valid"] and got[1, "x"]["n_results"] == 2
     assert got[1, "y"]["problems"] == "type:a,unknown:z" and not got[1, "y"]["linked"]
     assert (got[2, "q"]["topo"], got[2, "p"]["topo"]) == (0, 1)
-    assert got[3, "c"]["topo"] is None and got[3, "c"]["problems"] == "cycle"
+    assert all(got[k]["topo"] is None and got[k]["problems"] == "cycle" for k in ((3, "c"), (3, "d"), (3, "s"), (6, "me")))
     assert "unresolved" in got[4, "m"]["problems"] and "malformed" in got[5, "k"]["problems"]
-    assert chat.orphan_results(calls, results).count() == 1
+    assert got[9, "x"]["problems"] == "orphan-result" and not got[9, "x"]["linked"]
+    assert chat.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def test_canonical_json(spark):
+    from pyspark.sql import functions as F
+
+    forms = [(["1", "1.0", "1e0", "10e-1", "1.000"], "1"), (["100", "1e2", "1E+2", "100.0"], "100"), (["0", "-0", "-0.0", "0e5"], "0"), (["0.1", "0.10", "1e-1"], "0.1"), (["12345678901234567890"], "12345678901234567890"), (['"1.0 \\" 1e0"'], '"1.0 \\" 1e0"'), (["[1.0, {\"b\":2.50,\"a\":\"\\u0041 7.0\"}]"], '[1,{"a":"A 7.0","b":2.5}]')]
+    rows = spark.createDataFrame([(x, want) for xs, want in forms for x in xs], "j string, want string")
+    bad = rows.withColumn("got", chat.canonical(F.to_json(F.parse_json("j")))).where("got is distinct from want").collect()
+    assert not bad, bad
+
+
+def test_chat_orders_any_graph(spark):
+    rng = random.Random(2)
+    rows, deps = [], {}
+    for conv in range(12):
+        n = rng.randint(1, 40)
+        order = rng.sample(range(n), n)
+        for i in range(n):
+            own = [order[j] for j in range(i) if rng.random() < 0.08] if conv % 3 else ([order[i - 1]] if i else [])
+            deps[conv, f"c{order[i]}"] = [f"c{d}" for d in own]
+    deps[11, "c0"] = deps[11, "c0"] + ["c0"]
+    calls = spark.createDataFrame([(k[0], k[1], int(k[1][1:]), "f", "{}", d) for k, d in deps.items()], "conv_id long, call_id string, pos long, name string, arguments string, depends_on array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["topo"] for r in chat.link_tool_calls(calls, calls.selectExpr("conv_id", "call_id", "pos", "'r' as content").limit(0), {"f": {}}).collect()}
+    bad = {(11, "c0")}
+    while more := {k for k, d in deps.items() if k not in bad and any((k[0], x) in bad for x in d)}:
+        bad |= more
+    assert {k for k, t in got.items() if t is None} == bad
+    for k, d in deps.items():
+        assert k in bad or all(got[k] > got[k[0], x] for x in d)
+    for conv in range(12):
+        numbers = sorted(t for k, t in got.items() if k[0] == conv and t is not None)
+        assert numbers == list(range(len(numbers)))
 
 
 def test_chat_long_conversation(spark):
-    calls = spark.range(3500).selectExpr("1L as conv_id", "concat('c', id) as call_id", "id as pos", "'f' as name", "'{}' as arguments", "cast(null as array<string>) as depends_on")
-    results = calls.selectExpr("conv_id", "call_id", "pos", "'r' as content")
-    got = chat.link_tool_calls(calls, results, {"f": {}})
-    assert got.where("topo = pos and linked and valid").count() == 3500
+    for deps in ("cast(null as array<string>)", "array(concat('c', id + 1))"):
+        calls = spark.range(3500).selectExpr("1L as conv_id", "concat('c', id) as call_id", "id as pos", "'f' as name", "'{}' as arguments", f"{deps} as depends_on")
+        results = calls.selectExpr("conv_id", "call_id", "pos", "'r' as content")
+        got = chat.link_tool_calls(calls, results, {"f": {}})
+        assert got.where(("topo = pos" if "null" in deps else "topo = 3499 - pos") + " and linked").count() == 3500
