@@ -1,158 +1,251 @@
 """Edit-aware token counts (operator 4).
 
-A document is cut into leaves at positions where a white-space character follows another kind of character.
-The pre-tokenizer always begins a token there, whatever stands around, so tokens never cross a cut and counts
-add up.  A document's leaves form a balanced tree whose nodes hold characters and tokens; an edit re-encodes only the leaves
-it touches, plus a neighbour whose cut the edit could have moved, and updates the sums on the paths above.
-
-Defined cases: a null or empty text has one empty leaf and 0 tokens; null or empty edits change nothing; an
-edit is clipped to the text as it is when its turn comes, a null replacement deletes; edits apply in array
-order; repeated rows are counted alike; an empty table gives an empty table; other columns are ignored.
+A document is cut into leaves of about ``leaf`` characters at places where the pre-tokenizer always begins a token,
+whatever stands around: where white space follows another character, or where letters, digits and other characters
+meet (an apostrophe before letters aside, as contractions hold both).  Tokens never cross a cut, so counts add up.  A
+document's leaves are the leaves of a balanced tree whose nodes hold characters and tokens.  ``build_trees`` stores the
+leaves and their counts per document; ``edit_trees`` reads them, and an edit splits the tree at the leaves it touches
+(and a neighbour whose cut it could have moved), encodes those leaves only, and joins the parts again, which updates
+the sums on two paths.  Its result is a table of trees too, so later edits go on from there.
+
+Defined cases: a null or empty text has one empty leaf and 0 tokens; null or empty edits change nothing; an edit is
+clipped to the text as it is when its turn comes, a null replacement deletes; edits apply in array order; repeated rows
+are counted alike; an empty table gives an empty table; other columns are ignored.  A run of one kind of characters
+without white space is one pre-token and so one leaf, of any length.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, small_batches
+from lectern.llm.common import documents, small_batches, stored
 
+#: Read on the driver only; the workers get its bytes.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's published pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 512
-_CUT = regex.compile(r"(?<=\S)\s")
+_CUT = regex.compile(r"(?<=\S)\s|(?<=\p{L})[^\p{L}\s]|(?<=\p{N})[^\p{N}\s]|(?<=[^\s\p{L}\p{N}])\p{N}|(?<=[^\s\p{L}\p{N}'])\p{L}")
 
 
-@cache
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def encoding(vocabulary: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class TokenTree:
-    """Leaves of one text and sums over them.
-
-    ``size`` and ``tokens`` are binary trees in arrays: the leaves are at ``base + i``, node ``i`` sums ``2 i`` and
-    ``2 i + 1``.  An edit inside a leaf updates one path; if leaves are added or taken away, the slots are dealt
-    anew from the leaf sums, without encoding anything again.
-    """
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+class _Node:
+    """A leaf with its text, or the sums of two subtrees."""
+
+    __slots__ = ("chars", "height", "left", "leaves", "right", "text", "tokens")
+
+    def __init__(self, left=None, right=None, text: str = "", tokens: int = 0):
+        self.left, self.right, self.text = left, right, text
+        if left is None:
+            self.chars, self.tokens, self.leaves, self.height = len(text), tokens, 1, 0
+        else:
+            self.chars, self.tokens, self.leaves = left.chars + right.chars, left.tokens + right.tokens, left.leaves + right.leaves
+            self.height = 1 + max(left.height, right.height)
+
+
+def _balanced(nodes: list[_Node]) -> _Node | None:
+    if len(nodes) < 2:
+        return nodes[0] if nodes else None
+    half = len(nodes) // 2
+    return _Node(_balanced(nodes[:half]), _balanced(nodes[half:]))
+
+
+def _join(a: _Node | None, b: _Node | None) -> _Node | None:
+    """One tree of the leaves of two; as deep as a balanced tree of them up to a constant."""
+    if a is None or b is None:
+        return a or b
+    if abs(a.height - b.height) <= 1:
+        return _Node(a, b)
+    if a.height > b.height:
+        keep, part = a.left, _join(a.right, b)
+        if part.height <= keep.height + 1:
+            return _Node(keep, part)
+        if part.left.height > part.right.height:
+            return _Node(_Node(keep, part.left.left), _Node(part.left.right, part.right))
+        return _Node(_Node(keep, part.left), part.right)
+    keep, part = b.right, _join(a, b.left)
+    if part.height <= keep.height + 1:
+        return _Node(part, keep)
+    if part.right.height > part.left.height:
+        return _Node(_Node(part.left, part.right.left), _Node(part.right.right, keep))
+    return _Node(part.left, _Node(part.right, keep))
+
+
+def _split(t: _Node | None, k: int) -> tuple[_Node | None, _Node | None]:
+    """The first ``k`` leaves and the others."""
+    if t is None or k <= 0:
+        return None, t
+    if k >= t.leaves:
+        return t, None
+    if k <= t.left.leaves:
+        a, b = _split(t.left, k)
+        return a, _join(b, t.right)
+    a, b = _split(t.right, k - t.left.leaves)
+    return _join(t.left, a), b
+
+
+def _leaves(t: _Node | None) -> Iterator[_Node]:
+    todo = [t] if t else []
+    while todo:
+        x = todo.pop()
+        if x.left is None:
+            yield x
+        else:
+            todo += [x.right, x.left]
 
-    def __init__(self, text: str, count: Callable[[list[str]], list[int]], leaf: int = LEAF):
-        self.count, self.leaf, self.encoded = count, leaf, 0
-        self.leaves = self._cut(text)
-        self._deal(self._counts(self.leaves))
 
-    def _counts(self, leaves: list[str]) -> list[int]:
-        self.encoded += sum(map(len, leaves))
-        return self.count(leaves)
+class TokenTree:
+    """The tree of one text; ``encoded`` counts the characters it had to encode."""
 
-    def _cut(self, text: str) -> list[str]:
-        out, at = [], 0
+    def __init__(self, text: str, count: Callable[[list[str]], list[int]], leaf: int = LEAF, state: tuple[list[int], list[int]] | None = None):
+        self.count, self.leaf, self.encoded = count, leaf, 0
+        if state is None:
+            self.root = _balanced(self._made(text))
+        else:
+            at, nodes = 0, []
+            for chars, tokens in zip(*state, strict=True):
+                nodes.append(_Node(text=text[at : at + chars], tokens=tokens))
+                at += chars
+            self.root = _balanced(nodes)
+
+    def _made(self, text: str) -> list[_Node]:
+        """Leaves of a text, encoded."""
+        parts, at = [], 0
         while len(text) - at > self.leaf:
             m = _CUT.search(text, at + self.leaf)
             if m is None:
                 break
-            out.append(text[at : m.start()])
+            parts.append(text[at : m.start()])
             at = m.start()
-        return [*out, text[at:]]
-
-    def _deal(self, tokens: list[int]) -> None:
-        self.base = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.size, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        self.size[self.base : self.base + len(self.leaves)] = map(len, self.leaves)
-        self.tokens[self.base : self.base + len(self.leaves)] = tokens
-        for i in range(self.base - 1, 0, -1):
-            self.size[i] = self.size[2 * i] + self.size[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        parts.append(text[at:])
+        self.encoded += len(text)
+        return [_Node(text=p, tokens=n) for p, n in zip(parts, self.count(parts), strict=True)]
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
+
+    @property
+    def size(self) -> int:
+        return self.root.chars
 
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join(x.text for x in _leaves(self.root))
+
+    def state(self) -> tuple[list[int], list[int]]:
+        return [x.chars for x in _leaves(self.root)], [x.tokens for x in _leaves(self.root)]
 
     def _find(self, pos: int) -> tuple[int, int]:
-        """The leaf that holds the character at a position (the last one for the end), and where it begins."""
-        i, begin = 1, 0
-        while i < self.base:
-            i *= 2
-            if pos >= begin + self.size[i] and self.size[i + 1]:
-                begin += self.size[i]
-                i += 1
-        return i - self.base, begin
+        """The number of the leaf that holds the character at a position (the last one for the end), and where it begins."""
+        t, i, begin = self.root, 0, 0
+        while t.left is not None:
+            if pos >= begin + t.left.chars and t.right.chars:
+                i, begin, t = i + t.left.leaves, begin + t.left.chars, t.right
+            else:
+                t = t.left
+        return i, begin
 
     def edit(self, start: int, end: int, new: str) -> None:
-        n = self.size[1]
-        start = min(max(start, 0), n)
-        end = min(max(end, start), n)
+        start = min(max(start, 0), self.size)
+        end = min(max(end, start), self.size)
         # A cut stands if the characters on both sides of it do, so a leaf that begins at ``start`` takes the one
         # before it along, and one that begins at ``end`` is encoded again itself.
         first, begin = self._find(max(start - 1, 0))
         last = self._find(end)[0]
-        old = "".join(self.leaves[first : last + 1])
-        parts = self._cut(old[: start - begin] + new + old[end - begin :])
-        counts = self._counts(parts)
-        if len(parts) == last + 1 - first:
-            for k, (p, c) in enumerate(zip(parts, counts, strict=True)):
-                self.leaves[first + k] = p
-                i = self.base + first + k
-                more, most = len(p) - self.size[i], c - self.tokens[i]
-                while i:
-                    self.size[i] += more
-                    self.tokens[i] += most
-                    i //= 2
-            return
-        tokens = self.tokens[self.base : self.base + len(self.leaves)]
-        tokens[first : last + 1] = counts
-        self.leaves[first : last + 1] = parts
-        self._deal(tokens)
-
-
-def count_tokens_with_edits(docs: DataFrame, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
-    """Per row: tokens before and after its ``array<struct<start,end,text>>`` of edits, and the characters encoded.
-
-    ``n_chars_encoded`` counts what the edits encoded again, ``n_chars_full`` what full recounts would have.
-    """
-    small_batches(docs.sparkSession)
+        before, rest = _split(self.root, first)
+        touched, after = _split(rest, last + 1 - first)
+        old = "".join(x.text for x in _leaves(touched))
+        middle = _balanced(self._made(old[: start - begin] + new + old[end - begin :]))
+        self.root = _join(_join(before, middle), after)
+
+
+_STATE = "body binary, leaf_chars array<int>, leaf_tokens array<int>"
+_INTS = pa.list_(pa.int32())
+
+
+def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+    """Store ``id, body, leaf_chars, leaf_tokens, n_chars, n_tokens`` per row; ``body`` is the compressed text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     ids = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {ids}, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_chars_encoded bigint, n_chars_full bigint"
-    names = [id_col, "n_tokens", "n_edits", "n_tokens_after", "n_chars_encoded", "n_chars_full"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(vocabulary)
+        coder, packer = encoding(shared.value), zstandard.ZstdCompressor(level=3)
+        count = lambda parts: [len(coder.encode_ordinary(p)) for p in parts]
+        for b in batches:
+            bodies, chars, tokens = [], [], []
+            for x in b.column(1):
+                text = x.as_py() or ""
+                c, n = TokenTree(text, count, leaf).state()
+                bodies.append(packer.compress(text.encode()))
+                chars.append(c)
+                tokens.append(n)
+            cols = [b.column(0), pa.array(bodies, pa.binary()), pa.array(chars, _INTS), pa.array(tokens, _INTS), pa.array([sum(x) for x in chars], pa.int64()), pa.array([sum(x) for x in tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "body", "leaf_chars", "leaf_tokens", "n_chars", "n_tokens"])
+
+    return stored(docs.select(id_col, text_col).mapInArrow(run, f"id {ids}, {_STATE}, n_chars bigint, n_tokens bigint"), "trees")
+
+
+def edit_trees(trees: DataFrame, edits_col: str = "edits", vocabulary: str = VOCABULARY, leaf: int = LEAF, keep: bool = True) -> DataFrame:
+    """Apply each row's ``array<struct<start,end,text>>`` to its stored tree: the new tree, and what the edits took.
+
+    ``n_tokens_before`` and ``n_tokens`` are counts before and after; ``n_chars_encoded`` tells how many characters the
+    edits encoded again, ``n_chars_full`` how many full recounts would have.  Without ``keep`` the trees are left out.
+    """
+    spark = trees.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    ids = trees.schema["id"].dataType.simpleString()
+    counts = ["n_chars", "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded", "n_chars_full"]
+    schema = f"id {ids}, " + (f"{_STATE}, " if keep else "") + ", ".join(f"{c} bigint" for c in counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, packer = encoding(shared.value), zstandard.ZstdCompressor(level=3)
         count = lambda parts: [len(coder.encode_ordinary(p)) for p in parts]
         for b in batches:
-            out = []
-            for text, edits in zip(b.column(1), b.column(2), strict=True):
-                tree = TokenTree(text.as_py() or "", count, leaf)
-                before, first, full, n = tree.total, tree.encoded, 0, 0
+            out, states = [], []
+            for body, chars, tokens, edits in zip(*(b.column(i) for i in range(1, 5)), strict=True):
+                tree = TokenTree(zstandard.decompress(body.as_py()).decode(), count, leaf, (chars.as_py(), tokens.as_py()))
+                before, full, n = tree.total, 0, 0
                 for e in edits.as_py() or []:
                     if e is None or e["start"] is None or e["end"] is None:
                         continue
                     tree.edit(e["start"], e["end"], e["text"] or "")
-                    n, full = n + 1, full + tree.size[1]
-                out.append((before, n, tree.total, tree.encoded - first, full))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))] if out else [b.column(0), *(pa.array([], pa.int64()) for _ in range(5))], names=names)
+                    n, full = n + 1, full + tree.size
+                out.append((tree.size, before, n, tree.total, tree.encoded, full))
+                if keep:
+                    states.append((packer.compress(tree.text().encode()), *tree.state()))
+            kept = [pa.array([s[k] for s in states], t) for k, t in enumerate((pa.binary(), _INTS, _INTS))] if keep else []
+            names = ["id", *(["body", "leaf_chars", "leaf_tokens"] if keep else []), *counts]
+            yield pa.RecordBatch.from_arrays([b.column(0), *kept, *(pa.array([o[k] for o in out], pa.int64()) for k in range(len(counts)))], names=names)
 
     edits = F.transform(edits_col, lambda e: F.struct(e["start"].cast("bigint").alias("start"), e["end"].cast("bigint").alias("end"), e["text"].cast("string").alias("text")))
-    return docs.select(id_col, text_col, edits.alias("_edits")).mapInArrow(run, schema)
+    return trees.select("id", "body", "leaf_chars", "leaf_tokens", edits.alias("_edits")).mapInArrow(run, schema)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts under four edits each: insert after a third, replace at the middle, delete at two thirds, append."""
-    docs = documents(spark, sf_dir)
-    n = F.coalesce(F.length("text"), F.lit(0))
+    trees = build_trees(documents(spark, sf_dir))
+    n = F.col("n_chars")
     edit = lambda a, b, t: F.struct(F.floor(a).alias("start"), F.floor(b).alias("end"), F.lit(t).alias("text"))
     edits = F.array(edit(n / 3, n / 3, " (see note 7)"), edit(n / 2, n / 2 + 9, "revised\n"), edit(n * 2 / 3, n * 2 / 3 + 24, ""), edit(n + 100, n + 100, "\n\nUpdated."))
-    return count_tokens_with_edits(docs.select("doc_id", "text", edits.alias("edits")))
+    out = edit_trees(trees.withColumn("edits", edits), keep=False)
+    return out.select(F.col("id").alias("doc_id"), F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_chars_encoded", "n_chars_full")

@@ -300,9 +300,9 @@ def test_salvage_of_whole_streams_mixed_and_old_archives(monkeypatch):
 
 
 def test_edit_aware_counts():
-    coder = tokencounts.encoding(tokencounts.VOCABULARY)
+    coder = tokencounts.encoding(tokencounts.read_vocabulary())
     count = lambda parts: [len(coder.encode_ordinary(p)) for p in parts]
-    rng, parts = random.Random(0), [" ", "  ", "\n", "a", "bc", "'s", "é", "12", ".", "\n\n", " x"]
+    rng, parts = random.Random(0), [" ", "  ", "\n", "a", "bc", "'s", "'", "é", "12", ".", "\n\n", " x", "!?", "'ll"]
     for _ in range(400):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 80)))
         tree = tokencounts.TokenTree(t, count, rng.choice([1, 4, 9]))
@@ -311,14 +311,35 @@ def test_edit_aware_counts():
             b, new = rng.randint(a, a + 6), "".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))
             tree.edit(a, b, new)
             t = t[: min(a, len(t))] + new + t[min(b, len(t)) :]
-            assert tree.text() == t and tree.total == len(coder.encode_ordinary(t))
+            assert tree.text() == t and tree.total == len(coder.encode_ordinary(t)) and tree.size == len(t)
+        # A tree read back from its leaves counts without encoding.
+        again = tokencounts.TokenTree(t, count, 4, tree.state())
+        assert again.total == tree.total and again.encoded == 0
+
+
+def test_edits_take_little_of_a_long_text():
+    coder = tokencounts.encoding(tokencounts.read_vocabulary())
+    count = lambda parts: [len(coder.encode_ordinary(p)) for p in parts]
+    for unit in ("some words here ", "ab12.", "x1"):
+        text = unit * (400_000 // len(unit))
+        tree = tokencounts.TokenTree(text, count)
+        tree.encoded = 0
+        for k in range(200):
+            tree.edit(k * 2000, k * 2000 + 3, "new " if k % 2 else "")
+        assert tree.encoded < 200 * 4 * tokencounts.LEAF and tree.root.height < 2 * tree.root.leaves.bit_length()
+        assert tree.total == len(coder.encode_ordinary(tree.text()))
 
 
 def test_edit_rows(spark):
-    rows = [(1, None, None), (2, "a b", [(0, 1, "xyz")]), (3, "", [(0, 5, None), None, (None, 1, "q")])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,end:long,text:string>>")
-    got = {r["doc_id"]: (r["n_tokens"], r["n_edits"]) for r in tokencounts.count_tokens_with_edits(docs).collect()}
-    assert got == {1: (0, 0), 2: (2, 1), 3: (0, 1)}
+    docs = spark.createDataFrame([(1, None, "x"), (2, "a b", "x"), (3, "", "x"), (None, "c", "x"), (2, "a b", "x")], "doc_id long, text string, body string")
+    trees = tokencounts.build_trees(docs)
+    assert sorted((r["id"] or 0, r["n_chars"], r["n_tokens"]) for r in trees.collect()) == [(0, 1, 1), (1, 0, 0), (2, 3, 2), (2, 3, 2), (3, 0, 0)]
+    edits = spark.createDataFrame([(2, [(0, 1, "xyz")]), (3, [(0, 5, None), None, (None, 1, "q")])], "id long, edits array<struct<start:long,end:long,text:string>>")
+    made = tokencounts.edit_trees(trees.join(edits, "id", "left"))
+    assert sorted((r["id"] or 0, r["n_tokens_before"], r["n_edits"], r["n_chars"]) for r in made.collect()) == [(0, 1, 0, 1), (1, 0, 0, 0), (2, 2, 1, 5), (2, 2, 1, 5), (3, 0, 1, 0)]
+    more = tokencounts.edit_trees(made.join(edits, "id", "left"), keep=False)
+    assert sorted(r["n_chars"] for r in more.where("id = 2").collect()) == [7, 7]
+    assert tokencounts.edit_trees(tokencounts.build_trees(docs.limit(0)).join(edits, "id")).count() == 0
 
 
 def test_line_dedup(spark):
