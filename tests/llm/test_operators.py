@@ -392,6 +392,55 @@ def test_sharding(spark):
     assert sharding.kd_shards(_docs(spark, []), 24).count() == 0
 
 
+def _tree(rows, leaves, first, scale):
+    """Shards of ``(unit, weight, tie, dimensions)`` by exact weighted quantiles."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    spread = [(max(r[3][d] for r in rows) - min(r[3][d] for r in rows)) / scale[d] for d in range(len(scale))]
+    dim = spread.index(max(spread))
+    rows = sorted(rows, key=lambda r: (r[3][dim], r[2]))
+    half, upto, cut = leaves // 2, 0, len(rows)
+    want = sum(r[1] for r in rows) * half / leaves
+    for i, r in enumerate(rows):
+        if upto + r[1] >= want:
+            cut = i + 1 if abs(upto + r[1] - want) < abs(upto - want) else i
+            break
+        upto += r[1]
+    return _tree(rows[:cut], half, first, scale) | _tree(rows[cut:], leaves - half, first + half, scale)
+
+
+@pytest.mark.parametrize("shards", [1, 7, 24])
+def test_tree_equals_exact_quantiles(spark, shards):
+    rng = random.Random(shards)
+    rows = [(i, rng.randint(1, 500), rng.random(), [rng.choice([0.0, 1.0, 2.5]), rng.random() * 1e9, float(rng.randint(0, 30))]) for i in range(900)]
+    points = spark.createDataFrame(rows, "unit long, w long, tie double, x array<double>")
+    got = {r["unit"]: r["first"] for r in sharding.grow(points, shards, 3, buckets=16, tolerance=0.0).collect()}
+    scale = [(max(r[3][d] for r in rows) - min(r[3][d] for r in rows)) or 1.0 for d in range(3)]
+    assert got == _tree(rows, shards, 0, scale)
+
+
+def test_sharding_keeps_groups_and_takes_any_columns(spark):
+    texts = [(f"id-{i}", f"text {i % 700} " * (1 + i % 9)) for i in range(2000)] + [("z", "same " * 50)] * 3 + [(None, None), ("e", "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, "s") for i, t in texts], "doc_id string, text string, shard int, slot int, _id string")
+    rows = sharding.kd_shards(docs, 6, keep=("shard", "_id")).collect()
+    assert len(rows) == len(texts) and set(docs.columns) - {"text"} <= {*rows[0].asDict()}
+    homes = collections.defaultdict(set)
+    for r in rows:
+        homes[r["size"], r["text_crc32"]].add(r["shard"])
+    total = sum(r["size"] for r in rows)
+    assert all(len(h) == 1 for h in homes.values())
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.05 * total / 6
+    hot = spark.createDataFrame([(i, "hot " * 40, "s") for i in range(900)] + [(i, f"own {i} " * 20, "s") for i in range(900)], "doc_id long, text string, source string")
+    sizes = collections.Counter()
+    for r in sharding.kd_shards(hot, 8).collect():
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 8
+    assert sharding.kd_shards(hot.limit(0), None, target_bytes=100).count() == 0
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     kinds = [("fine", 1, 0), ("awful", 0, 0), ("nasty", 1, 1)]
