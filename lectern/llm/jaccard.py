@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, few, small_batches, stored
+from lectern.llm.common import documents, few, small_batches, stored, unused
 from lectern.llm.components import components
 
 WIDTH = 5
@@ -75,15 +75,15 @@ def digest(tokens: np.ndarray) -> bytes:
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """``(id, n, digest)`` per row; the digest is null without words."""
+    """``(id, hash, n, digest)`` per row: a hash of the text, the size and digest of its set; the digest is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in bs.slices(b.column(1)):
+            for s in bs.slices(b.column(2)):
                 sets = shingle_sets(s, width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) if len(x) else None for x in sets], pa.binary())], names=["id", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) if len(x) else None for x in sets], pa.binary())], names=["id", "hash", "n", "digest"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n bigint, digest binary")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, hash bigint, n bigint, digest binary")
 
 
 _BLOB = "bucket int, tokens binary, owner binary, digests binary, sizes binary, extra binary"
@@ -221,8 +221,8 @@ def candidates(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, wid
     kept = stored(_shared(first, buckets(total * 0.05)).groupBy("bucket").applyInArrow(survive, "digest binary"), "survivors")
     reps = stored(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n")).join(kept, "digest").select("id", "n"), "reps")
     count, size = reps.agg(F.count("*"), F.sum("n")).first()
-    ids = reps.select(F.col("id").alias("_id")).distinct()
-    picked = docs.select(id_col, text_col).join(few(ids, count), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    ids = reps.select(F.col("id").alias(at := unused("_id", docs))).distinct()
+    picked = docs.join(few(ids, count), F.col(id_col).eqNullSafe(F.col(at)), "left_semi")
     second = _send_sets(picked, id_col, text_col, width, buckets(size or 0), lambda x: x)
 
     def keep(t: pa.Table) -> pa.Table:
@@ -259,7 +259,7 @@ def _leader_links(classes: DataFrame, labels: DataFrame, salt: int) -> DataFrame
     return fit.where(_linked(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-_QUERY = "digest binary, label binary, sub int"
+_QUERY = "digest binary, label binary, sub int, hits bigint, least bigint"
 
 
 #: So far below the largest size the least need can lie; tested over all residues of the rounding (sizes repeat by 45).
@@ -286,7 +286,8 @@ def least_hits(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
     """The classes and groups of a larger component whose common prefix shingles reach the least a link needs.
 
-    The shingles are dealt to buckets; a pair that has ``least_hits`` of them has its share in one bucket at least.
+    The shingles are dealt to buckets; the hits of a pair in each bucket are summed over all of them, so the bound is the
+    same whatever their number.
     """
     scale = min((1 << 64) - 1, -(-(1 << 64) // buckets))
     fields = [("digests", 0, pa.binary()), ("labels", 1, pa.binary()), ("csize", 2, pa.int64()), ("sub", 3, pa.int32()), ("n", 5, pa.int64()), ("low", 6, pa.int64()), ("high", 7, pa.int64())]
@@ -360,18 +361,21 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
                     settle()
                     held = 0
         settle()
-        k = np.zeros(0, np.int64)
+        k, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if sums:
             k, inv = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
             hits = np.bincount(inv, weights=np.concatenate([y for _, y in sums])).astype(np.int64)
-            least = least_hits(size[k // n], glow[k % n], ghigh[k % n])
-            k = k[hits >= -(-least // buckets)]
+        least = least_hits(size[k // n], glow[k % n], ghigh[k % n]) if len(k) else k
+        # Sizes that no link can have are left out here.
+        fit = least < np.iinfo(np.int64).max
+        k, hits, least = k[fit], hits[fit], least[fit]
         who, to = (k // n).tolist(), (k % n).tolist()
-        return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32())})
+        return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32()), "hits": pa.array(hits, pa.int64()), "least": pa.array(least, pa.int64())})
 
     blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<bigint>, low array<bigint>, high array<bigint>"
     dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high").mapInArrow(deal, blob)
-    return dealt.groupBy("bucket").applyInArrow(bound, _QUERY).distinct()
+    part = dealt.groupBy("bucket").applyInArrow(bound, _QUERY)
+    return part.groupBy("digest", "label", "sub").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("digest", "label", "sub")
 
 
 def _open(members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -415,29 +419,39 @@ def class_links(classes: DataFrame, rounds: int = 2) -> DataFrame:
     return links.unionByName(stored(opened, "links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(id, n_shingles, digest, component_id)`` for every row: the least identifier reachable by links."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(id, hash, n, digest, label)`` of every row; rows with one label are connected by links, and without words there is none."""
     small_batches(docs.sparkSession)
     sets = stored(set_table(docs, id_col, text_col, width), "sets")
-    classes = candidates(docs, sets, id_col, text_col, width)
-    labels = components(class_links(classes))
-    named = sets.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").select("id", "n", "digest", F.coalesce("label", "digest").alias("label"))
+    labels = components(class_links(candidates(docs, sets, id_col, text_col, width)))
+    return sets.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").select("id", "hash", "n", "digest", F.coalesce("label", "digest").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``(id, n_shingles, digest, component_id)`` for every row: the least identifier reachable by links."""
+    named = stored(_labelled(docs, id_col, text_col, width), "labelled")
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     return named.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "digest", F.coalesce("least", "id").alias("component_id"))
 
 
-def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of the document that names each component; word-less documents and null identifiers stay."""
-    found = stored(jaccard_components(docs, id_col, text_col), "components")
-    own = F.col(id_col) == F.col("component_id")
-    gone = found.where(~own).select(F.col(id_col).alias("_id")).distinct()
-    gone = docs.join(few(gone, found.where(~own).count()), F.col(id_col) == F.col("_id"), "left_anti")
-    # Repeated rows of a document that stays: only those are compared row by row.
-    again = stored(found.where(own & F.col("digest").isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1").select(F.col(id_col).alias("_id")), "again")
+def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row of each component: the least identifier's, and of its texts the one with the least hash.
+
+    Rows without words and with a null identifier stay.  Rows are told apart by identifier and text, so unlinked texts
+    under one identifier are judged each for itself.
+    """
+    found = stored(_labelled(docs, id_col, text_col, width).where("label is not null and id is not null"), "labelled")
+    winners = found.groupBy("label").agg(F.min(F.struct("id", "hash")).alias("w")).select("w.id", "w.hash")
+    rows = found.groupBy("id", "hash").agg(F.count("*").alias("c"))
+    i, h = unused("_id", docs), unused("_hash", docs)
+    named = lambda df: stored(df.select(F.col("id").alias(i), F.col("hash").alias(h)), "rows")
+    gone, again = named(rows.join(winners, ["id", "hash"], "left_anti")), named(rows.where("c > 1").join(winners, ["id", "hash"], "left_semi"))
+    same = (F.col(id_col) == F.col(i)) & (F.xxhash64(text_col) == F.col(h))
+    left = docs.join(few(gone, gone.count()), same, "left_anti")
     if not (n := again.count()):
-        return gone
-    same = F.col(id_col) == F.col("_id")
-    return gone.join(few(again, n), same, "left_anti").unionByName(gone.join(few(again, n), same, "left_semi").dropDuplicates([id_col]))
+        return left
+    # Repeated rows of a document that stays: only those are compared row by row.
+    return left.join(few(again, n), same, "left_anti").unionByName(left.join(few(again, n), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
