@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set to a local one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset and the session is local (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file:///tmp/lectern-checkpoints"
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -35,6 +37,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def few(df: DataFrame, rows: int, bound: int = 2_000_000) -> DataFrame:
     """A broadcast hint if the counted rows are within the bound; beyond it a plain (shuffled) side."""
     return F.broadcast(df) if rows <= bound else df

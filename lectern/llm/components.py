@@ -26,7 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``; the label is the least node of its component.
 
     Each round is one large and one small star, written to the shared folder; the edge list shrinks to one
-    edge per node, so a hub never gathers its neighbours in one task.  Rounds grow with the logarithm of the
+    edge per node.  The least neighbour is aggregated before it is joined back, and a hub's rows in that join are split by
+    adaptive execution.  Rounds grow with the logarithm of the
     longest chain.  An empty edge list gives an empty table.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")

@@ -56,10 +56,10 @@ def _runs(min_lines: int) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4, min_lines: int = 2) -> DataFrame:
     """The rows with repeated lines cut out of the text, and ``n_lines``, ``n_chunks``, ``n_removed_chunks`` (that lost lines), ``n_removed_lines``."""
-    cut = lined(docs.select(id_col, text_col), text_col, window, divisor)
+    cut = lined(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), "_t", window, divisor)
     spans = F.array_union(F.filter("_spans", lambda z: z["to"] - z["at"] + 1 >= min_lines), _runs(min_lines))
     runs = F.transform(spans, lambda z: F.struct(z["at"].alias("at"), z["to"].alias("to"), F.array_join(F.slice("_lines", z["at"] + 1, z["to"] - z["at"] + 1), "\n").alias("run")))
-    rows = cut.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.explode(runs).alias("_r")).select("_id", "_text", F.col("_r.at").alias("_at"), F.col("_r.to").alias("_to"), F.col("_r.run").alias("_run"))
+    rows = cut.select(F.col("_i").alias("_id"), F.xxhash64("_t").alias("_text"), F.explode(runs).alias("_r")).select("_id", "_text", F.col("_r.at").alias("_at"), F.col("_r.to").alias("_to"), F.col("_r.run").alias("_run"))
     rows = rows.withColumn("_key", F.xxhash64("_run"))
     again = stored(rows.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"), "repeated")
     shared = stored(rows.join(few(again, again.count()), "_key", "left_semi"), "runs")
@@ -71,17 +71,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     begin = F.when(own, F.greatest("_at", F.col("_first._to") + 1)).otherwise(F.col("_at"))
     gone = later.withColumn("_at", begin).where("_at <= _to").select("_id", "_text", F.explode(F.sequence("_at", "_to")).alias("_ix"))
     drops = stored(gone.groupBy("_id", "_text").agg(F.collect_set("_ix").alias("_drop")).withColumnRenamed("_text", "_of"), "drops")
-    # Texts without a removed line meet no match; they keep their bytes as they are.
-    joined = docs.join(few(drops, drops.count(), 500_000), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_of")), "left").drop("_id", "_of")
-    done = lined(joined, text_col, window, divisor)
-    changed = F.col("_drop").isNotNull()
+    # Texts without a removed line meet no match; they keep their bytes as they are.  The input's columns travel in a struct.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+    joined = whole.join(few(drops, drops.count(), 500_000), F.col("_i").eqNullSafe(F.col("_id")) & (F.xxhash64("_t") == F.col("_of")), "left").drop("_id", "_of", "_i")
+    done = lined(joined, "_t", window, divisor)
+    changed, there = F.col("_drop").isNotNull(), F.col("_t").isNotNull()
     chunk_of = F.flatten(F.transform("_spans", lambda z, k: F.array_repeat(k, z["to"] - z["at"] + 1)))
-    out = done.withColumns({"n_lines": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).cast("long"), "n_chunks": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_spans")), F.lit(0)).cast("long"), "n_removed_lines": F.coalesce(F.when(changed, F.size("_drop")), F.lit(0)).cast("long"), "_of": F.when(changed, chunk_of)})
-    out = out.withColumn("n_removed_chunks", F.coalesce(F.when(changed, F.size(F.array_distinct(F.transform("_drop", lambda i: F.get("_of", i))))), F.lit(0)).cast("long"))
+    count = lambda c, n: F.coalesce(F.when(c, n), F.lit(0)).cast("long")
+    out = done.withColumn("_of", F.when(changed, chunk_of)).withColumns({"n_lines": count(there, F.size("_lines")), "n_chunks": count(there, F.size("_spans")), "n_removed_lines": count(changed, F.size("_drop")), "n_removed_chunks": count(changed, F.size(F.array_distinct(F.transform("_drop", lambda i: F.get("_of", i)))))})
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    out = out.withColumn(text_col, F.when(changed, kept).otherwise(F.col(text_col)))
-    return out.select(*docs.columns, "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    text = F.when(changed, kept).otherwise(F.col("_t")).alias(text_col)
+    return out.select(*(text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED), *ADDED)
+
+
+#: Columns of the result; ones of these names in the input are replaced.
+ADDED = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, small_batches, stored
+from lectern.llm.common import documents, small_batches, stored, unused
 
 FEATURES = 1 << 15
 #: The bound of the labelled sample that trains the classifier.
@@ -100,7 +100,9 @@ def labelled(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     chosen = labelled(labels, id_col).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # At most ``train_rows`` identifiers, so the broadcast is bounded.
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).groupBy("_id", "_domain").agg(F.first(text_col).alias("_t"))
+    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).groupBy("_id", "_domain").agg(F.min("_text").alias("_t"))
+    ids = labels.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,7 +110,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
                 fv, _ = features(s)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array([f.astype(np.int32).tobytes() for f, _ in fv], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in fv], pa.binary())], names=["id", "domain", "f", "v"])
 
-    got = sample.select("_id", "_domain", "_t").mapInArrow(run, "id bigint, domain string, f binary, v binary").collect()
+    got = sample.select("_id", "_domain", "_t").mapInArrow(run, f"id {ids}, domain string, f binary, v binary").collect()
     rows = sorted(((r["id"], r["domain"], np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got), key=lambda r: r[0])
     return train([r[1:] for r in rows if len(r[2])])
 
@@ -125,7 +127,7 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array(n.astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["id", "text_hash", "n_tokens", "p"])
 
     ids = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.xxhash64(text_col).alias("_h"), text_col).mapInArrow(run, f"id {ids}, text_hash bigint, n_tokens bigint, p array<double>")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {ids}, text_hash bigint, n_tokens bigint, p array<double>")
 
 
 #: Documents whose likeliest domain is this one keep a rate of 1 at least.
@@ -202,6 +204,15 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tra
     return table.withColumn("rate", _rate(g, model.domains)), model
 
 
+def residuals(rates: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
+    """``domain, target, share, residual``: the share of tokens each domain has under fitted ``rates``, and what it misses."""
+    whole = sum(targets.get(d, 0.0) for d in domains) or 1.0
+    tokens = F.col("rate") * F.col("n_tokens")
+    sums = rates.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * F.col("p")[j]).alias(f"s{j}") for j in range(len(domains))))
+    rows = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(targets.get(d, 0.0) / whole).alias("target"), (F.col(f"s{j}") / F.col("all")).alias("share")) for j, d in enumerate(domains)))
+    return sums.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.share") - F.col("r.target")).alias("residual"))
+
+
 def _uniform(*key: str | Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 24)) / F.lit(float(1 << 24))
 
@@ -220,7 +231,7 @@ def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     _, model, g = _fit(docs, labels, targets, TRAIN_ROWS, STEPS, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model, g))
     at, width = docs.columns.index(text_col), len(docs.columns)
-    keyed = docs.withColumn("_u", _uniform(id_col, F.xxhash64(text_col)))
+    keyed = docs.withColumn(unused("_u", docs), _uniform(id_col, F.xxhash64(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, g = shared.value

@@ -105,6 +105,14 @@ def test_keep_one_per_component(spark):
     assert sorted((r["doc_id"] or -1) for r in jaccard.keep_one_per_component(_docs(spark, texts)).collect()) == [-1, 3, 9]
 
 
+def test_keep_one_tells_texts_apart(spark):
+    far, near = "p q r s t u v w x y", "a b c d e f g h i j k l m n o p q r s t"
+    rows = [(1, near, 1, "h"), (1, far, 1, "h"), (2, near + " u", 1, "h"), (3, far, 1, "h"), (3, far, 1, "h"), (None, far, 1, "h"), (4, None, 1, "h"), (4, None, 1, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash string")
+    left = sorted(((r["doc_id"] or 0), r["text"] or "") for r in jaccard.keep_one_per_component(docs).collect())
+    assert left == sorted([(1, near), (1, far), (0, far), (4, ""), (4, "")])
+
+
 def test_quality_counts(spark):
     texts = _corpus(2) + [(900, "a b c d e\na b c d e\n"), (901, "# $ | word " * 6)]
     for r in quality.quality_measures(_docs(spark, texts)).collect():
@@ -367,6 +375,42 @@ def test_line_dedup(spark):
     assert again.where("n_removed_chunks > 0 and doc_id < 20").count() == 0
 
 
+def _dedup(rows, min_lines=2):
+    """Texts less repeated runs, by plain loops over the spans (chunks and short runs) of ``rows(id, hash, text, chunks)``."""
+    spans = []
+    for i, h, text, chunks in rows:
+        if text is None:
+            continue
+        lines = text.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip(" \t\r")]
+        own = {(a, b) for a, b in chunks if b - a + 1 >= min_lines} | {(full[k], full[k + min_lines - 1]) for k in range(len(full) - min_lines + 1)}
+        spans += [((i is not None, i or 0), h, a, b, "\n".join(lines[a : b + 1])) for a, b in own]
+    first, gone = {}, collections.defaultdict(set)
+    for s in sorted(spans, key=lambda x: x[:4]):
+        f = first.setdefault(s[4], s[:4])
+        if s[:4] != f:
+            begin = max(s[2], f[3] + 1) if s[:2] == f[:2] else s[2]
+            gone[s[:2]] |= set(range(begin, s[3] + 1))
+    return [(i, None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[(i is not None, i or 0), h])) for i, h, text, _ in rows]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    texts = [(i, "\n".join(rng.choice(["a", "b", "c", "d", "", " ", "\r"]) for _ in range(rng.randint(0, 14)))) for i in range(40)]
+    passage = [f"line {k} of it" for k in range(9)]
+    texts += [(i, "\n".join([f"own {i}", *passage[rng.randint(0, 4) : rng.randint(5, 9)], f"end {i}"])) for i in range(50, 70)] + [(3, None), (7, ""), (None, "a\nb\nc"), (50, texts[4][1]), (60, "x\n" * 3000)]
+    docs = spark.createDataFrame([(i, t, 1, "d", [0]) for i, t in texts], "doc_id long, text string, n_lines int, _id string, _drop array<int>")
+    spans = linededup.lined(docs.select("doc_id", "text"), "text", 3, 4).select("doc_id", F.xxhash64("text").alias("h"), "text", "_spans").collect()
+    want = _dedup([(r["doc_id"], r["h"], r["text"], [(z["at"], z["to"]) for z in r["_spans"] or []]) for r in spans])
+    out = linededup.dedup_lines(docs)
+    assert sorted(out.columns) == sorted([*docs.columns, "n_chunks", "n_removed_chunks", "n_removed_lines"])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
 def test_line_dedup_takes_short_passages_whole(spark):
     passage = ["a passage of two lines", "that stands in many texts"]
     texts = [(i, "\n".join([f"own {i}", *passage[:1], *passage[1:], f"end {i}"])) for i in range(9)]
@@ -463,6 +507,20 @@ def test_mixing_meets_targets(spark):
     assert mixing.apply_rates(docs.limit(0), lab).count() == 0
 
 
+def test_mixing_takes_any_columns_and_tells_residuals(spark):
+    rng = random.Random(4)
+    texts = [(f"d{i}", " ".join(rng.choice([["good"], ["bad"], ["ugly"]][i % 3] + WORDS) for _ in range(40)), 1, 0.5) for i in range(90)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string, _id int, _u double")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0), int(i % 3 == 2)) for i in range(90)], "doc_id string, quality int, toxic int")
+    made = mixing.apply_rates(docs, labels)
+    assert made.columns == docs.columns and made.count() > 0
+    targets = {"high": 1.0}
+    table, model = mixing.fit_rates(docs, labels, targets)
+    got = {r["domain"]: r for r in mixing.residuals(table, model.domains, targets).collect()}
+    # Posteriors are soft, so no rates reach a target of all: the miss is told.
+    assert set(got) == {"high", "low", "toxic"} and abs(sum(r["residual"] for r in got.values())) < 1e-9 and got["high"]["residual"] < 0
+
+
 def test_mixing_keeps_clean_documents(spark):
     rng = random.Random(9)
     words = {"fine": (1, 0), "awful": (0, 0), "nasty": (1, 1)}
