@@ -14,11 +14,15 @@ WORD = r"[\p{L}\p{N}_]+(?:[\x27\x{2019}\-][\p{L}\p{N}_]+)*"
 SENTENCE_END = r"[!.?]+[ \n]+"
 _TABLES = ("documents", "pages", "conversations", "benchmark", "labels")
 
+#: The tables have no blank lines: here a line that ends in a full stop is followed by one, empty or of spaces.
+SPACED = "replace(text, concat('.', chr(10)), concat('.', chr(10), CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE '' END, chr(10)))"
+
 _SPARK = {
     "lines": "SELECT doc_id, CAST(i AS BIGINT) AS line_no, line FROM documents LATERAL VIEW posexplode(split(text, r'\\n', -1)) t AS i, line",
     "sentences": f"SELECT doc_id, CAST(i AS BIGINT) AS sent_ix, sentence FROM documents LATERAL VIEW posexplode(split(text, r'{SENTENCE_END}', -1)) t AS i, sentence",
     "words": f"SELECT doc_id, sent_ix, CAST(i AS BIGINT) AS word_ix, word FROM sentences LATERAL VIEW posexplode(regexp_extract_all(sentence, r'{WORD}', 0)) t AS i, word",
-    "paragraphs": "SELECT doc_id, CAST(i AS BIGINT) AS para_ix, para FROM documents LATERAL VIEW posexplode(split(text, r'\\n', -1)) t AS i, para",
+    "paragraphs": "SELECT doc_id, CAST(i AS BIGINT) AS para_ix, para FROM spaced LATERAL VIEW posexplode(split(text, r'\\n[ \\t]*\\n', -1)) t AS i, para",
+    "spaced": f"SELECT doc_id, {SPACED} AS text FROM documents",
     "chars": "SELECT doc_id, c AS ch FROM documents LATERAL VIEW explode(split(text, '')) t AS c WHERE c <> ''",
     "links": "SELECT page_id, url, link FROM pages LATERAL VIEW explode(regexp_extract_all(html, r'href=\"([^\"]*)\"', 1)) t AS link",
     "titles": "SELECT page_id, url, title FROM pages LATERAL VIEW explode(regexp_extract_all(html, r'<h1>([^<]*)</h1>', 1)) t AS title",
@@ -28,13 +32,14 @@ _DUCK = {
     "lines": "SELECT doc_id, unnest(range(len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)",
     "sentences": f"SELECT doc_id, unnest(range(len(x))) AS sent_ix, unnest(x) AS sentence FROM (SELECT doc_id, string_split_regex(text, '{SENTENCE_END}') AS x FROM documents)",
     "words": f"SELECT doc_id, sent_ix, unnest(range(len(x))) AS word_ix, unnest(x) AS word FROM (SELECT doc_id, sent_ix, regexp_extract_all(sentence, '{WORD}') AS x FROM sentences)",
-    "paragraphs": "SELECT doc_id, unnest(range(len(x))) AS para_ix, unnest(x) AS para FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)",
+    "paragraphs": "SELECT doc_id, unnest(range(len(x))) AS para_ix, unnest(x) AS para FROM (SELECT doc_id, string_split_regex(text, '\\n[ \\t]*\\n') AS x FROM spaced)",
+    "spaced": f"SELECT doc_id, {SPACED} AS text FROM documents",
     "chars": "SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''",
     "links": "SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages",
     "titles": "SELECT page_id, url, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS title FROM pages",
     "bench_words": f"SELECT item_id, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM benchmark",
 }
-_NEEDS = {"words": ("sentences",)}
+_NEEDS = {"words": ("sentences",), "paragraphs": ("spaced",)}
 
 
 def _with(body: str, relations: dict[str, str]) -> str:

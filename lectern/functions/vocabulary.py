@@ -13,5 +13,16 @@ POS = {
     "preposition": ("of", "in", "to", "for", "with", "on", "at", "by", "from"),
     "auxiliary": ("is", "are", "was", "were", "be", "have", "has", "had", "will", "would", "can", "should"),
 }
-AN_BEFORE_CONSONANT = ("hour", "honest", "honour", "heir")
-A_BEFORE_VOWEL = ("uni", "use", "eu", "one", "ewe")
+AN_BEFORE_CONSONANT = ("hour", "honest", "honor", "honour", "heir")
+A_BEFORE_VOWEL = ("uni", "use", "usu", "util", "eu", "one", "once", "ewe", "uk")
+#: Longer beginnings that go before those.
+AN_LONGER = ("unin", "unim", "unidentif", "oneir")
+#: Letters whose names begin with a vowel.
+LETTERS_AN = "AEFHILMNORSX"
+#: Words in -ed and -en that are no participles.
+NO_PARTICIPLES = ("often", "even", "seven", "eleven", "ten", "then", "when", "open", "men", "women", "children", "garden", "need", "indeed", "speed", "feed", "seed", "red", "bed", "hundred")
+IRREGULAR = (
+    "begun", "bent", "bound", "bought", "brought", "built", "burnt", "caught", "cut", "dealt", "done", "drawn", "dug", "felt", "fed", "fought", "found", "flown", "frozen", "given", "gone", "grown", "had", "heard", "held", "hit", "hung", "hurt",
+    "kept", "known", "laid", "led", "left", "lent", "let", "lit", "lost", "made", "meant", "met", "paid", "put", "quit", "read", "run", "said", "sent", "seen", "set", "shot", "shown", "shut", "sold", "sought", "spent", "split", "spread",
+    "stood", "struck", "stuck", "sung", "swept", "sworn", "taught", "thought", "thrown", "told", "torn", "understood", "won", "worn", "wound", "written",
+)

@@ -47,7 +47,7 @@ LOOKAROUND = {
 
 def lookaround_rules(docs: DataFrame, rules: dict[str, dict[str, str]] = LOOKAROUND) -> DataFrame:
     """``doc_id, tool, rule, n``: how often each rule matches a text, for those that do; all rules in one pass."""
-    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), 0))
+    count = lambda p: F.regexp_count("text", F.lit(p))
     each = F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(k).alias("rule"), count(p).alias("n")) for t, own in rules.items() for k, p in own.items()))
     return docs.where("text is not null").select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("_r")).select("doc_id", "_r.*")
 
@@ -181,6 +181,9 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.distinct()
 
 
+#: Texts with brackets of few and of many words, by document.
+BRACKETED = "concat(text, CASE doc_id % 3 WHEN 0 THEN ' (one two three four five) and (one two)' WHEN 1 THEN ' (a (b c d e f g) h)' ELSE '' END)"
+
 QUERIES = {
     "lookaround_rules": lambda spark, sf: lookaround_rules(_docs(spark, sf)),
     "line_style": lambda spark, sf: line_style(_docs(spark, sf)),
@@ -188,11 +191,12 @@ QUERIES = {
     "abbreviation": lambda spark, sf: abbreviations(_docs(spark, sf)),
     "collocation": lambda spark, sf: collocations(_lexicon(spark, sf)),
     "clauses": lambda spark, sf: clauses(_docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n")),
-    "parentheses": lambda spark, sf: parentheses(_docs(spark, sf)),
+    "parentheses": lambda spark, sf: parentheses(table(spark, sf, "documents").select("doc_id", F.expr(BRACKETED).alias("text"))),
     "numbers": lambda spark, sf: numbers(_docs(spark, sf)),
     "overuse": lambda spark, sf: overuse(_docs(spark, sf)),
 }
 ORACLES = {
+    "parentheses": r"WITH p AS (SELECT doc_id, regexp_extract_all(" + BRACKETED + r", '\\(([^()]*)\\)', 1) AS m FROM documents), e AS (SELECT doc_id, CAST(unnest(range(len(m))) AS INTEGER) AS ix, unnest(m) AS inner_text FROM p) SELECT doc_id, ix, inner_text AS inner FROM e WHERE length(inner_text) - length(replace(inner_text, ' ', '')) > 3".replace("\\\\", "\\"),
     "line_style": r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
 r AS (SELECT doc_id, unnest(range(len(x))) AS line_no, len(x) AS n, unnest(x) AS line FROM l),

@@ -54,11 +54,51 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.unused_images(nodes(pages(spark, sf_dir)), listed)
 
 
+#: What every third page holds besides: for each tool a snippet and what it must tell, as (severity, message).
+_SNIPPETS = {
+    "flavor": ("One.~~====~~Two.~~* a~* b~~", [("W", "wrong char in horizontal line"), ("W", "wrong char in bullet list"), ("W", "wrong char in bullet list")]),
+    "indention": (".. note::~~  In by two.~~.. tip::~~   In by three.~~", [("E", "wrong indent: +1")]),
+    "style_extra": ("See `Out <https://x.org>`_ or :menuselection:`A -> B`.~~.. _pic:~~.. figure:: /a.png~~   Words.~~", [("W", "missing underscore after external link"), ("W", "arrow length"), ("W", "missing ^fig-^ prefix at start of figure ref.")]),
+    "admonition_title": (".. admonition:: Some lower words~~   Body.~~.. admonition:: Only Upper Words~~   Body.~~", [("W", "lower case in title")]),
+    "ui": ("Use :menuselection:`File --> open recent`.~~:a field: words~~", [("W", "menu item: open"), ("W", "menu item: recent"), ("W", "field: a"), ("W", "field: field")]),
+    "link_titles": (".. _there:~~Some Heading~^^^^^^^^^^^^~~See :ref:`Quite another <there>` and :ref:`Some Heading <there>`.~~", [("W", "title mismatch: Some Heading")]),
+    "glossary": (".. glossary::~~   Lonely~      Words.~~   Inner~      See :term:`Inner`.~~   Used~      Words.~~And :term:`Used`.~~", [("I", "unused term"), ("I", "term used only within glossary")]),
+    "tool_title": ("Mix Colors~**********~~.. reference::~~   :Menu: :menuselection:`Image --> Quite Other`~~", [("W", "title mismatch: Quite Other")]),
+    "blank_lines": ("One.~~~~Two.~~", [("W", "1 blank lines over text: -2")]),
+    "heading_caps": ("Words of a Title~================~~One.~~lower Title~===========~~", [("W", "wrong case: lower")]),
+}
+
+
+def _snippet(tool: str) -> str:
+    return f"CASE WHEN doc_id % 3 = 0 THEN replace('{_SNIPPETS[tool][0]}Words.~', '~', chr(10)) ELSE concat('Words.', chr(10)) END"
+
+
+def _of_snippet(tool: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = table(spark, sf_dir, "documents").select("doc_id", F.expr(_snippet(tool)).alias("text"))
+    tree = nodes(page)
+    rule = markup.TOOLS.get(tool) or markup.CORPUS_TOOLS[tool]
+    return rule(stored(tree, "nodes") if rule in _TWICE else tree).select("doc_id", "severity", "message")
+
+
+def _snippet_oracle(tool: str) -> str:
+    # A caret stands for an apostrophe in a message.
+    told = ", ".join(f"('{s}', '{m.replace('^', chr(39) * 2)}')" for s, m in _SNIPPETS[tool][1])
+    return f"SELECT doc_id, severity, message FROM documents, (VALUES {told}) t(severity, message) WHERE doc_id % 3 = 0"
+
+
+_SUBST = "concat('.. |sub| replace:: one |two|', chr(10), '.. |two| replace:: ', CAST(doc_id AS STRING), chr(10), '.. |odd| replace:: |odd|', chr(10), chr(10), 'Here |sub| and |odd| and |none|.', chr(10))"
+
+
+def _substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SUBST).alias("text"))
+    return markup.substitutions(stored(nodes(page), "nodes")).where("name is not null").select("doc_id", "name", "text", "cyclic")
+
+
 QUERIES = {f"markup_{k}": partial(_run, tool=f) for k, f in (markup.TOOLS | markup.CORPUS_TOOLS).items()} | {
     "markup_nodes": _counted,
     "markup_prose": partial(_run, tool=markup.prose),
     "markup_resolve_titles": lambda spark, sf: _run(spark, sf, markup.resolve_titles).where("kind = 'role' and name = 'ref'").select("doc_id", F.col("id").alias("label"), F.col("head").alias("title")),
-    "markup_substitutions": partial(_run, tool=markup.substitutions),
+    "markup_substitutions": _substituted,
     "markup_unused_images": _images,
     "markup_wrong_underline": partial(_of_head, markup.heading_line_length, "start < 60"),
     "markup_wrong_kbd": partial(_of_head, markup.kbd, "true"),
@@ -66,7 +106,7 @@ QUERIES = {f"markup_{k}": partial(_run, tool=f) for k, f in (markup.TOOLS | mark
     "markup_unknown_role": partial(_of_head, markup.markup_names, "message = 'unknown role'"),
     "markup_wrong_level": partial(_of_head, markup.heading_level, "message like 'wrong level%'"),
     "markup_no_caption": partial(_of_head, markup.structure, "message = 'figure without a caption'"),
-}
+} | {f"markup_{k}": partial(_of_snippet, k) for k in _SNIPPETS}
 
 ORACLES = {
     "markup_unused_targets": "SELECT doc_id, CAST(0 AS INTEGER) AS start, 'unused-targets' AS tool, 'W' AS severity, concat('page-', doc_id) AS output, 'unused target' AS message FROM documents WHERE doc_id NOT IN (SELECT doc_id - doc_id % 3 FROM documents)",
@@ -79,4 +119,8 @@ ORACLES = {
     "markup_unknown_role": "SELECT doc_id, 'E' AS severity, 'unknown role' AS message FROM documents WHERE doc_id % 7 = 0",
     "markup_wrong_level": "SELECT doc_id, 'W' AS severity, 'wrong level: * > ^ with =' AS message FROM documents WHERE doc_id % 8 = 0",
     "markup_no_caption": "SELECT doc_id, 'I' AS severity, 'figure without a caption' AS message FROM documents WHERE doc_id % 9 = 0",
-}
+    "markup_kbd": "SELECT doc_id, CAST(strpos(t, ':kbd:') - 1 AS INTEGER) AS start, 'kbd' AS tool, 'W' AS severity, 'Ctrl-Shift-A' AS output, 'invalid keyboard shortcut: Ctrl-Shift-A' AS message FROM (SELECT doc_id, " + PAGE + " AS t FROM documents) q WHERE doc_id % 4 = 0",
+    "markup_abbr_caps": "SELECT doc_id, CAST(strpos(t, ':abbr:') - 1 AS INTEGER) AS start, 'abbr-caps' AS tool, 'W' AS severity, 'CPU (Central processing Unit)' AS output, 'uppercase mismatch: CPU - CU' AS message FROM (SELECT doc_id, " + PAGE + " AS t FROM documents) q WHERE doc_id % 6 = 0",
+    "markup_markup_names": "SELECT doc_id, CAST(strpos(t, ':foo:') - 1 AS INTEGER) AS start, 'markup-names' AS tool, 'E' AS severity, 'foo' AS output, 'unknown role' AS message FROM (SELECT doc_id, " + PAGE + " AS t FROM documents) q WHERE doc_id % 7 = 0",
+    "markup_substitutions": "SELECT doc_id, name, CASE name WHEN 'sub' THEN 'one ' || doc_id WHEN 'two' THEN CAST(doc_id AS VARCHAR) END AS text, name = 'odd' AS cyclic FROM documents, (VALUES ('sub'), ('two'), ('odd'), ('odd'), ('none')) t(name)",
+} | {f"markup_{k}": _snippet_oracle(k) for k in _SNIPPETS}

@@ -52,9 +52,9 @@ def event_windows(spark: SparkSession, sf_dir: str, length: str = "1 hour", late
 
 
 def monitor(spark: SparkSession, sf_dir: str, watched: tuple[str, ...] = ("http://", "https://docs"), out: str | None = None) -> DataFrame:
-    """Addresses below a watched prefix, once each however often they come."""
+    """Addresses below a watched prefix, once each however often they come; the stream forgets an address 30 days after it saw it."""
     out = out or scratch(spark, "monitor")
-    seen = stream(spark, sf_dir, "pages").where(F.coalesce(F.greatest(*(F.col("url").startswith(w) for w in watched)), F.lit(False))).select("url").dropDuplicates(["url"])
+    seen = stream(spark, sf_dir, "pages").where(F.coalesce(F.greatest(*(F.col("url").startswith(w) for w in watched)), F.lit(False))).select("url", F.current_timestamp().alias("seen")).withWatermark("seen", "30 days").dropDuplicatesWithinWatermark(["url"]).select("url")
     drain(seen, lambda b: b, out)
     return spark.read.schema("url string").parquet(f"{out}/parts").select("url", F.lit("I").alias("severity")).distinct()
 
