@@ -38,8 +38,8 @@ from lectern.llm.common import documents, scratch, small_batches, stored
 
 #: Bytes of benchmark text in one block of windows.
 BLOCK_BYTES = 4 << 20
-#: Segments in one Arrow batch.
-SEGMENTS = 24
+#: Segments in one Arrow batch: a worker holds that many at a time.
+SEGMENTS = 4
 #: Candidate positions that are intersected at once.
 CANDIDATES = 2_000_000
 

@@ -3,12 +3,12 @@
 A multinomial logistic classifier over hashed words is trained on labelled rows (a bounded sample: ``train_rows``
 rows in hash order) and predicts, for every document, posteriors over the domains of the label table.  With
 ``a[d, k] = tokens(d) * posterior(d, k)``, rates ``r`` are fitted so that the expected tokens per domain
-``sum_d r[d] a[d, k]`` match the targets, with the least relative change of rates, ``sum_d tokens(d) (r[d] - 1)^2``.
-A rate is at least 0, and at least 1 for a document whose likeliest domain is ``high``: clean documents are repeated,
-never left out.  The best rates have the form ``max(least, 1 - posterior . g)`` with one vector ``g`` of as many numbers
-as there are domains, so a document's length does not decide its rate; ``g`` is found by projected Newton steps on the
-driver, each one distributed aggregation that rebuilds the rates from ``g``.  If clean documents alone exceed a target's
-share, the total of tokens becomes free too and the shares are met with more tokens.
+``sum_d r[d] a[d, k]`` match the targets (shares of all tokens) in least squares, with the least relative change of rates,
+``sum_d tokens(d) (r[d] - 1)^2``, as the tie-break.  A rate is at least 0, and at least 1 for a document whose likeliest
+domain is ``high``: clean documents are repeated, never left out.  The best rates have the form ``max(least, 1 - posterior . g)``
+with one vector ``g`` of as many numbers as there are domains, so a document's length does not decide its rate; ``g`` is
+found by scaled projected gradient steps on the driver, each one distributed aggregation that rebuilds the rates from
+``g``.  Targets out of reach are met as nearly as the bounds let them; ``residuals`` tells what is missed.
 
 Defined cases: null labels are ignored, of several labels of a document the largest counts; a null or empty
 text has 0 tokens, equal posteriors and rate 1; without usable labels there is one domain and all rates are 1;
@@ -150,34 +150,42 @@ def _least(domains: list[str]) -> Column:
     return F.when(F.col("p")[domains.index(CLEAN)] >= F.array_max("p"), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def _newton(table: DataFrame, domains: list[str], want: np.ndarray, total: int, steps: int, free: bool) -> tuple[np.ndarray, bool]:
-    """The vector whose rates meet the shares ``want`` of ``total`` tokens, or of any number of them if ``free``; and whether it does."""
+#: Weight of the rates' change beside the squared misses: small, so that targets within reach are met, and all others have one best fit.
+RIDGE = 1e-4
+
+
+def _fit_vector(table: DataFrame, domains: list[str], want: np.ndarray, total: int, steps: int) -> np.ndarray:
+    """The vector of the rates with the least squared misses of ``want`` (shares of ``total`` tokens) plus ``RIDGE`` times the squared change.
+
+    That optimum has the form ``rate = max(least, 1 - p . g)`` with ``RIDGE * g`` the misses, so ``g`` solves a concave
+    problem in as many numbers as there are domains; projected gradient steps on it are scaled by the rows that are not at
+    their bound and halved until they gain.
+    """
     k = len(domains)
     p = [F.col("p")[j] for j in range(k)]
     w = F.col("n_tokens") / F.lit(float(total))
-    g, size, best, pace, base = np.zeros(k), 1.0, np.inf, 1.0, None
+
+    def at(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, gradient and the Gram matrix of the rows that can move: one aggregation."""
+        moves, r = _free(g, p) > _least(domains), _rate(g, domains)
+        sums = [F.sum(r * w * x) for x in p] + [F.sum((r - 1) * (r - 1) * w)] + [F.sum(F.when(moves, w * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
+        got = np.array(table.agg(*sums).first(), dtype=float)
+        miss = got[:k] - want
+        return got[k] / 2 + g @ miss - RIDGE * (g @ g) / 2, miss - RIDGE * g, got[k + 1 :].reshape(k, k)
+
+    g, pace = np.zeros(k), 1.0
+    value, slope, gram = at(g)
     for _ in range(steps):
-        # The Gram matrix of the rows that a step can move.
-        moves = _free(g, p) >= _least(domains)
-        gram_sums = [F.sum(F.when(moves, w * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
-        got = np.array(table.agg(*(F.sum(_rate(g, domains) * w * x) for x in p), *gram_sums).first(), dtype=float)
-        miss = got[:k] - want * size
-        if np.abs(miss).max() <= 1e-4 * size:
-            return g, True
-        off = float(np.linalg.norm(miss)) / size
-        if off < best * (1 - 1e-9):
-            gram = got[k:].reshape(k, k)
-            best, base, pace = off, (g, size, gram + 1e-6 * np.trace(gram) * np.eye(k), miss), min(1.0, 4 * pace)
-        else:
-            pace /= 4
-        at, was, gram, miss = base
-        if free:
-            edge = np.block([[gram, want[:, None]], [want[None, :], np.zeros((1, 1))]])
-            x = np.linalg.pinv(edge) @ np.r_[miss, -(want @ at)]
-            g, size = at + pace * x[:k], max(0.05, was + pace * x[k])
+        if np.abs(slope).max() <= 1e-5:
+            break
+        step = np.linalg.solve(gram + RIDGE * np.eye(k), slope)
+        new = g + pace * step
+        found = at(new)
+        if found[0] > value:
+            g, (value, slope, gram), pace = new, found, min(1.0, 2 * pace)
         else:
-            g = at + pace * (np.linalg.pinv(gram) @ miss)
-    return base[0] if base else np.zeros(k), False
+            pace /= 2
+    return g
 
 
 def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int, steps: int, id_col: str, text_col: str) -> tuple[DataFrame, Classifier, np.ndarray]:
@@ -190,12 +198,7 @@ def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_ro
     want = np.array([targets.get(d, 0.0) for d in model.domains])
     if k == 1 or not total or not want.sum():
         return table, model, np.zeros(k)
-    want = want / want.sum()
-    g, met = _newton(table, model.domains, want, total, steps, False)
-    if not met:
-        other, met = _newton(table, model.domains, want, total, steps, True)
-        g = other if met else g
-    return table, model, g
+    return table, model, _fit_vector(table, model.domains, want / want.sum(), total, steps)
 
 
 def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], train_rows: int = TRAIN_ROWS, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier]:
