@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, scratch, small_batches, stored
+from lectern.llm.common import documents, lean, scratch, small_batches, stored
 
 #: Bytes of benchmark text in one block of windows.
 BLOCK_BYTES = 4 << 20
@@ -105,7 +105,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cols = [pa.array([own], pa.list_(kind)), *(pa.array([x], pa.binary()) for x in (_pack(g.n_words), g.terms.tobytes(), _pack(np.diff(g.cuts)), _pack(np.diff(g.at, prepend=0)), rows))]
                 yield pa.RecordBatch.from_arrays(cols, names=["ids", "n_words", "terms", "sizes", "postings", "rows"])
 
-    return stored(docs.select(*names).mapInArrow(run, f"ids array<{ids}>, n_words binary, terms binary, sizes binary, postings binary, rows binary"), "index")
+    return stored(docs.select(*names).mapInArrow(lean(run), f"ids array<{ids}>, n_words binary, terms binary, sizes binary, postings binary, rows binary"), "index")
 
 
 def _segments(b: pa.RecordBatch) -> list[Segment]:
@@ -212,7 +212,7 @@ def window_blocks(index: DataFrame, benchmark: DataFrame, width: int, item_col:
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int64()), pa.array(c[some], pa.int64())], names=["block", "term", "n"])
 
-    counts = stored(index.select("n_words", "terms", "sizes", "postings").mapInArrow(count, "block int, term bigint, n bigint").groupBy("block", "term").agg(F.sum("n").alias("n")), "term-counts") if paths else None
+    counts = stored(index.select("n_words", "terms", "sizes", "postings").mapInArrow(lean(count), "block int, term bigint, n bigint").groupBy("block", "term").agg(F.sum("n").alias("n")), "term-counts") if paths else None
     for k, p in enumerate(paths):
         w = _read(p)
         # As many rows as the block has terms.
@@ -318,7 +318,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
                 cols = [b.column(0)[row].values, pa.array(g.n_words), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in f.items], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()), pa.array(n_hit > 0), pa.array(f.near), pa.array(spans, span_type)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = index.select("ids", "n_words", "terms", "sizes", "postings").mapInArrow(run, f"{id_col} {ids}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, hit_spans array<struct<a:bigint,b:bigint>>")
+    out = index.select("ids", "n_words", "terms", "sizes", "postings").mapInArrow(lean(run), f"{id_col} {ids}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, hit_spans array<struct<a:bigint,b:bigint>>")
     return out if slop else out.drop("n_near")
 
 
@@ -336,7 +336,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, te
                 part = pa.ipc.open_stream(held[row].as_buffer()).read_next_batch()
                 yield part.filter(pa.array([not x for x in f.items], pa.bool_()))
 
-    return index.select("n_words", "terms", "sizes", "postings", "rows").mapInArrow(run, docs.schema)
+    return index.select("n_words", "terms", "sizes", "postings", "rows").mapInArrow(lean(run), docs.schema)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

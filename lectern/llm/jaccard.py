@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, few, small_batches, stored, unused
+from lectern.llm.common import documents, few, lean, small_batches, stored, unused
 from lectern.llm.components import components
 
 WIDTH = 5
@@ -83,7 +83,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -
                 sets = shingle_sets(s, width)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) if len(x) else None for x in sets], pa.binary())], names=["id", "hash", "n", "digest"])
 
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, hash bigint, n bigint, digest binary")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}, hash bigint, n bigint, digest binary")
 
 
 _BLOB = "bucket int, tokens binary, owner binary, digests binary, sizes binary, extra binary"
@@ -169,7 +169,7 @@ def _send_sets(docs: DataFrame, id_col: str, text_col: str, width: int, buckets:
         if held:
             yield flush()
 
-    return docs.select(text_col).mapInArrow(run, _BLOB)
+    return docs.select(text_col).mapInArrow(lean(run), _BLOB)
 
 
 def _shared(blobs: DataFrame, digest_buckets: int) -> DataFrame:
@@ -373,7 +373,7 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32()), "hits": pa.array(hits, pa.int64()), "least": pa.array(least, pa.int64())})
 
     blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<bigint>, low array<bigint>, high array<bigint>"
-    dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high").mapInArrow(deal, blob)
+    dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high").mapInArrow(lean(deal), blob)
     part = dealt.groupBy("bucket").applyInArrow(bound, _QUERY)
     return part.groupBy("digest", "label", "sub").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("digest", "label", "sub")
 

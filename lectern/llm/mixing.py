@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, small_batches, stored, unused
+from lectern.llm.common import documents, lean, small_batches, stored, unused
 
 FEATURES = 1 << 15
 #: The bound of the labelled sample that trains the classifier.
@@ -110,7 +110,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
                 fv, _ = features(s)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array([f.astype(np.int32).tobytes() for f, _ in fv], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in fv], pa.binary())], names=["id", "domain", "f", "v"])
 
-    got = sample.select("_id", "_domain", "_t").mapInArrow(run, f"id {ids}, domain string, f binary, v binary").collect()
+    got = sample.select("_id", "_domain", "_t").mapInArrow(lean(run), f"id {ids}, domain string, f binary, v binary").collect()
     rows = sorted(((r["id"], r["domain"], np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got), key=lambda r: r[0])
     return train([r[1:] for r in rows if len(r[2])])
 
@@ -127,7 +127,7 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), b.column(1).slice(s.first, s.n), pa.array(n.astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["id", "text_hash", "n_tokens", "p"])
 
     ids = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {ids}, text_hash bigint, n_tokens bigint, p array<double>")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(lean(run), f"id {ids}, text_hash bigint, n_tokens bigint, p array<double>")
 
 
 #: Documents whose likeliest domain is this one keep a rate of 1 at least.
@@ -247,7 +247,7 @@ def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
                 times = np.floor(r + np.asarray(b.column(width).slice(s.first, s.n))).astype(np.int64)
                 yield b.slice(s.first, s.n).select(range(width)).take(pa.array(np.repeat(np.arange(s.n), times)))
 
-    return keyed.mapInArrow(run, docs.schema)
+    return keyed.mapInArrow(lean(run), docs.schema)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, small_batches
+from lectern.llm.common import documents, lean, small_batches
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -114,7 +114,7 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 cols = [b.column(0).slice(s.first, s.n), *(pa.array(m[c].astype(np.int64)) for c in COUNTS), pa.array(m["base_failed"]), pa.array(m["kept"]), pa.array(m["zstd_ratio"], from_pandas=True), pa.array(m["odd_chunk_share"])]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, *COUNTS, "base_failed", "kept", "zstd_ratio", "odd_chunk_share"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
@@ -128,7 +128,7 @@ def filter_quality(docs: DataFrame, text_col: str = "text", bands: Bands = Bands
             for s in bs.slices(b.column(at)):
                 yield b.slice(s.first, s.n).filter(pa.array(_measure(s, bands, packer)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
