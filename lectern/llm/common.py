@@ -28,11 +28,15 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lectern-{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: For tables of few, large, compressed values: pages end by size at any row, and no codec holds a page's copies outside the heap.
+LARGE_VALUES = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, what: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, what)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

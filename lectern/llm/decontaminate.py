@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytescan as bs
-from lectern.llm.common import documents, lean, scratch, small_batches, stored
+from lectern.llm.common import LARGE_VALUES, documents, lean, scratch, small_batches, stored
 
 #: Bytes of benchmark text in one block of windows.
 BLOCK_BYTES = 4 << 20
@@ -105,7 +105,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cols = [pa.array([own], pa.list_(kind)), *(pa.array([x], pa.binary()) for x in (_pack(g.n_words), g.terms.tobytes(), _pack(np.diff(g.cuts)), _pack(np.diff(g.at, prepend=0)), rows))]
                 yield pa.RecordBatch.from_arrays(cols, names=["ids", "n_words", "terms", "sizes", "postings", "rows"])
 
-    return stored(docs.select(*names).mapInArrow(lean(run), f"ids array<{ids}>, n_words binary, terms binary, sizes binary, postings binary, rows binary"), "index")
+    return stored(docs.select(*names).mapInArrow(lean(run), f"ids array<{ids}>, n_words binary, terms binary, sizes binary, postings binary, rows binary"), "index", LARGE_VALUES)
 
 
 def _segments(b: pa.RecordBatch) -> list[Segment]:

@@ -40,7 +40,8 @@ from lectern.llm.components import components
 WIDTH = 5
 #: A link has 100 * intersection >= 80 * union, so each side has at most a fifth outside the intersection.
 NUM, DEN = 4, 5
-FLUSH = 2_000_000
+#: Shingles that a task gathers before it sends them on to their buckets.
+FLUSH = 500_000
 BUCKET = 600_000
 #: Entries of the matrix in one bucket: with fewer buckets a pair's share in one of them prunes more.
 MATRIX_BUCKET = 2_000_000
