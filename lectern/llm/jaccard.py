@@ -288,10 +288,11 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
     """The classes and groups of a larger component whose common prefix shingles reach the least a link needs.
 
     The shingles are dealt to buckets; the hits of a pair in each bucket are summed over all of them, so the bound is the
-    same whatever their number.
+    same whatever their number.  A pair is sent on from a bucket only if its hits there and the class's shingles in all
+    other buckets could reach the bound.
     """
     scale = min((1 << 64) - 1, -(-(1 << 64) // buckets))
-    fields = [("digests", 0, pa.binary()), ("labels", 1, pa.binary()), ("csize", 2, pa.int64()), ("sub", 3, pa.int32()), ("n", 5, pa.int64()), ("low", 6, pa.int64()), ("high", 7, pa.int64())]
+    fields = [("digests", 0, pa.binary()), ("labels", 1, pa.binary()), ("csize", 2, pa.int64()), ("sub", 3, pa.int32()), ("n", 5, pa.int64()), ("low", 6, pa.int64()), ("high", 7, pa.int64()), ("total", 8, pa.int64())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,14 +312,16 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
 
     def bound(t: pa.Table) -> pa.Table:
         tokens, owner = [], []
-        digests, labels, csize, sub, size, low, high = ([] for _ in fields)
+        digests, labels, csize, sub, size, low, high, total = ([] for _ in fields)
         for tok, own, *more in zip(*(t.column(x).to_pylist() for x in ("tokens", "owner", *(x for x, _, _ in fields))), strict=True):
             tokens.append(np.frombuffer(tok, np.uint64))
             owner.append(np.frombuffer(own, np.int32).astype(np.int64) + len(digests))
-            for held_, new in zip((digests, labels, csize, sub, size, low, high), more, strict=True):
+            for held_, new in zip((digests, labels, csize, sub, size, low, high, total), more, strict=True):
                 held_ += new
         size, low, high = np.array(size), np.array(low), np.array(high)
         tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+        # A class's shingles in other buckets: as many hits at most can come from there.
+        elsewhere = np.array(total) - np.bincount(owner, minlength=len(digests))
         # Components by size and label: a class asks only groups of later ones.
         names = sorted(set(zip(csize, labels, strict=True)))
         place = {x: i for i, x in enumerate(names)}
@@ -367,14 +370,14 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
             k, inv = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
             hits = np.bincount(inv, weights=np.concatenate([y for _, y in sums])).astype(np.int64)
         least = least_hits(size[k // n], glow[k % n], ghigh[k % n]) if len(k) else k
-        # Sizes that no link can have are left out here.
-        fit = least < np.iinfo(np.int64).max
+        # Left out here: sizes that no link can have, and pairs whose hits fall short even with all shingles elsewhere.
+        fit = hits + elsewhere[k // n] >= least
         k, hits, least = k[fit], hits[fit], least[fit]
         who, to = (k // n).tolist(), (k % n).tolist()
         return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32()), "hits": pa.array(hits, pa.int64()), "least": pa.array(least, pa.int64())})
 
-    blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<bigint>, low array<bigint>, high array<bigint>"
-    dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high").mapInArrow(lean(deal), blob)
+    blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<bigint>, low array<bigint>, high array<bigint>, total array<bigint>"
+    dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high", F.size("prefix").cast("bigint").alias("total")).mapInArrow(lean(deal), blob)
     part = dealt.groupBy("bucket").applyInArrow(bound, _QUERY)
     return part.groupBy("digest", "label", "sub").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("digest", "label", "sub")
 

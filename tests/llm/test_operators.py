@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -598,3 +599,30 @@ def test_chat_long_conversation(spark):
         results = calls.selectExpr("conv_id", "call_id", "pos", "'r' as content")
         got = chat.link_tool_calls(calls, results, {"f": {}})
         assert got.where(("topo = pos" if "null" in deps else "topo = 3499 - pos") + " and linked").count() == 3500
+
+
+def test_matrix_bounds_are_the_same_for_any_number_of_buckets(spark):
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        comp = i % 12
+        pool = list(range(40)) if comp < 8 else list(range(30, 80))
+        prefix = sorted(rng.sample(pool, rng.randint(3, 14)))
+        rows.append((b"d%02d" % i, b"c%02d" % comp, 5, comp % 2, [(x * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for x in prefix], rng.randint(20, 30)))
+    low, high = {}, {}
+    for _, c, _, s, _, n in rows:
+        low[c, s], high[c, s] = min(n, low.get((c, s), n)), max(n, high.get((c, s), n))
+    table = spark.createDataFrame([(*r, low[r[1], r[3]], high[r[1], r[3]]) for r in rows], "digest binary, label binary, csize bigint, sub int, prefix array<bigint>, n bigint, low bigint, high bigint")
+    want = set()
+    for d, c, _, _, p, n in rows:
+        for g in low:
+            if g[0] > c:
+                held = {x for r in rows if (r[1], r[3]) == g for x in r[4]}
+                hits = len(held & set(p))
+                if hits and hits >= int(jaccard.least_hits(np.array([n]), np.array([low[g]]), np.array([high[g]]))[0]):
+                    want.add((d, *g))
+    assert 0 < len(want) < 60 * 11
+    for buckets in (1, 2, 9):
+        got = {(bytes(r[0]), bytes(r[1]), r[2]) for r in jaccard._matrix_bounds(table, buckets).collect()}
+        assert got == want
