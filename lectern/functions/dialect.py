@@ -84,7 +84,7 @@ def spark_frame(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     used = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
     # Table names become references to the frames given along.
     for t in used:
-        text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     text = re.sub(r"\{(?!(" + "|".join(_TABLES) + r")\})", "{{", text)
     text = re.sub(r"(?<!\{documents)(?<!\{pages)(?<!\{conversations)(?<!\{benchmark)(?<!\{labels)\}", "}}", text)
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

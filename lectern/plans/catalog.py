@@ -6,9 +6,9 @@ from functools import partial
 
 from lectern.functions.dialect import duck_sql, spark_frame
 from lectern.operators import language, repeated, sequential
-from lectern.plans import markup, rules
+from lectern.plans import markup, rules, spans
 from lectern.plans.portable import BODIES
 from lectern.streaming import corpus
 
-QUERIES: dict = {"repeated_words": repeated.query} | {k: partial(lambda spark, sf_dir, body: spark_frame(spark, sf_dir, body), body=b) for k, b in BODIES.items()} | sequential.QUERIES | markup.QUERIES | language.QUERIES | corpus.QUERIES | rules.QUERIES
-ORACLES: dict = {"repeated_words": duck_sql(repeated.ORACLE)} | {k: duck_sql(b) for k, b in BODIES.items()} | markup.ORACLES | language.ORACLES | corpus.ORACLES | rules.ORACLES | {"stream_lexicon": duck_sql(BODIES["word_count_lexicon"])}
+QUERIES: dict = {"repeated_words": repeated.query} | {k: partial(lambda spark, sf_dir, body: spark_frame(spark, sf_dir, body), body=b) for k, b in BODIES.items()} | sequential.QUERIES | markup.QUERIES | language.QUERIES | corpus.QUERIES | rules.QUERIES | spans.QUERIES
+ORACLES: dict = {"repeated_words": duck_sql(repeated.ORACLE)} | {k: duck_sql(b) for k, b in BODIES.items()} | markup.ORACLES | language.ORACLES | corpus.ORACLES | rules.ORACLES | spans.ORACLES | {"stream_lexicon": duck_sql(BODIES["word_count_lexicon"])}
