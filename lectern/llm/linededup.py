@@ -73,7 +73,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = stored(gone.groupBy("_id", "_text").agg(F.collect_set("_ix").alias("_drop")).withColumnRenamed("_text", "_of"), "drops")
     # Texts without a removed line meet no match; they keep their bytes as they are.  The input's columns travel in a struct.
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-    joined = whole.join(few(drops, drops.count(), 500_000), F.col("_i").eqNullSafe(F.col("_id")) & (F.xxhash64("_t") == F.col("_of")), "left").drop("_id", "_of", "_i")
+    # Broadcast by what it holds, not by its rows alone: a row's list is as long as the lines its text loses.
+    held = drops.agg(F.sum(F.size("_drop") + 16)).first()[0] or 0
+    joined = whole.join(few(drops, held, BROADCAST_CELLS), F.col("_i").eqNullSafe(F.col("_id")) & (F.xxhash64("_t") == F.col("_of")), "left").drop("_id", "_of", "_i")
     done = lined(joined, "_t", window, divisor)
     changed, there = F.col("_drop").isNotNull(), F.col("_t").isNotNull()
     chunk_of = F.flatten(F.transform("_spans", lambda z, k: F.array_repeat(k, z["to"] - z["at"] + 1)))
@@ -85,6 +87,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*(text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED), *ADDED)
 
 
+#: Line numbers, and 16 more a row, that the table of removed lines may hold to be broadcast; a larger one is shuffled.
+BROADCAST_CELLS = 8_000_000
+
 #: Columns of the result; ones of these names in the input are replaced.
 ADDED = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 

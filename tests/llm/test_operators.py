@@ -626,3 +626,14 @@ def test_matrix_bounds_are_the_same_for_any_number_of_buckets(spark):
     for buckets in (1, 2, 9):
         got = {(bytes(r[0]), bytes(r[1]), r[2]) for r in jaccard._matrix_bounds(table, buckets).collect()}
         assert got == want
+
+
+def test_line_dedup_same_with_shuffled_drops(spark, monkeypatch):
+    from lectern.llm import linededup
+
+    rows = [(i, "\n".join([f"own line {i}", "a shared line", "another shared line", f"end {i}"] + ["x", "y"] * (i % 3))) for i in range(12)] + [(None, "a shared line\nanother shared line"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, linededup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(linededup, "BROADCAST_CELLS", 0)
+    shuffled = linededup.dedup_lines(docs)
+    assert sorted(map(repr, shuffled.collect())) == want
