@@ -15,6 +15,8 @@ Every document is a set of hashed word shingles; equal sets are one class.  Thre
 
 Hashed blobs are dealt to buckets whose number follows the input, so no shingle, group or class is gathered
 in one task beyond its bucket, links inside a component are never listed in pairs, and no cap drops a link.
+Prefixes lie at the low end of the hashes, so a bucket is chosen by the mixed hash: by the plain one, the first
+buckets would get several times their share.
 
 Defined cases: null, empty and word-less texts have no shingles and are linked with nothing (their own
 ``doc_id`` is their component); with fewer than ``width`` words the whole sequence is one shingle; repeated rows
@@ -30,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ FLUSH = 500_000
 BUCKET = 600_000
 #: Entries of the matrix in one bucket: with fewer buckets a pair's share in one of them prunes more.
 MATRIX_BUCKET = 2_000_000
+#: Pairs of a class and a group that a bucket counts at once.
+HELD = 500_000
 GROUP = 64
 SKETCH = 16
 _WORD = pa.list_(pa.int64())
@@ -107,20 +112,22 @@ def _blob_rows(bucket: np.ndarray, tokens: np.ndarray, owner: np.ndarray, digest
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_NAMES)
 
 
-def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+def _unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """Entries of all blobs of a bucket: tokens, owner numbers, digests (16-byte), sizes, extra."""
     tokens, owners, tables, sizes, extras, base = [], [], [], [], [], 0
-    for tok, own, dig, size, ext in zip(*(t.column(c).to_pylist() for c in _NAMES[1:]), strict=True):
-        n = np.frombuffer(size, np.int32)
-        x = np.frombuffer(tok, np.uint64)
-        o = np.frombuffer(own, np.uint16 if len(own) == 2 * len(x) else np.uint32).astype(np.int64)
-        tokens.append(x)
-        owners.append(o + base)
-        tables.append(np.frombuffer(dig, "V16"))
-        sizes.append(n)
-        if ext is not None:
-            extras.append(np.frombuffer(ext, np.int32))
-        base += len(n)
+    for batch in batches:
+        for tok, own, dig, size, ext in zip(*(batch.column(batch.schema.get_field_index(c)) for c in _NAMES[1:]), strict=True):
+            n = np.frombuffer(size.as_buffer(), np.int32)
+            x = np.frombuffer(tok.as_buffer(), np.uint64)
+            own = own.as_buffer()
+            o = np.frombuffer(own, np.uint16 if own.size == 2 * len(x) else np.uint32).astype(np.int64)
+            tokens.append(x)
+            owners.append(o + base)
+            tables.append(np.frombuffer(dig.as_buffer(), "V16"))
+            sizes.append(n)
+            if ext.is_valid:
+                extras.append(np.frombuffer(ext.as_buffer(), np.int32))
+            base += len(n)
     table = np.concatenate(tables)
     # Equal digests from several blobs are one owner.
     flat = table.view(np.uint64).reshape(-1, 2)
@@ -132,9 +139,15 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(tokens), number[np.concatenate(owners)], table[first], np.concatenate(sizes)[first], np.concatenate(extras) if extras else None
 
 
+def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """An even share of any range of shingle hashes for each bucket."""
+    if buckets == 1:
+        return np.zeros(len(tokens), np.int64)
+    return (bs.mix(tokens) // np.uint64(-(-(1 << 64) // buckets))).astype(np.int64)
+
+
 def _send_sets(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: int, part: Send) -> DataFrame:
-    """Blobs of the chosen shingles of each class, dealt to buckets by shingle value."""
-    scale = np.uint64(min((1 << 64) - 1, -(-(1 << 64) // buckets)))
+    """Blobs of the chosen shingles of each class, dealt to buckets by shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -145,7 +158,7 @@ def _send_sets(docs: DataFrame, id_col: str, text_col: str, width: int, buckets:
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate(held)
             owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-            out = _blob_rows((tokens // scale).astype(np.int64) if buckets > 1 else np.zeros(len(tokens), np.int64), tokens, owner, np.frombuffer(b"".join(digests), "V16"), np.array(sizes))
+            out = _blob_rows(_bucket_of(tokens, buckets), tokens, owner, np.frombuffer(b"".join(digests), "V16"), np.array(sizes))
             held.clear()
             digests.clear()
             sizes.clear()
@@ -176,8 +189,8 @@ def _send_sets(docs: DataFrame, id_col: str, text_col: str, width: int, buckets:
 def _shared(blobs: DataFrame, digest_buckets: int) -> DataFrame:
     """Entries whose shingle is in at least two classes, with that number, dealt on by class."""
 
-    def run(t: pa.Table) -> pa.Table:
-        tokens, owner, digests, sizes, _ = _unpack(t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, owner, digests, sizes, _ = _unpack(batches)
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
         new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
@@ -188,13 +201,13 @@ def _shared(blobs: DataFrame, digest_buckets: int) -> DataFrame:
         keep = df > 1
         tokens, owner, df = tokens[keep], owner[keep], df[keep]
         to = (digests.view(np.uint64).reshape(-1, 2)[:, 0] % np.uint64(digest_buckets)).astype(np.int64)
-        return pa.Table.from_batches([_blob_rows(to[owner], tokens, owner, digests, sizes, df)])
+        yield _blob_rows(to[owner], tokens, owner, digests, sizes, df)
 
-    return blobs.groupBy("bucket").applyInArrow(run, _BLOB)
+    return blobs.groupBy("bucket").applyInArrow(lean(run), _BLOB)
 
 
-def _by_class(t: pa.Table) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray]]:
-    tokens, owner, digests, sizes, df = _unpack(t)
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray]]:
+    tokens, owner, digests, sizes, df = _unpack(batches)
     order = np.lexsort((tokens, df, owner))
     tokens, owner, df = tokens[order], owner[order], df[order]
     cuts = np.searchsorted(owner, np.arange(len(digests) + 1))
@@ -216,26 +229,26 @@ def candidates(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, wid
     buckets = lambda n: max(1, math.ceil(n / BUCKET))
     first = _send_sets(docs, id_col, text_col, width, buckets(total * 0.25), lambda x: x[: len(x) - need(len(x)) + _l1(len(x))])
 
-    def survive(t: pa.Table) -> pa.Table:
-        return pa.table({"digest": pa.array([d for d, n, x, _ in _by_class(t) if len(x) >= _l1(need(n))], pa.binary())})
+    def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"digest": pa.array([d for d, n, x, _ in _by_class(batches) if len(x) >= _l1(need(n))], pa.binary())})
 
-    kept = stored(_shared(first, buckets(total * 0.05)).groupBy("bucket").applyInArrow(survive, "digest binary"), "survivors")
+    kept = stored(_shared(first, buckets(total * 0.05)).groupBy("bucket").applyInArrow(lean(survive), "digest binary"), "survivors")
     reps = stored(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n")).join(kept, "digest").select("id", "n"), "reps")
     count, size = reps.agg(F.count("*"), F.sum("n")).first()
     ids = reps.select(F.col("id").alias(at := unused("_id", docs))).distinct()
     picked = docs.join(few(ids, count), F.col(id_col).eqNullSafe(F.col(at)), "left_semi")
     second = _send_sets(picked, id_col, text_col, width, buckets(size or 0), lambda x: x)
 
-    def keep(t: pa.Table) -> pa.Table:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for d, n, x, _ in _by_class(t):
+        for d, n, x, _ in _by_class(batches):
             if len(x) >= need(n):
                 prefix = x[: len(x) - need(n) + _l2(n)]
                 rows.append((d, n, np.sort(x).view(np.int64), prefix.view(np.int64)))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table({"digest": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "shared": pa.array(cols[2], _WORD), "prefix": pa.array(cols[3], _WORD)})
+        yield pa.record_batch({"digest": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "shared": pa.array(cols[2], _WORD), "prefix": pa.array(cols[3], _WORD)})
 
-    return stored(_shared(second, buckets(size or 0)).groupBy("bucket").applyInArrow(keep, "digest binary, n bigint, shared array<bigint>, prefix array<bigint>"), "classes")
+    return stored(_shared(second, buckets(size or 0)).groupBy("bucket").applyInArrow(lean(keep), "digest binary, n bigint, shared array<bigint>, prefix array<bigint>"), "classes")
 
 
 def _linked(i: Column, n: Column, m: Column) -> Column:
@@ -284,6 +297,82 @@ def least_hits(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(low <= high, np.maximum(out, 1), np.iinfo(np.int64).max)
 
 
+_OWNERS = {"digests": pa.binary(), "labels": pa.binary(), "csize": pa.int64(), "sub": pa.int32(), "n": pa.int32(), "low": pa.int32(), "high": pa.int32(), "total": pa.int32()}
+
+
+def _bucket_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of one bucket, with their hits there, that could still reach their bound.
+
+    Owners stay in Arrow and numpy, as a bucket can hold a part of nearly every class; pairs are counted for some classes
+    at a time, so what is held is bounded however many classes share a shingle.
+    """
+    t = pa.Table.from_batches(list(batches))
+    base = np.cumsum(np.r_[0, [len(x) for x in t.column("digests")]])
+    tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")])
+    owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) + np.int32(k) for x, k in zip(t.column("owner"), base[:-1], strict=True)])
+    flat = {x: pa.concat_arrays([c.flatten() for c in t.column(x).chunks]) for x in _OWNERS}
+    del t
+    size, low, high, total, sub = (np.asarray(flat.pop(x)).astype(np.int64) for x in ("n", "low", "high", "total", "sub"))
+    # A class's shingles in other buckets: as many hits at most can come from there.
+    elsewhere = total - np.bincount(owner, minlength=len(total))
+    # Components by size and label: a class asks only groups of later ones.
+    labels = flat.pop("labels").dictionary_encode()
+    code, names = np.asarray(labels.indices), labels.dictionary
+    csize = np.zeros(len(names), np.int64)
+    csize[code] = np.asarray(flat.pop("csize"))
+    ranked = pc.sort_indices(pa.table({"csize": csize, "label": names}), sort_keys=[("csize", "ascending"), ("label", "ascending")])
+    place = np.empty(len(names), np.int32)
+    place[np.asarray(ranked)] = np.arange(len(names))
+    comp, names = place[code], names.take(ranked)
+    subs = int(sub.max()) + 1
+    gnames, group = np.unique(comp * np.int64(subs) + sub, return_inverse=True)
+    gcomp, n_groups = gnames // subs, len(gnames)
+    glow, ghigh = np.zeros(n_groups, np.int64), np.zeros(n_groups, np.int64)
+    glow[group], ghigh[group] = low, high
+    # Only shingles of several components.
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    del order
+    start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    held, c = np.diff(np.r_[start, len(tokens)]), comp[owner]
+    mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
+    owner = owner[np.repeat(mixed, held)]
+    token = np.repeat(np.arange(int(mixed.sum())), held[mixed])
+    del tokens, c
+    # The groups of each shingle in order; those an entry asks are the last ones.
+    cells = np.unique(token * n_groups + group[owner])
+    first = np.searchsorted(cells, token * n_groups + np.searchsorted(gcomp, comp[owner], "right"))
+    count = np.searchsorted(cells, (token + 1) * n_groups) - first
+    order = np.argsort(owner, kind="stable")
+    order = order[count[order] > 0]
+    owner, first, count = owner[order].astype(np.int64), first[order], count[order]
+    del token, order
+    done = np.cumsum(count)
+    ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) + 1 if len(owner) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(owner):
+        # Whole classes of at most ``HELD`` pairs, or one class, whose pairs are no more than the groups.
+        limit = done[a] - count[a] + HELD
+        b = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(done[ends - 1], limit, "right") - 1)])
+        k, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while a < b:
+            e = min(b, max(a + 1, int(np.searchsorted(done, done[a] - count[a] + HELD, "right"))))
+            n = count[a:e]
+            cell = np.repeat(first[a:e] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            more, times = np.unique(np.repeat(owner[a:e], n) * n_groups + cells[cell] % n_groups, return_counts=True)
+            if len(k):
+                more, inv = np.unique(np.concatenate([k, more]), return_inverse=True)
+                times = np.bincount(inv, weights=np.concatenate([hits, times])).astype(np.int64)
+            k, hits, a = more, times, e
+        who, to = k // n_groups, k % n_groups
+        least = least_hits(size[who], glow[to], ghigh[to])
+        # Left out here: sizes that no link can have, and pairs whose hits fall short even with all shingles elsewhere.
+        fit = hits + elsewhere[who] >= least
+        who, to = who[fit], to[fit]
+        if len(who):
+            yield pa.record_batch({"digest": flat["digests"].take(pa.array(who)), "label": names.take(pa.array(gcomp[to])), "sub": pa.array((gnames[to] % subs).astype(np.int32)), "hits": pa.array(hits[fit]), "least": pa.array(least[fit])})
+
+
 def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
     """The classes and groups of a larger component whose common prefix shingles reach the least a link needs.
 
@@ -291,94 +380,26 @@ def _matrix_bounds(grouped: DataFrame, buckets: int) -> DataFrame:
     same whatever their number.  A pair is sent on from a bucket only if its hits there and the class's shingles in all
     other buckets could reach the bound.
     """
-    scale = min((1 << 64) - 1, -(-(1 << 64) // buckets))
-    fields = [("digests", 0, pa.binary()), ("labels", 1, pa.binary()), ("csize", 2, pa.int64()), ("sub", 3, pa.int32()), ("n", 5, pa.int64()), ("low", 6, pa.int64()), ("high", 7, pa.int64()), ("total", 8, pa.int64())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            offsets = np.asarray(b.column(4).offsets)
-            tokens = np.asarray(b.column(4).flatten()).view(np.uint64)
+            offsets = np.asarray(b.column(0).offsets)
+            tokens = np.asarray(b.column(0).flatten()).view(np.uint64)
             owner = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            bucket = (tokens // np.uint64(scale)).astype(np.int64) if buckets > 1 else np.zeros(len(tokens), np.int64)
+            bucket = _bucket_of(tokens, buckets)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in np.unique(bucket).tolist():
                 own = order[edge[k] : edge[k + 1]]
                 used, local = np.unique(owner[own], return_inverse=True)
                 part = b.take(pa.array(used))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens[own].tobytes()], pa.binary()), pa.array([local.astype(np.int32).tobytes()], pa.binary()), *(pa.array([part.column(i).to_pylist()], pa.list_(t)) for _, i, t in fields)], names=["bucket", "tokens", "owner", *(x for x, _, _ in fields)])
-
-    def bound(t: pa.Table) -> pa.Table:
-        tokens, owner = [], []
-        digests, labels, csize, sub, size, low, high, total = ([] for _ in fields)
-        for tok, own, *more in zip(*(t.column(x).to_pylist() for x in ("tokens", "owner", *(x for x, _, _ in fields))), strict=True):
-            tokens.append(np.frombuffer(tok, np.uint64))
-            owner.append(np.frombuffer(own, np.int32).astype(np.int64) + len(digests))
-            for held_, new in zip((digests, labels, csize, sub, size, low, high, total), more, strict=True):
-                held_ += new
-        size, low, high = np.array(size), np.array(low), np.array(high)
-        tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-        # A class's shingles in other buckets: as many hits at most can come from there.
-        elsewhere = np.array(total) - np.bincount(owner, minlength=len(digests))
-        # Components by size and label: a class asks only groups of later ones.
-        names = sorted(set(zip(csize, labels, strict=True)))
-        place = {x: i for i, x in enumerate(names)}
-        comp = np.array([place[x] for x in zip(csize, labels, strict=True)])
-        gnames = sorted({(int(c), s) for c, s in zip(comp, sub, strict=True)})
-        gplace = {x: i for i, x in enumerate(gnames)}
-        group = np.array([gplace[int(c), s] for c, s in zip(comp, sub, strict=True)])
-        gcomp = np.array([c for c, _ in gnames])
-        glow, ghigh = np.zeros(len(gnames), np.int64), np.zeros(len(gnames), np.int64)
-        glow[group], ghigh[group] = low, high
-        order = np.lexsort((comp[owner], tokens))
-        tokens, owner = tokens[order], owner[order]
-        start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        end = np.r_[start[1:], len(tokens)]
-        mixed = np.flatnonzero(comp[owner[start]] != comp[owner[end - 1]])
-        keys, counts, held, n = [], [], 0, len(gnames)
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def settle() -> None:
-            if keys:
-                k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-                sums.append((k, np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)))
-                keys.clear()
-                counts.clear()
-
-        for i in mixed.tolist():
-            own = owner[start[i] : end[i]]
-            c = comp[own]
-            g = np.unique(group[own])
-            ask = own[c < c[-1]]
-            # Blocks keep what is held at once bounded, however many classes share the shingle.
-            step = max(1, 4_000_000 // len(g))
-            for a in range(0, len(ask), step):
-                q = ask[a : a + step]
-                later = gcomp[g][None, :] > comp[q][:, None]
-                qi, gi = np.nonzero(later)
-                keys.append(q[qi] * n + g[gi])
-                counts.append(np.ones(len(qi), np.int64))
-                held += len(qi)
-                if held > 4_000_000:
-                    settle()
-                    held = 0
-        settle()
-        k, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if sums:
-            k, inv = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
-            hits = np.bincount(inv, weights=np.concatenate([y for _, y in sums])).astype(np.int64)
-        least = least_hits(size[k // n], glow[k % n], ghigh[k % n]) if len(k) else k
-        # Left out here: sizes that no link can have, and pairs whose hits fall short even with all shingles elsewhere.
-        fit = hits + elsewhere[k // n] >= least
-        k, hits, least = k[fit], hits[fit], least[fit]
-        who, to = (k // n).tolist(), (k % n).tolist()
-        return pa.table({"digest": pa.array([digests[i] for i in who], pa.binary()), "label": pa.array([names[gnames[j][0]][1] for j in to], pa.binary()), "sub": pa.array([gnames[j][1] for j in to], pa.int32()), "hits": pa.array(hits, pa.int64()), "least": pa.array(least, pa.int64())})
-
-    blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<bigint>, low array<bigint>, high array<bigint>, total array<bigint>"
-    dealt = grouped.select("digest", "label", "csize", "sub", "prefix", "n", "low", "high", F.size("prefix").cast("bigint").alias("total")).mapInArrow(lean(deal), blob)
-    part = dealt.groupBy("bucket").applyInArrow(bound, _QUERY)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens[own].tobytes()], pa.binary()), pa.array([local.astype(np.int32).tobytes()], pa.binary()), *(pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), part.column(i + 1).cast(t)) for i, t in enumerate(_OWNERS.values()))], names=["bucket", "tokens", "owner", *_OWNERS])
+
+    blob = "bucket int, tokens binary, owner binary, digests array<binary>, labels array<binary>, csize array<bigint>, sub array<int>, n array<int>, low array<int>, high array<int>, total array<int>"
+    dealt = grouped.select("prefix", "digest", "label", "csize", "sub", *(F.col(x).cast("int") for x in ("n", "low", "high")), F.size("prefix").alias("total")).mapInArrow(lean(deal), blob)
+    part = dealt.groupBy("bucket").applyInArrow(lean(_bucket_hits), _QUERY)
     return part.groupBy("digest", "label", "sub").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("digest", "label", "sub")
 
 

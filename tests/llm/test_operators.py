@@ -637,3 +637,44 @@ def test_line_dedup_same_with_shuffled_drops(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_CELLS", 0)
     shuffled = linededup.dedup_lines(docs)
     assert sorted(map(repr, shuffled.collect())) == want
+
+
+def test_prefix_shingles_fill_all_buckets_alike(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(120))) for i in range(60)]
+    sent = jaccard._send_sets(_docs(spark, texts), "doc_id", "text", 5, 8, lambda x: x[: len(x) // 4]).collect()
+    held = collections.Counter()
+    for r in sent:
+        held[r["bucket"]] += len(r["tokens"]) // 8
+    assert len(held) == 8 and sum(held.values()) == 60 * (116 // 4) and max(held.values()) < 2 * min(held.values())
+
+
+def test_matrix_bucket_holds_no_objects_for_owners():
+    import tracemalloc
+
+    # One shingle of each of many classes: a bucket of a large input; half of them share it with another component.
+    n = 40_000
+    blobs = [pa.record_batch({"bucket": pa.array([0], pa.int32()), "tokens": pa.array([(np.arange(a, a + 500, dtype=np.uint64) % (n // 2)).tobytes()]), "owner": pa.array([np.arange(500, dtype=np.int32).tobytes()])} | {k: pa.array([v], pa.list_(jaccard._OWNERS[k])) for k, v in {"digests": [b"%016d" % i for i in range(a, a + 500)], "labels": [b"%016d" % i for i in range(a, a + 500)], "csize": [1] * 500, "sub": [0] * 500, "n": [4] * 500, "low": [4] * 500, "high": [4] * 500, "total": [1] * 500}.items()}) for a in range(0, n, 500)]
+    tracemalloc.start()
+    got = pa.Table.from_batches(jaccard._bucket_hits(iter(blobs)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == n // 2 and set(got["hits"].to_pylist()) == {1}
+    assert peak < 400 * n
+
+
+def test_matrix_bucket_counts_in_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(b"%03d" % i, b"c%03d" % (i // 3), 3, 0, sorted(rng.sample(range(25), 8)), 10, 10, 10) for i in range(90)]
+    table = spark.createDataFrame(rows, "digest binary, label binary, csize bigint, sub int, prefix array<bigint>, n bigint, low bigint, high bigint")
+    want = jaccard._matrix_bounds(table, 1).toArrow().sort_by([("digest", "ascending"), ("label", "ascending")])
+    batch = table.selectExpr("0 AS bucket", "digest", "label", "csize", "sub", "prefix", "CAST(n AS int) AS n").collect()
+    for held in (1, 7, 100):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        tokens = np.array([x for r in batch for x in r["prefix"]], np.uint64)
+        owner = np.repeat(np.arange(90, dtype=np.int32), 8)
+        cols = {"digests": [r["digest"] for r in batch], "labels": [r["label"] for r in batch], "csize": [3] * 90, "sub": [0] * 90, "n": [10] * 90, "low": [10] * 90, "high": [10] * 90, "total": [8] * 90}
+        blob = pa.record_batch({"tokens": pa.array([tokens.tobytes()]), "owner": pa.array([owner.tobytes()])} | {k: pa.array([v], pa.list_(jaccard._OWNERS[k])) for k, v in cols.items()})
+        got = pa.Table.from_batches(jaccard._bucket_hits(iter([blob]))).sort_by([("digest", "ascending"), ("label", "ascending")])
+        brute = {(a[0], b[1]) for a in rows for b in rows if b[1] > a[1] and len(set(a[4]) & {x for r in rows if r[1] == b[1] for x in r[4]}) >= int(jaccard.least_hits(np.array([10]), np.array([10]), np.array([10]))[0])}
+        assert {(a, b) for a, b in zip(got["digest"].to_pylist(), got["label"].to_pylist(), strict=True)} == brute == set(zip(want["digest"].to_pylist(), want["label"].to_pylist(), strict=True))
