@@ -40,9 +40,11 @@ def stored(df: DataFrame, what: str, options: dict[str, str] | None = None) -> D
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so many rows: one batch with long documents then stays small in a worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str | None = None) -> None:
+    """Arrow batches of so many rows, and of that size (Spark's own bound is 64 MB, held off the heap and in the worker)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

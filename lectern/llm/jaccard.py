@@ -306,12 +306,17 @@ def _bucket_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Owners stay in Arrow and numpy, as a bucket can hold a part of nearly every class; pairs are counted for some classes
     at a time, so what is held is bounded however many classes share a shingle.
     """
-    t = pa.Table.from_batches(list(batches))
-    base = np.cumsum(np.r_[0, [len(x) for x in t.column("digests")]])
-    tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")])
-    owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) + np.int32(k) for x, k in zip(t.column("owner"), base[:-1], strict=True)])
-    flat = {x: pa.concat_arrays([c.flatten() for c in t.column(x).chunks]) for x in _OWNERS}
-    del t
+    tokens, owner, parts, base = [], [], [], 0
+    for batch in batches:
+        # Copies, so that each batch is freed before the next one comes.
+        for tok, own, n in zip(batch.column("tokens"), batch.column("owner"), pc.list_value_length(batch.column("digests")).to_pylist(), strict=True):
+            tokens.append(np.frombuffer(tok.as_buffer(), np.uint64).copy())
+            owner.append(np.frombuffer(own.as_buffer(), np.int32) + np.int32(base))
+            base += n
+        parts.append([(x := batch.column(c).flatten()).take(pa.array(np.arange(len(x)))) for c in _OWNERS])
+    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+    flat = {c: pa.concat_arrays(x) for c, x in zip(_OWNERS, zip(*parts, strict=True), strict=True)}
+    del parts, batch
     size, low, high, total, sub = (np.asarray(flat.pop(x)).astype(np.int64) for x in ("n", "low", "high", "total", "sub"))
     # A class's shingles in other buckets: as many hits at most can come from there.
     elsewhere = total - np.bincount(owner, minlength=len(total))
@@ -446,7 +451,7 @@ def class_links(classes: DataFrame, rounds: int = 2) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``(id, hash, n, digest, label)`` of every row; rows with one label are connected by links, and without words there is none."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="4m")
     sets = stored(set_table(docs, id_col, text_col, width), "sets")
     labels = components(class_links(candidates(docs, sets, id_col, text_col, width)))
     return sets.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").select("id", "hash", "n", "digest", F.coalesce("label", "digest").alias("label"))
