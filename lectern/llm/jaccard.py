@@ -46,6 +46,8 @@ NUM, DEN = 4, 5
 #: Shingles that a task gathers before it sends them on to their buckets.
 FLUSH = 500_000
 BUCKET = 600_000
+#: Prefix entries in one bucket of the first filter: each bucket repeats the digests of its sets, so more buckets take more disk.
+PREFIX_BUCKET = 2_400_000
 #: Entries of the matrix in one bucket: with fewer buckets a pair's share in one of them prunes more.
 MATRIX_BUCKET = 2_000_000
 #: Pairs of a class and a group that a bucket counts at once.
@@ -227,7 +229,7 @@ def candidates(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, wid
     """Classes that can have links: ``digest, n, shared`` (sorted shingles found elsewhere), ``prefix`` (rarest first)."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = lambda n: max(1, math.ceil(n / BUCKET))
-    first = _send_sets(docs, id_col, text_col, width, buckets(total * 0.25), lambda x: x[: len(x) - need(len(x)) + _l1(len(x))])
+    first = _send_sets(docs, id_col, text_col, width, max(1, math.ceil(total * 0.25 / PREFIX_BUCKET)), lambda x: x[: len(x) - need(len(x)) + _l1(len(x))])
 
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"digest": pa.array([d for d, n, x, _ in _by_class(batches) if len(x) >= _l1(need(n))], pa.binary())})
