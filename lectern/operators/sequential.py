@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import difflib
 import heapq
-import textwrap
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,19 +154,62 @@ def edit_documents(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(listed, "doc_id").mapInPandas(run, "doc_id long, text string, kept long, conflicts long, diff string")
 
 
+#: Characters of paragraphs that are wrapped in one step.
+REFLOW_SLICE = 1_000_000
+
+
+def _wrapped(own: list[list[str]], widths: range) -> Iterator[str]:
+    """Paragraphs, given as their words, at their best width: all paragraphs and widths take their next line at once."""
+    count = np.array([len(w) for w in own])
+    # Where each word begins if all words of all paragraphs stand in one line, with a space after each.
+    edge = np.concatenate(([0], np.cumsum(np.fromiter((len(w) + 1 for words in own for w in words), np.int64, int(count.sum())))))
+    stop = np.cumsum(count)
+    shape = len(own), len(widths)
+    lines, total, squares, longest = (np.zeros(shape, np.int64).ravel() for _ in range(4))
+    end, width = np.repeat(stop, shape[1]), np.tile(np.array(widths), shape[0])
+    at, live = np.repeat(stop - count, shape[1]), np.arange(len(end))
+    while len(live):
+        # A word that is longer than the line has one of its own.
+        after = np.minimum(np.maximum(np.searchsorted(edge, edge[at] + width[live] + 1, "right") - 1, at + 1), end[live])
+        size = edge[after] - 1 - edge[at]
+        longest[live] = np.maximum(longest[live], size)
+        more = after < end[live]
+        live, at, size = live[more], after[more], size[more]
+        lines[live] += 1
+        total[live] += size
+        squares[live] += size * size
+    if int(longest.max()) ** 2 * int(lines.max() + 1) > 2**53:
+        lines, total, squares, longest = (x.astype(object) for x in (lines, total, squares, longest))
+    cost = (lines * longest * longest - 2 * longest * total + squares) / np.maximum(lines, 1)
+    best, places = cost.reshape(shape).argmin(axis=1), edge.tolist()
+    for words, begin, last, w in zip(own, (stop - count).tolist(), stop.tolist(), best.tolist(), strict=True):
+        out, a = [], begin
+        while a < last:
+            b = min(max(bisect_right(places, places[a] + widths[w] + 1) - 1, a + 1), last)
+            out.append(" ".join(words[a - begin : b - begin]))
+            a = b
+        yield "\n".join(out)
+
+
+def reflow_all(paragraphs: Iterable[str | None], widths: range = range(70, 110)) -> list[str | None]:
+    """Each paragraph wrapped at the width whose lines differ least in length, the last line aside; short ones stay."""
+    out = list(paragraphs)
+    todo = [i for i, p in enumerate(out) if p and len(p) >= widths.start]
+    while todo:
+        n = max(1, int(np.searchsorted(np.cumsum([len(out[i]) for i in todo]), REFLOW_SLICE, "right")))
+        part, todo = todo[:n], todo[n:]
+        own = [out[i].split() for i in part]
+        full = [(i, words) for i, words in zip(part, own, strict=True) if words]
+        for i in part:
+            out[i] = ""
+        if full:
+            for (i, _), text in zip(full, _wrapped([words for _, words in full], widths), strict=True):
+                out[i] = text
+    return out
+
+
 def reflow(paragraph: str | None, widths: range = range(70, 110)) -> str | None:
-    """The paragraph wrapped at the width whose lines differ least in length, the last line aside."""
-    if not paragraph or len(paragraph) < widths.start:
-        return paragraph
-    flat = " ".join(paragraph.split())
-    best: tuple[float, list[str]] | None = None
-    for width in widths:
-        lines = textwrap.wrap(flat, width, break_long_words=False, break_on_hyphens=False)
-        longest = max(map(len, lines))
-        cost = sum((longest - len(x)) ** 2 for x in lines[:-1]) / max(1, len(lines) - 1)
-        if best is None or cost < best[0]:
-            best = (cost, lines)
-    return "\n".join(best[1])
+    return reflow_all([paragraph], widths)[0]
 
 
 #: Words that are compared with each other in one step.
@@ -244,6 +287,6 @@ QUERIES = {
     "repeated_stem": lambda spark, sf: repeated_stems(_docs(spark, sf)),
     "pairs_stack": lambda spark, sf: pairs(_docs(spark, sf)),
     "edit_conflict": lambda spark, sf: edit_documents(_docs(spark, sf), _space_edits(_docs(spark, sf))),
-    "reflow": lambda spark, sf: _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_ix", "para")).select("doc_id", "para_ix", _column(reflow, "string")("para").alias("wrapped")),
+    "reflow": lambda spark, sf: _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_ix", "para")).select("doc_id", "para_ix", F.pandas_udf(lambda s: pd.Series(reflow_all(s), dtype=object), "string")("para").alias("wrapped")),
     "spelling_suggestions": _suggested,
 }
