@@ -64,6 +64,36 @@ def n(spark):
     return nodes(docs).cache()
 
 
+def test_nodes_come_in_small_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import rst
+
+    texts = ["Word.\n\n" * 30, None, "", PAGE, "x" * 500, "- a\n" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted((i, n.node_id, n.kind, n.start, n.body) for i, t in enumerate(texts) for n in parse(t))
+    monkeypatch.setattr(rst, "NODES_OUT", 7)
+    monkeypatch.setattr(rst, "CHARS_OUT", 100)
+    got = nodes(docs)
+    assert sorted((r["doc_id"], r["node_id"], r["kind"], r["start"], r["body"]) for r in got.collect()) == want
+    assert str(got.schema["doc_id"].dataType) == "LongType()" and got.where(F.col("prose").isNull()).count() == 0
+    assert [r["doc_id"] for r in nodes(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).where("kind = 'document'").orderBy("doc_id").collect()] == list("012345")
+
+
+def test_memory_of_the_parser_does_not_grow_with_the_batch(spark, monkeypatch):
+    from lectern.operators import rst
+
+    def watched(text):
+        import resource
+
+        return [rst.Node(0, -1, "document", None, None, None, 0, 0, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0, 0, 0, 0, "x" * 200_000, None)]
+
+    monkeypatch.setattr(rst, "parse", watched)
+    kb = [r["start"] for r in nodes(spark.range(3000).selectExpr("id AS doc_id", "'x' AS text").coalesce(1)).select("start").collect()]
+    # A worker that kept the nodes of its batch of 3000 texts held over 600 MB of them.
+    assert len(kb) == 3000 and max(kb) - min(kb) < 200_000
+
+
 def told(df):
     return sorted((r["doc_id"], r["message"]) for r in df.collect())
 
