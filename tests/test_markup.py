@@ -137,3 +137,18 @@ def test_runs_and_glossary(spark):
     tree = nodes(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert (1, "three or more boxes in a row") in told(m.structure(tree))
     assert told(m.glossary(tree)) == [(1, "term used only within glossary"), (1, "unused term")]
+
+
+def test_queries_of_the_head_equal_sql_whatever_the_texts_hold(spark, tmp_path):
+    import duckdb
+
+    from lectern.plans import markup as plan
+
+    odd = [None, "", " set in\n  and further", "a `tick` and :math:`x`, :foo:`y`", ".. raw:: html\n\n   x", "Deep\n====\n\nx\n\nMore\n~~~~\n", ":kbd:`A-A` and :abbr:`CPU (a Unit)`", ".. figure:: x.png\n\nWords", "- a\n\n  - b", "::\n\n   code"]
+    spark.createDataFrame([(i, odd[i % len(odd)]) for i in range(2520)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("markup_names", "kbd", "abbr_caps", "wrong_kbd", "wrong_abbr", "unknown_role", "wrong_level", "no_caption"):
+        got = plan.QUERIES[f"markup_{name}"](spark, str(tmp_path))
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({plan.ORACLES[f'markup_{name}']})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
