@@ -24,12 +24,12 @@ def _found(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all pattern tools by tool and severity, with subtotals: every tool scans the texts once."""
-    parts = [_found(spark, sf_dir, t).select("tool", "severity") for t in findings.TOOLS]
+    """Findings of all pattern tools by tool and severity, with subtotals: every tool scans the texts once and only counts."""
+    parts = [findings.count(_docs(spark, sf_dir, findings.faulty(t)), t, rules, severity) for t, (severity, rules) in findings.TOOLS.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.rollup("tool", "severity").agg(F.count("*").alias("n")).select(F.coalesce("tool", F.lit("all")).alias("tool"), F.coalesce("severity", F.lit("all")).alias("severity"), "n")
+    return rows.rollup("tool", "severity").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.coalesce("tool", F.lit("all")).alias("tool"), F.coalesce("severity", F.lit("all")).alias("severity"), "n")
 
 
 # Lists: a term of the list follows each text, in turn.

@@ -31,6 +31,32 @@ def test_every_rule_finds_its_fault(spark):
         assert {r["rule"] for r in f.find(made, tool, rules).collect()} == set(rules), tool
 
 
+def test_places_of_many_matches_in_one_text(spark):
+    import time
+
+    n = 20_000
+    df = docs(spark, "é & b " * n, "x", None)
+    f.find(docs(spark, "a & b"), "mark", {"ampersand": f.MARK["ampersand"]}).collect()
+    began = time.time()
+    got = told(f.find(df, "mark", {"ampersand": f.MARK["ampersand"]}), "start", "end", "output")
+    assert got == [(6 * i + 1, 6 * i + 4, " & ") for i in range(n)]
+    # Summing the pieces before each match anew took time by the square of the matches.
+    assert time.time() - began < 8
+
+
+def test_places_equal_another_engine_and_counts(spark, monkeypatch):
+    import regex
+
+    monkeypatch.setattr(f, "SLICE", 50)
+    texts = ["", None, "\x00a & b\x01 & c, d,e", "\ue000,,;x", *(chr(i) + " and, or (x )" for i in range(9)), *("x." + t.replace("¬", "\n").replace("¦", "\\").replace("´", "'") for own in f.FAULTS.values() for t in own), "é" * 60 + " 世 & 界,,"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "name string, words string").coalesce(1)
+    for tool, (severity, rules) in f.TOOLS.items():
+        as_python = lambda p: regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1], p)
+        want = [(str(i), m.start(), m.end(), k, m[0]) for i, t in enumerate(texts) for k, p in rules.items() for m in regex.finditer(as_python(p), t or "")]
+        assert told(f.find(df, tool, rules, severity, "name", "words"), "name", "start", "end", "rule", "output") == sorted(want), tool
+        assert sum(r["n"] for r in f.count(df, tool, rules, severity, "words").collect()) == len(want)
+
+
 @pytest.mark.parametrize(("text", "count"), [("12345 and 1,234", 1), ("is .5 long", 1), ("in 2020", 1), ("12 x 4", 1)])
 def test_number_cases(spark, text, count):
     assert f.find(docs(spark, text), "number", f.NUMBER).where("rule in ('no_separator', 'no_leading_zero', 'times')").count() == count
