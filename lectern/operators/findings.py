@@ -38,10 +38,10 @@ TOOLS = {"mark": ("W", MARK), "number": ("W", NUMBER), "leak": ("F", LEAK), "cha
 
 
 #: Bytes of texts that are searched in one step; the findings of a rule in them are given out at once.
-SLICE = 1 << 20
+SLICE = 4 << 20
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts in slices of about ``SLICE`` bytes, one text at least."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -65,7 +65,7 @@ def find(docs: DataFrame, tool: str, rules: dict[str, str], severity: str = "W",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _slices(batches):
+        for ids, texts in slices(batches):
             mark = _apart(texts)
             for rule, p in rules.items():
                 hit = pc.indices_nonzero(pc.match_substring_regex(texts, p))
@@ -91,7 +91,7 @@ def count(docs: DataFrame, tool: str, rules: dict[str, str], severity: str = "W"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        for _, texts in _slices(batches):
+        for _, texts in slices(batches):
             n += sum(pc.sum(pc.count_substring_regex(texts, p)).as_py() or 0 for p in rules.values())
         if n:
             yield pa.RecordBatch.from_pydict({"tool": [tool], "severity": [severity], "n": [n]})

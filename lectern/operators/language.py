@@ -5,11 +5,19 @@ Patterns here run in the JVM's regex engine, which has the lookaround that porta
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import vocabulary as v
 from lectern.functions.dialect import WORD
+from lectern.operators.findings import slices
 from lectern.session import stored, table
 
 _W = r"[\p{L}\p{N}_]"
@@ -45,11 +53,67 @@ LOOKAROUND = {
 }
 
 
+#: A piece of a pattern: an escape, a class, a look to the side, another bracket, or one character.
+_PIECE = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\\\]])*\]|\(\?<?[=!]|\((?:\?:)?|.", re.S)
+#: What has another meaning, or none, in Arrow's engine.
+_OTHER = re.compile(r"\\[^pPxbBntr\d\W]|&&|\(\?(?!<?[=!]|:)|\[[^\]\\]*\[")
+
+
+def _guard(pattern: str) -> str | None:
+    """A pattern for Arrow's linear engine that every text with a match of this one has too; none if it can't be told.
+
+    What must stand beside a match becomes a part of it; what must not stand there, and word limits, are left out; a
+    backreference becomes its group once more.
+    """
+    if _OTHER.search(pattern):
+        return None
+    out: list[str] = []
+    open_now: list[tuple[str, int]] = []
+    groups: dict[int, str] = {}
+    n = 0
+    for piece in _PIECE.findall(pattern):
+        if piece[0] == "(":
+            n += piece == "("
+            open_now.append((piece if piece != "(" else str(n), len(out)))
+            out.append("(?:")
+        elif piece == ")":
+            kind, k = open_now.pop()
+            out.append(")")
+            if kind.endswith("!"):
+                del out[k:]
+            elif kind.isdigit():
+                groups[int(kind)] = "".join(out[k:])
+        elif piece[0] == "\\" and piece[1].isdigit():
+            out.append(groups[int(piece[1])])
+        elif piece not in ("$", "\\b", "\\B"):
+            out.append(piece)
+    try:
+        pc.match_substring_regex(pa.array([""]), "".join(out))
+    except pa.ArrowInvalid:
+        return None
+    return "".join(out)
+
+
 def lookaround_rules(docs: DataFrame, rules: dict[str, dict[str, str]] = LOOKAROUND) -> DataFrame:
-    """``doc_id, tool, rule, n``: how often each rule matches a text, for those that do; all rules in one pass."""
-    count = lambda p: F.regexp_count("text", F.lit(p))
-    each = F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(k).alias("rule"), count(p).alias("n")) for t, own in rules.items() for k, p in own.items()))
-    return docs.where("text is not null").select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("_r")).select("doc_id", "_r.*")
+    """``doc_id, tool, rule, n``: how often each rule matches a text, for those that do; all rules in one pass.
+
+    The JVM's engine only counts the rules of which a text has what their guard asks for.
+    """
+    flat = [(t, k, p) for t, own in rules.items() for k, p in own.items()]
+    guards = [_guard(p) for _, _, p in flat]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, texts in slices([b]):
+                may = [pc.match_substring_regex(texts, g) if g is not None else pa.array([True]).take(pa.array([0] * len(texts))) for g in guards]
+                any_of = reduce(pc.or_, may)
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(np.stack([m.to_numpy(zero_copy_only=False) for m in may], axis=1).ravel()), len(guards)).cast(pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([ids.filter(any_of), texts.filter(any_of), bits.filter(any_of)], names=["doc_id", "text", "_may"])
+
+    some = docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, _may array<boolean>")
+    count = lambda i, p: F.when(F.col("_may")[i], F.regexp_count("text", F.lit(p))).otherwise(0)
+    each = F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(k).alias("rule"), count(i, p).alias("n")) for i, (t, k, p) in enumerate(flat)))
+    return some.select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("_r")).select("doc_id", "_r.*")
 
 
 def line_style(docs: DataFrame) -> DataFrame:

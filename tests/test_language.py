@@ -24,6 +24,32 @@ def test_lookaround_equals_another_engine(spark):
     assert told(g.lookaround_rules(docs), "doc_id", "tool", "rule", "n") == sorted(want)
 
 
+def test_a_match_has_its_guard():
+    import random
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = random.Random(5)
+    words = ["a", "The", "really", "quickly", "more", "then", "less", "faster", "twenty", "one", "0", "00", "7", "12", "12345", "1,23", "0,5", ".5", "2.50", "100", " ", " ", " ", "\n", ",", ".", "..", ";", ",,", "(", ")", "s)", "[", "}", "!", "'", "’", "°", "%", "px", "degrees", "C", "é", "É", "世", "a (Éb"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(30_000)]
+    for own in g.LOOKAROUND.values():
+        for name, p in own.items():
+            may = pc.match_substring_regex(pa.array(texts), g._guard(p)).to_pylist()
+            has = [regex.search(p, t) is not None for t in texts]
+            assert any(has) and not any(h and not m for h, m in zip(has, may, strict=True)), name
+            # The rules are rare: most texts need no search by the slow engine.
+            assert sum(may) < 0.6 * len(texts), name
+    assert g._guard(r"\bx(?<=[a\]])(?!b(?:c|\))d)(e|[)])\1$") == r"x(?:[a\]])(?:e|[)])(?:e|[)])"
+    assert [g._guard(p) for p in (r"a++", r"\s", r"(?i)a", r"[a&&b]", r"(?<n>a)\k<n>")] == [None] * 5
+
+
+def test_lookaround_of_own_rules(spark):
+    docs = spark.createDataFrame([(1, "abb xb\x0bc"), (2, None), (3, ""), (4, "q")], "doc_id long, text string")
+    assert told(g.lookaround_rules(docs, {"t": {"r": r"(?<=a)b++", "s": r"\sc", "n": r"(?<!b)b"}}), "doc_id", "rule", "n") == [(1, "n", 2), (1, "r", 1), (1, "s", 1)]
+    assert g.lookaround_rules(docs.where("doc_id > 1")).count() == 0
+
+
 def test_lookaround_cases(spark):
     text = "Wait,, now. is .5 long, 12345 and 1,234 but 1,23 x; word ,and 007.\nA line a\nend. More"
     got = {(r["tool"], r["rule"]) for r in g.lookaround_rules(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()}
