@@ -129,14 +129,18 @@ def set_spans(first: DataFrame, second: DataFrame, ops: tuple[str, ...] = tuple(
         return df.where("start < end").select(F.col(id_col).alias("_id"), F.inline(F.array(one("start", 1), one("end", -1))))
 
     steps = ends(first, 1, 0).unionByName(ends(second, 0, 1))
-    # All ends at a place count at once, so rows of one place agree and make one turn.
-    by_place = Window.partitionBy("_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    opened = steps.select("_id", "pos", (F.sum("a").over(by_place) > 0).alias("a"), (F.sum("b").over(by_place) > 0).alias("b"))
-    asked = opened.select("_id", "pos", F.inline(F.array(*(F.struct(F.lit(o).alias("op"), SET_OPS[o](F.col("a"), F.col("b")).alias("on")) for o in ops))))
-    own = Window.partitionBy("_id", "op").orderBy("pos")
-    turns = asked.withColumn("_was", F.lag("on", 1, False).over(own)).where("on <> _was")
+    # One sort serves all: the last row of a place knows all that is open there, and only turns are told by op.
+    order = Window.partitionBy("_id").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = steps.select("_id", "pos", (F.sum("a").over(upto) > 0).alias("a"), (F.sum("b").over(upto) > 0).alias("b"), F.lead("pos").over(order).alias("_next"))
+    places = opened.where("_next IS NULL OR _next <> pos").select("_id", "pos", "a", "b", *(F.lag(c, 1, False).over(order).alias(f"_{c}") for c in "ab"))
+    on = {o: SET_OPS[o](F.col("a"), F.col("b")) for o in ops}
+    turns = places.select("_id", "pos", *(F.when(on[o] != SET_OPS[o](F.col("_a"), F.col("_b")), on[o]).alias(o) for o in ops)).where(F.coalesce(*ops).isNotNull())
     # A last turn always closes: where all spans have ended, no op holds.
-    return turns.withColumn("end", F.lead("pos").over(own)).where("on").select(F.col("_id").alias(id_col), "op", F.col("pos").alias("start"), "end")
+    after = lambda o: F.expr(f"lead(CASE WHEN {o} IS NOT NULL THEN pos END) IGNORE NULLS OVER (PARTITION BY _id ORDER BY pos)")
+    told = turns.select("_id", "pos", *ops, *(after(o).alias(f"_to_{o}") for o in ops))
+    each = F.array(*(F.when(F.col(o), F.struct(F.lit(o).alias("op"), F.col("pos").alias("start"), F.col(f"_to_{o}").alias("end"))) for o in ops))
+    return told.select(F.col("_id").alias(id_col), F.inline(F.array_compact(each)))
 
 
 def relation(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -66,3 +66,10 @@ def test_replaced(spark):
     edits = spark.createDataFrame([(1, 0, 5, "bye"), (1, 0, 5, "bye"), (1, 3, 7, "zz"), (1, 5, 5, ","), (1, 6, 99, "far"), (2, 0, 1, None), (3, 0, 1, "a"), (None, 0, 1, "a")], "doc_id long, start long, end long, replacement string")
     got = sorted(map(tuple, spans.replaced(docs, edits).collect()), key=repr)
     assert got == sorted([(1, "bye, world", 2, 2), (1, "hi", 0, 4), (2, "", 1, 0), (3, None, 0, 1), (None, "n", 0, 0)], key=repr)
+
+
+def test_set_spans_sort_once(spark):
+    made = spark.range(10).selectExpr("id AS doc_id", "id AS start", "id + 5 AS end")
+    plan = spans.set_spans(made, made.selectExpr("doc_id", "start + 2 AS start", "end"))._jdf.queryExecution().executedPlan().toString()
+    # A sort of the rows of all four sets held four times the ends in a task.
+    assert plan.split("Initial Plan")[0].count("Sort [") == 1 and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
