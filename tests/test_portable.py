@@ -34,3 +34,25 @@ def test_repeated_distances(spark):
     docs = spark.createDataFrame([(1, "This is the the end.\n"), (2, "run to the run\n"), (3, "the cat the dog\n"), (4, "End one. One more.\n"), (5, None), (6, "")], "doc_id long, text string")
     got = {(r["doc_id"], r["word"], r["distance"], r["severity"]) for r in repeated_words(docs).collect()}
     assert got == {(1, "the", 0, "W"), (2, "run", 2, "I"), (3, "the", 1, "I")}
+
+
+def test_words_in_the_row_equal_sql_of_odd_tables(spark, tmp_path):
+    text = ["Ab ab. And CD\u00e9 a!\nEf ab", None, "", "ef \u0130x gh. AB", "\u03a3\u03a3 x-y o\u2019z. Ab"]
+    rows = [(None if i % 7 == 0 else i // 2 if i % 3 else i, text[i % 5] and f"{text[i % 5]} only{i % 13}.", [None, "en", "de", "fr", "en"][i % 11 % 5]) for i in range(60)]
+    assert len({i for i, _, _ in rows}) < 50
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Gh and xy"), (2, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("new_word", "lexicon_compare"):
+        from lectern.functions.dialect import spark_frame
+        from lectern.plans.portable import BODIES
+
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)), spark_frame(spark, str(tmp_path), BODIES[name])
+        assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+
+
+@pytest.mark.parametrize(("name", "keys"), [("new_word", {"doc_id"}), ("lexicon_compare", {"doc_id", "word"})])
+def test_words_are_not_shuffled_by_document(spark, name, keys):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # As SQL every word was joined, or grouped, by its document.
+    assert "Generate" in plan and not any("Aggregate [doc_id" in line and "lower" in line for line in plan.splitlines()) and "Join Inner" not in plan
