@@ -57,6 +57,19 @@ def _apart(texts: pa.Array) -> str:
     return next(c for c in map(chr, (*range(9), *range(0xE000, 0xF8FF))) if not pc.any(pc.match_substring(texts, c)).as_py())
 
 
+def pieces_of(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts without nulls cut before and after each match: the pieces, whether each is a match, its text, and its start there."""
+    mark = _apart(texts)
+    pieces = pc.split_pattern(pc.replace_substring_regex(texts, pattern, f"{mark}\\0{mark}"), mark)
+    own, at = pieces.flatten(), pieces.offsets.to_numpy()
+    at = at - at[0]
+    n = np.diff(at)
+    first = np.repeat(at[:-1], n)
+    ends = np.cumsum(pc.utf8_length(own).to_numpy().astype(np.int64))
+    begin = np.concatenate(([0], ends[:-1]))[: len(own)]
+    return own, (np.arange(len(own)) - first) % 2 == 1, np.repeat(np.arange(len(n)), n), begin - begin[first]
+
+
 def find(docs: DataFrame, tool: str, rules: dict[str, str], severity: str = "W", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, start, end, tool, rule, severity, output`` of every match of every rule; offsets are code points from 0.
 
@@ -66,21 +79,16 @@ def find(docs: DataFrame, tool: str, rules: dict[str, str], severity: str = "W",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            mark = _apart(texts)
             for rule, p in rules.items():
                 hit = pc.indices_nonzero(pc.match_substring_regex(texts, p))
                 if not len(hit):
                     continue
-                pieces = pc.split_pattern(pc.replace_substring_regex(texts.take(hit), p, f"{mark}\\0{mark}"), mark)
-                own, at = pieces.flatten(), pieces.offsets.to_numpy()
-                size = pc.utf8_length(own).to_numpy().astype(np.int64)
-                ends, first = np.cumsum(size), np.repeat(at[:-1], np.diff(at))
-                begin = ends - size
-                odd = np.flatnonzero((np.arange(len(own)) - first) % 2 == 1)
-                start = begin[odd] - begin[first[odd]]
-                row = hit.take(pa.array(np.repeat(np.arange(len(hit)), np.diff(at))[odd]))
+                own, inside, row, start = pieces_of(texts.take(hit), p)
+                odd = np.flatnonzero(inside)
+                output, start = own.take(pa.array(odd)), start[odd]
+                end = start + pc.utf8_length(output).to_numpy()
                 told = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(odd), np.int64)))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([ids.take(row), pa.array(start), pa.array(start + size[odd]), told(tool), told(rule), told(severity), own.take(pa.array(odd))], names=[id_col, "start", "end", "tool", "rule", "severity", "output"])
+                yield pa.RecordBatch.from_arrays([ids.take(hit.take(pa.array(row[odd]))), pa.array(start), pa.array(end), told(tool), told(rule), told(severity), output], names=[id_col, "start", "end", "tool", "rule", "severity", "output"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, end long, tool string, rule string, severity string, output string")

@@ -12,11 +12,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import vocabulary as v
 from lectern.functions.dialect import WORD
+from lectern.operators import tokens
 from lectern.operators.findings import slices
 from lectern.session import stored, table
 
@@ -223,15 +224,7 @@ def overuse(docs: DataFrame, low: float = 2.0, high: float = 3.1, near: int = 5,
 
     A function word weighs 0.4, others 0.8, or 1 at the start of a sentence; a gap beyond ``far`` starts a new chain.
     """
-    tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD + r"|[.!?]+(?=\s|$)"), 0)).alias("ix", "word"))
-    own = Window.partitionBy("doc_id", "low").orderBy("ix")
-    stop = sorted({w for ws in v.POS.values() for w in ws})
-    # The start of a sentence is seen inside the row order of the document.
-    t = tokens.withColumns({"low": F.lower("word"), "_first": F.coalesce(F.lag("word").over(Window.partitionBy("doc_id").orderBy("ix")).rlike(r"^[.!?]"), F.lit(True))}).where(F.col("word").rlike(r"\p{L}"))
-    t = t.withColumn("_gap", F.col("ix") - F.lag("ix").over(own) - 1).withColumn("_chain", F.sum(F.when(F.col("_gap") <= far, 0).otherwise(1)).over(own))
-    weight = F.when(F.col("_first"), 1.0).when(F.col("low").isin(*stop), 0.4).otherwise(0.8)
-    score = F.when((F.col("_gap") == 0) | F.col("_gap").between(near + 1, far), weight * (1 - F.pow((F.greatest(F.col("_gap"), F.lit(near)) - near) / float(far - near), 2))).otherwise(0.0)
-    total = t.withColumn("_s", score).groupBy("doc_id", "low", "_chain").agg(F.min("ix").alias("word_ix"), F.sum("_s").alias("score"))
+    total = tokens.chains(docs, near, far, sorted({w for ws in v.POS.values() for w in ws}))
     rounded = F.round("score", 6)
     return total.where(rounded >= low).select("doc_id", F.col("low").alias("word"), "word_ix", rounded.alias("score"), F.when(F.col("score") < high, "I").otherwise("W").alias("severity"))
 

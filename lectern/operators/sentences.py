@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import vocabulary as v
 from lectern.functions.dialect import SENTENCE_END, WORD
+from lectern.operators import tokens
 
 
 def sentence_words(docs: DataFrame) -> DataFrame:
@@ -45,14 +46,9 @@ def passive(docs: DataFrame) -> DataFrame:
 def overuse_simple(docs: DataFrame, near: int = 5, far: int = 80, least: int = 11250) -> DataFrame:
     """Words of over three letters that come back within ``far`` words too often: each return scores by its closeness.
 
-    Words are numbered in the row; one shuffle brings the places of a document's word together.
+    Words are numbered in the row, and compared there.
     """
-    words = F.flatten(F.transform(F.split("text", SENTENCE_END, -1), lambda s: F.regexp_extract_all(s, F.lit(WORD), 0)))
-    rows = docs.select("doc_id", F.posexplode(words).alias("ix", "word")).where("length(word) > 3").select("doc_id", F.lower("word").alias("word"), "ix")
-    places = rows.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("ix")).alias("at")).where("size(at) > 1")
-    size = (far - near) ** 2
-    score = F.aggregate(F.transform("at", lambda x, i: x - F.get("at", i - 1)), F.lit(0).cast("long"), lambda acc, gap: acc + F.when(gap.between(near + 1, far), F.lit(size) - (gap - near) * (gap - near)).otherwise(0))
-    return places.select("doc_id", "word", score.alias("score")).where(F.col("score") > least)
+    return tokens.returns(docs, near, far, least)
 
 
 def hyphen_variants(docs: DataFrame, share: float = 0.55, least: float = 3.0, spaced: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ import difflib
 import heapq
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.dialect import SENTENCE_END, WORD
+from lectern.functions.dialect import WORD
+from lectern.operators import tokens
 from lectern.session import table
 
 _VOWELS = "aeiou"
@@ -91,14 +93,14 @@ def _column(f: Callable, kind: str):
     return F.pandas_udf(lambda s: s.map(f), kind)
 
 
+@lru_cache(maxsize=1 << 18)
+def _stem(word: str) -> str:
+    return stem(word)
+
+
 def repeated_stems(docs: DataFrame, reach: int = 3) -> DataFrame:
-    """Words whose stem came among the last ``reach`` of their sentence; only distinct words are stemmed."""
-    words = docs.select("doc_id", F.posexplode(F.split("text", SENTENCE_END, -1)).alias("sent_ix", "_s")).select("doc_id", "sent_ix", F.posexplode(F.regexp_extract_all("_s", F.lit(WORD), 0)).alias("word_ix", "word"))
-    stems = words.select(F.lower("word").alias("low")).distinct().withColumn("stem", _column(stem, "string")("low"))
-    own = Window.partitionBy("doc_id", "sent_ix").orderBy("word_ix")
-    joined = words.withColumn("low", F.lower("word")).join(stems, "low")
-    near = F.coalesce(*(F.when(F.lag("stem", k).over(own) == F.col("stem"), F.lit(k - 1)) for k in range(1, reach + 1)))
-    return joined.withColumn("distance", near).where("distance is not null").select("doc_id", "sent_ix", "word_ix", "word", "stem", "distance")
+    """Words whose stem came among the last ``reach`` of their sentence; a worker stems a word once while it remembers it."""
+    return tokens.near_stems(docs, _stem, reach)
 
 
 _CLOSE = {")": "(", "]": "[", "}": "{"}
