@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -170,26 +171,106 @@ def abbreviations(docs: DataFrame) -> DataFrame:
     return j.select("doc_id", (F.col("start") - 1).alias("start"), "acronym", where.alias("message"), F.when(F.col("_n") > 0, "I").otherwise("W").alias("severity"))
 
 
+def _open_ways(n: int, ends: dict[int, list[int]]) -> dict[int, list[int]]:
+    """Of the parts ``start: ends`` of a word of n letters those on a way from its first letter to its last."""
+    reach = {n}
+    for a in range(n - 1, -1, -1):
+        if any(b in reach for b in ends.get(a, ())):
+            reach.add(a)
+    out: dict[int, list[int]] = {}
+    todo = [0] if 0 in reach else []
+    while todo:
+        if (a := todo.pop()) not in out and a < n:
+            todo += (own := [b for b in ends[a] if b in reach])
+            out[a] = own
+    return out
+
+
+def _splits(word: str, ends: dict[int, list[int]]) -> Iterator[str]:
+    """All ways through the known parts ``start: ends`` of a word."""
+    n, ends = len(word), _open_ways(len(word), ends)
+    todo = [(0, "")] if ends else []
+    while todo:
+        a, told = todo.pop()
+        if a == n:
+            yield told
+            continue
+        todo += [(b, f"{told} {word[a:b]}" if told else word[a:b]) for b in ends[a]]
+
+
+#: Up to so many lexicon words their checksums, of four bytes each, are broadcast to leave out parts that are no words.
+CHECKED = 20_000_000
+
+
+def _checksums(words: DataFrame) -> np.ndarray:
+    """Sorted checksums of the words; two words may have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"c": [np.fromiter((crc32(w.encode()) for w in b.column(0).to_pylist()), np.uint32).tobytes()]})
+
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in words.mapInArrow(run, "c binary").toLocalIterator())]))
+
+
+def _parts(words: DataFrame, sums) -> DataFrame:
+    """``word, _a, _b, _part`` of the parts of words that may be lexicon words and lie on a way through the word; ``sums`` broadcast or none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                own = whole.column(0).slice(k, 1000).to_pylist()
+                at = [[(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if b - a < len(w)] for w in own]
+                may = np.ones(sum(map(len, at)), bool)
+                if sums is not None:
+                    have, told = sums.value, np.fromiter((crc32(w[a:b].encode()) for w, x in zip(own, at, strict=True) for a, b in x), np.uint32, len(may))
+                    may = have[np.minimum(np.searchsorted(have, told), len(have) - 1)] == told if len(have) else ~may
+                rows, i = [], 0
+                for w, x in zip(own, at, strict=True):
+                    ends: dict[int, list[int]] = {}
+                    for j in np.flatnonzero(may[i : i + len(x)]).tolist():
+                        ends.setdefault(x[j][0], []).append(x[j][1])
+                    i += len(x)
+                    rows += [(w, a, b, w[a:b]) for a, to in _open_ways(len(w), ends).items() for b in to]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["word", "_a", "_b", "_part"])
+
+    return words.mapInArrow(run, "word string, _a int, _b int, _part string")
+
+
+#: Ways that a worker gives out at once.
+WAYS_OUT = 50_000
+
+
 def collocations(lexicon: DataFrame, ignore: tuple[str, ...] = ("ad", "al", "de", "ed", "el", "es", "ing", "re", "un")) -> DataFrame:
     """All ways to write a lexicon word of more than four letters as other lexicon words: ``word, parts``.
 
-    Heads are split off in rounds, all words at once; a round joins the prefixes of what is left with the lexicon,
-    and rounds end when nothing is left (at most as many as a word has letters).
+    The parts of all words that may be words themselves meet the lexicon in one join; then each word by itself goes the ways
+    through those that are.
     """
     plain = lexicon.where(~F.col("word").rlike(r"[-.\p{N}]") & ~F.col("word").isin(*ignore) & ((F.length("word") >= 4) | F.col("word").rlike("[aeiou]"))).select("word").distinct()
-    known = plain.withColumnRenamed("word", "_head")
-    left = plain.where(F.length("word") > 4).select("word", F.array().cast("array<string>").alias("parts"), F.col("word").alias("rest"))
-    done = None
-    while True:
-        cut = left.select("word", "parts", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("_k")).withColumn("_h", F.substring(F.col("rest"), F.lit(1), F.col("_k")))
-        hit = cut.join(known, F.col("_h") == F.col("_head"), "left_semi").where(F.col("_h") != F.col("word"))
-        step = hit.select("word", F.concat("parts", F.array("_h")).alias("parts"), F.substring(F.col("rest"), F.col("_k") + 1, F.length("rest")).alias("rest"))
-        step = stored(step, "round")
-        full = step.where("rest = ''").select("word", F.array_join("parts", " ").alias("parts"))
-        done = full if done is None else done.unionByName(full)
-        left = step.where("rest <> ''")
-        if left.isEmpty():
-            return done
+    plain = stored(plain, "lexicon")
+    known = plain.withColumnRenamed("word", "_part")
+    sums = lexicon.sparkSession.sparkContext.broadcast(_checksums(plain)) if plain.count() <= CHECKED else None
+    parts = _parts(plain.where(F.length("word") > 4), sums)
+    ways = parts.join(known, "_part", "left_semi").groupBy("word").agg(F.collect_list(F.struct("_a", "_b")).alias("_at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["word", "parts"])
+        for b in batches:
+            rows = []
+            for word, own in zip(b.column(0), b.column(1), strict=True):
+                ends: dict[int, list[int]] = {}
+                for x in own.as_py():
+                    ends.setdefault(x["_a"], []).append(x["_b"])
+                for told in _splits(w := word.as_py(), ends):
+                    rows.append((w, told))
+                    if len(rows) >= WAYS_OUT:
+                        yield piece(rows)
+                        rows = []
+            if rows:
+                yield piece(rows)
+
+    return ways.mapInArrow(run, "word string, parts string")
 
 
 def clauses(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -78,6 +78,31 @@ def test_collocations(spark):
     assert told(g.collocations(lexicon), "word", "parts") == [("flower", "flow er"), ("sunflower", "sun flow er"), ("sunflower", "sun flower")]
 
 
+@pytest.mark.parametrize("checked", [0, 1000])
+def test_collocations_equal_rounds_in_one_join(spark, monkeypatch, checked):
+    import random
+
+    tables = []
+    monkeypatch.setattr(g, "stored", lambda df, what, was=g.stored: tables.append(what) or was(df, what))
+    monkeypatch.setattr(g, "CHECKED", checked, raising=False)
+    monkeypatch.setattr(g, "WAYS_OUT", 3, raising=False)
+    rng = random.Random(4)
+    lexicon = sorted({"".join(rng.choice("abetü") for _ in range(rng.choice((1, 1, 2, 3, 5, 6, 8)))) for _ in range(250)} | {"un", "ad-b", "a1", "aaaaaaaaaa", "tttt", "世世世世世a"})
+    known = {w for w in lexicon if not regex.search(r"[-.\p{N}]", w) and w not in ("ad", "al", "de", "ed", "el", "es", "ing", "re", "un") and (len(w) >= 4 or regex.search("[aeiou]", w))}
+
+    def ways(word, rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in known and rest[:k] != word:
+                yield from ((rest[:k], *more) for more in ways(word, rest[k:]))
+
+    df = g.collocations(spark.createDataFrame([(w,) for w in lexicon], "word string"))
+    assert told(df, "word", "parts") == sorted((w, " ".join(p)) for w in known if len(w) > 4 for p in ways(w, w)) != []
+    # A table was written for each round, as many as a word has parts.
+    assert tables == ["lexicon"]
+
+
 def test_overuse(spark):
     text = " ".join(f"Marble w{i}a w{i}b w{i}c w{i}d w{i}e w{i}f w{i}g" for i in range(6)) + "."
     got = told(g.overuse(spark.createDataFrame([(1, text), (2, None), (3, "once")], "doc_id long, text string")), "doc_id", "word")
