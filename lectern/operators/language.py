@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -202,37 +201,74 @@ def _splits(word: str, ends: dict[int, list[int]]) -> Iterator[str]:
 CHECKED = 20_000_000
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _sums(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Checksums of the beginnings of words, a column for each length, and what a beginning counts for so many letters later."""
+    width = max(map(len, words), default=0)
+    out, letters = np.zeros((len(words), width + 1), np.uint64), np.zeros((len(words), width), np.uint64)
+    size = np.array([len(w) for w in words], np.int64)
+    letters[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    power = np.ones(width + 1, np.uint64)
+    for i in range(width):
+        out[:, i + 1] = out[:, i] * _BASE + letters[:, i] + np.uint64(1)
+        power[i + 1] = power[i] * _BASE
+    return out, power
+
+
+def _alike(words: list[str], cells: int = 200_000) -> Iterator[list[str]]:
+    """Words in slices of like length, up to so many letters with what the longest is ahead of the others."""
+    words = sorted(words, key=len)
+    a = 0
+    while a < len(words):
+        b = a + 1
+        while b < len(words) and b - a < 1000 and (b + 1 - a) * len(words[b]) <= cells:
+            b += 1
+        yield words[a:b]
+        a = b
+
+
+def _short(sums: np.ndarray) -> np.ndarray:
+    return ((sums ^ (sums >> np.uint64(31))) * _BASE >> np.uint64(32)).astype(np.uint32)
+
+
 def _checksums(words: DataFrame) -> np.ndarray:
     """Sorted checksums of the words; two words may have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"c": [np.fromiter((crc32(w.encode()) for w in b.column(0).to_pylist()), np.uint32).tobytes()]})
+            for x in _alike(b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_pydict({"c": [_short(_sums(x)[0][np.arange(len(x)), [len(w) for w in x]]).tobytes()]})
 
     return np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in words.mapInArrow(run, "c binary").toLocalIterator())]))
 
 
-def _parts(words: DataFrame, sums) -> DataFrame:
-    """``word, _a, _b, _part`` of the parts of words that may be lexicon words and lie on a way through the word; ``sums`` broadcast or none."""
+def _parts(words: DataFrame, lengths: list[int], sums) -> DataFrame:
+    """``word, _a, _b, _part`` of the parts of words that may be lexicon words and lie on a way through the word; ``lengths`` are those of
+    lexicon words, ``sums`` their checksums, broadcast, or none."""
+
+    def piece(own: list[str], have: np.ndarray | None) -> pa.RecordBatch | None:
+        size = np.array([len(w) for w in own])
+        begun, power = _sums(own)
+        ends: list[dict[int, list[int]]] = [{} for _ in own]
+        for a in range(size.max()):
+            for b in (a + n for n in lengths if a + n <= size.max()):
+                at = np.flatnonzero((size >= b) & ((a > 0) | (size > b)))
+                if have is not None:
+                    told = _short(begun[at, b] - begun[at, a] * power[b - a])
+                    at = at[have[np.minimum(np.searchsorted(have, told), len(have) - 1)] == told] if len(have) else at[:0]
+                for i in at.tolist():
+                    ends[i].setdefault(a, []).append(b)
+        rows = [(w, a, b, w[a:b]) for w, x in zip(own, ends, strict=True) for a, to in _open_ways(len(w), x).items() for b in to]
+        types = pa.string(), pa.int32(), pa.int32(), pa.string()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["word", "_a", "_b", "_part"]) if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                own = whole.column(0).slice(k, 1000).to_pylist()
-                at = [[(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if b - a < len(w)] for w in own]
-                may = np.ones(sum(map(len, at)), bool)
-                if sums is not None:
-                    have, told = sums.value, np.fromiter((crc32(w[a:b].encode()) for w, x in zip(own, at, strict=True) for a, b in x), np.uint32, len(may))
-                    may = have[np.minimum(np.searchsorted(have, told), len(have) - 1)] == told if len(have) else ~may
-                rows, i = [], 0
-                for w, x in zip(own, at, strict=True):
-                    ends: dict[int, list[int]] = {}
-                    for j in np.flatnonzero(may[i : i + len(x)]).tolist():
-                        ends.setdefault(x[j][0], []).append(x[j][1])
-                    i += len(x)
-                    rows += [(w, a, b, w[a:b]) for a, to in _open_ways(len(w), ends).items() for b in to]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["word", "_a", "_b", "_part"])
+            for own in _alike(whole.column(0).to_pylist()):
+                if (out := piece(own, None if sums is None else sums.value)) is not None:
+                    yield out
 
     return words.mapInArrow(run, "word string, _a int, _b int, _part string")
 
@@ -251,7 +287,7 @@ def collocations(lexicon: DataFrame, ignore: tuple[str, ...] = ("ad", "al", "de"
     plain = stored(plain, "lexicon")
     known = plain.withColumnRenamed("word", "_part")
     sums = lexicon.sparkSession.sparkContext.broadcast(_checksums(plain)) if plain.count() <= CHECKED else None
-    parts = _parts(plain.where(F.length("word") > 4), sums)
+    parts = _parts(plain.where(F.length("word") > 4), [r[0] for r in plain.select(F.length("word")).distinct().collect()], sums)
     ways = parts.join(known, "_part", "left_semi").groupBy("word").agg(F.collect_list(F.struct("_a", "_b")).alias("_at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +351,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("word"))
-    return words.distinct()
+    return tokens.distinct_words(table(spark, sf_dir, "documents").select(F.lower("text").alias("text")))
 
 
 #: Texts with brackets of few and of many words, by document.

@@ -48,6 +48,18 @@ def tokens(texts: pa.Array, stops: str) -> Tokens:
     return Tokens(row, place - np.maximum.accumulate(np.where(first, place, 0)), word, stop, told.dictionary)
 
 
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """``word``: all words of the one column of texts, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, own in slices([pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["id", "text"])]):
+                words, inside, _, _ = pieces_of(own.drop_null(), WORD)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(np.flatnonzero(inside))).unique()], names=["word"])
+
+    return texts.mapInArrow(run, "word string").distinct()
+
+
 def _by_word(t: Tokens, keep: np.ndarray, low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the kept tokens sorted by row, word and place; where a word begins; and the steps from the place before in tokens."""
     at = np.flatnonzero(keep)

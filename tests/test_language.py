@@ -87,7 +87,7 @@ def test_collocations_equal_rounds_in_one_join(spark, monkeypatch, checked):
     monkeypatch.setattr(g, "CHECKED", checked, raising=False)
     monkeypatch.setattr(g, "WAYS_OUT", 3, raising=False)
     rng = random.Random(4)
-    lexicon = sorted({"".join(rng.choice("abetü") for _ in range(rng.choice((1, 1, 2, 3, 5, 6, 8)))) for _ in range(250)} | {"un", "ad-b", "a1", "aaaaaaaaaa", "tttt", "世世世世世a"})
+    lexicon = sorted({"".join(rng.choice("abetü") for _ in range(rng.choice((1, 1, 2, 3, 5, 6, 8)))) for _ in range(250)} | {"un", "ad-b", "a1", "aaaaaaaaaa", "tttt", "世世世世世a", "be" * 150 + "z"})
     known = {w for w in lexicon if not regex.search(r"[-.\p{N}]", w) and w not in ("ad", "al", "de", "ed", "el", "es", "ing", "re", "un") and (len(w) >= 4 or regex.search("[aeiou]", w))}
 
     def ways(word, rest):

@@ -84,6 +84,12 @@ def test_overuse(docs, slice_):
     assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], abs=2e-6)
 
 
+def test_distinct_words(docs, slice_):
+    from lectern.operators import tokens
+
+    assert told(tokens.distinct_words(docs.select("text"))) == sorted((w,) for w in {w for t in _texts() for w in regex.findall(_PY_WORD, t or "")})
+
+
 @pytest.mark.parametrize("rule", [sequential.repeated_stems, sentences.overuse_simple, language.overuse])
 def test_no_word_is_shuffled(docs, rule):
     assert "Exchange" not in rule(docs)._jdf.queryExecution().executedPlan().toString()
