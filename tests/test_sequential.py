@@ -75,6 +75,30 @@ def test_suggestions_are_those_of_the_whole_lexicon(spark, monkeypatch):
         assert got.get(w, []) == difflib.get_close_matches(w, [k for k in known if k != w], 5, 0.6)
 
 
+def test_closest_equal_difflib():
+    import difflib
+    import random
+
+    rng = random.Random(6)
+    part = ["th", "en", "er", "on", "ti", "a", "e", "sch", "ung", "é", "世", "ß", "12", "-"]
+    known = sorted({"".join(rng.choice(part) for _ in range(rng.choice((1, 2, 3, 4, 5, 6, 40)))) for _ in range(4000)} | {"x" * 70, "x" * 64 + "y", "x" * 63, "ab" * 120, "zq"})
+    words = [*rng.sample(known, 60), "nothing", "x" * 66, "ab" * 110, "q", "thenerxx", "💡en"]
+    got: dict = {}
+    for w, k, score in s._closest(words, known, 5, 0.6):
+        got.setdefault(w, []).append((score, k))
+    for w in words:
+        assert [k for _, k in sorted(got.get(w, []), reverse=True)] == difflib.get_close_matches(w, [k for k in known if k != w], 5, 0.6), w
+    assert list(s._closest([], known, 5, 0.6)) == [] == list(s._closest(["a"], [], 5, 0.6)) and list(s._closest(["", "b"], ["b", ""], 5, 0.6)) == []
+
+
+def test_pairs_of_blocks_are_dealt_to_tasks(spark):
+    words = spark.range(40_000).selectExpr("concat('w', id) AS word")
+    few = spark.range(10).selectExpr("concat('w', id) AS word")
+    # Words of one small block against few: one task had them all.
+    made = s.suggestions(words, few)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in made and "BroadcastNestedLoopJoin" not in made and "rangepartitioning(_words#" in made.replace(" ", "")
+
+
 @pytest.mark.parametrize("name", sorted(s.QUERIES))
 def test_runs(spark, name):
     assert s.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
